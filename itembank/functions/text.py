@@ -436,6 +436,14 @@ def map_local_box(box, roi, width, height) -> Column:
     return F.array(x(b[0]), y(b[1]), x(b[2]), y(b[3]))
 
 
+def outer_boxes(figures, keys: list[str], box: str = "bbox"):
+    """Smallest box around all boxes of a group, as columns l, t, r, b."""
+    b = F.col(box)
+    return figures.groupBy(*keys).agg(
+        F.min(b[0]).alias("l"), F.min(b[1]).alias("t"), F.max(b[2]).alias("r"), F.max(b[3]).alias("b")
+    )
+
+
 def ellipsis(c, width: int) -> Column:
     flat = strip(F.translate(F.coalesce(as_col(c), F.lit("")), "\n", " "))
     return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("..."))).otherwise(flat)
