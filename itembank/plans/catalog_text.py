@@ -87,10 +87,10 @@ def clean_options(spark, sf):
     )
 
 
-@query("bank", """, t AS (SELECT pos, stem, options, len(list_filter(options, lambda o: trim(o) <> '')) AS filled FROM bank)
-    SELECT pos, (len(options) BETWEEN 2 AND 10 AND filled = len(options)) AS split,
-    sha256(CASE WHEN len(options) BETWEEN 2 AND 10 AND filled = len(options) THEN stem
-      WHEN len(options) = 0 THEN stem ELSE concat(stem, chr(10), array_to_string(list_transform(list_zip(options, range(len(options))), lambda x: concat(chr(65 + x[2]::INT), '. ', x[1])), chr(10))) END) AS stem FROM t""")
+@query("bank", """, t AS (SELECT pos, stem, options, len(options) BETWEEN 2 AND 10 AND len(list_filter(options, lambda o: trim(o) <> '')) = len(options)
+      AND NOT regexp_matches(stem, '^\\s*[A-Z][.:)]') AND len(list_filter(options, lambda o: regexp_matches(o, '^\\s*[A-Z][.:)]'))) = 0 AS ok FROM bank)
+    SELECT pos, ok AS split, sha256(CASE WHEN ok OR len(options) = 0 THEN stem
+      ELSE concat(stem, chr(10), array_to_string(list_transform(list_zip(options, range(len(options))), lambda x: concat(chr(65 + x[2]::INT), '. ', x[1])), chr(10))) END) AS stem FROM t""")
 def split_embedded_options(spark, sf):
     lettered = F.transform("options", lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o))
     printed = F.when(F.size("options") == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("\n"), F.array_join(lettered, "\n")))
