@@ -121,7 +121,7 @@ def stage_progress(events: DataFrame) -> DataFrame:
 
 
 def _eta(now: Column) -> list[Column]:
-    elapsed = (F.unix_micros(now) - F.unix_micros("started")) / 1e6
+    elapsed = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
     done, total = F.col("done"), F.col("total")
     eta = F.when((done > 0) & (elapsed >= MIN_ELAPSED), F.round(elapsed / done * (total - done)).cast("long"))
     return [
