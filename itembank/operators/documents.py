@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itembank.functions import text as tx
@@ -289,8 +290,17 @@ def asset_blobs(manifest: DataFrame) -> DataFrame:
 
 def retention(files: DataFrame, max_bytes: int, cutoff: int) -> DataFrame:
     """Files to evict: oldest first while the rest is over ``max_bytes``, and all older than ``cutoff``."""
-    total = "__total"
-    bucket = F.struct(F.floor(F.col("mtime") / 3600), F.floor(F.col("size") / 4096))  # follows (mtime, size)
-    rows = running_sum(files, [], "mtime", "size", "__before", tie=["size", "path"], bucket=bucket, total=total)
-    evict = (F.col(total) - F.col("__before") > max_bytes) | (F.col("mtime") < cutoff)
-    return rows.filter(evict).drop(total, "__before")
+    # Hours first, then (mtime, size) inside an hour: both levels stay small in one task, even if
+    # most files were written in the same hour.
+    rows = files.withColumn("__hour", F.floor(F.col("mtime") / 3600))
+    hours = rows.groupBy("__hour").agg(F.sum("size").alias("__size"), F.count(F.lit(1)).alias("__n"))
+    earlier = W.orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.partitionBy(F.lit(1))
+    offsets = hours.select(
+        "__hour", "__n", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__off"), F.sum("__size").over(everything).alias("__total")
+    )
+    bucket = F.struct(F.col("mtime"), F.floor(F.col("size") / 4096))
+    rows = running_sum(rows, ["__hour"], "mtime", "size", "__inside", tie=["size", "path"], bucket=bucket)
+    rows = attach_per_key(rows, offsets, ["__hour"], "__n", row_id="path")
+    left = F.col("__total") - F.col("__off") - F.col("__inside")
+    return rows.filter((left > max_bytes) | (F.col("mtime") < cutoff)).select(*files.columns)

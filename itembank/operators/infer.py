@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,7 @@ def infer_to_table(df: DataFrame, fn: Callable[[str], dict], path: str, concurre
     spark = df.sparkSession
     try:
         cache = spark.read.schema(RESULT).parquet(path)
-        cache.limit(0).count()
-    except Exception:
+    except AnalysisException:  # no reply has been stored yet
         cache = None
     _, fresh = cached_infer(df, fn, cache, concurrency, wait)
     fresh.write.mode("append").parquet(path)

@@ -12,6 +12,9 @@ OUTCOMES = ["added", "discarded", "missing_answer", "duplicates", "pending_revie
 
 
 def with_fingerprint(rows: DataFrame) -> DataFrame:
+    """Rows with their content hash; a stored one is used as it is, so only that column is read."""
+    if "fingerprint" in rows.columns:
+        return rows
     number = "number" if "number" in rows.columns else None
     return rows.withColumn("fingerprint", tx.fingerprint("stem", "options", number))
 
