@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from itembank.functions import ocr
-from itembank.functions import text as tx
 from itembank.operators import infer as inf
 from itembank.plans.catalog_bank import SQL_ETA, SQL_FP
 from itembank.plans.catalog_text import SQL_STATE, state_rows
@@ -53,7 +52,7 @@ def retry_missing(spark, sf):
 
 
 @query("bank", """, b AS (SELECT *, length(regexp_replace(stem, '\\s+', '', 'g')) AS n FROM bank WHERE NOT regexp_matches(stem, '^\\s*[0-9]')),
-    s AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN CASE WHEN n >= 20 THEN 'corrected' ELSE 'unresolved' END ELSE 'unresolved' END AS status FROM b)
+    s AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN CASE WHEN n >= 9 THEN 'corrected' ELSE 'unresolved' END ELSE 'unresolved' END AS status FROM b)
     SELECT pos, status FROM s""")
 def safe_patch(spark, sf):
     """Re-read stems: equal, one character misread and anchored, cut short, or read in two ways."""
@@ -70,9 +69,7 @@ def safe_patch(spark, sf):
         "pos", F.lit("stem").alias("field"), F.lit("1").alias("number"), before.alias("before"), before.alias("quote"),
         first.alias("first"), second.alias("second"),
     )
-    n = F.length(tx.ocr_compare("before"))
-    out = ocr.review_readings(props).withColumn("n", n)
-    return out.select("pos", F.when((F.col("status") == "corrected") & (F.col("n") <= 20), "unresolved").otherwise(F.col("status")).alias("status"))
+    return ocr.review_readings(props).select("pos", "status")
 
 
 @query("", """SELECT event_id, CASE event_id % 6 WHEN 4 THEN -1 WHEN 5 THEN -1 ELSE user_id % 9 + 1 END AS page, event_id % 6 IN (4, 5) AS failed FROM events""")
@@ -102,21 +99,19 @@ def json_bank_round_trip(spark, sf):
     return bk.read_bank_table(spark, path).select("pos", "stem", "answer", F.size("options").alias("options"))
 
 
-@query("", """SELECT doc_id % 5 AS file, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) - 1 AS pos, split_part(text, chr(10), 1) AS stem FROM documents""")
+@query("", """SELECT doc_id // 250 AS file, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) - 1 AS pos, split_part(text, chr(10), 1) AS stem FROM documents""")
 def read_bank_json(spark, sf):
-    """Five banks as JSON arrays or objects with a ``questions`` array, one file each."""
+    """The documents as many small JSON banks: arrays, or objects with a ``questions`` array."""
     path = scratch(spark)
     rows = v.table(spark, sf, "documents").select(
-        (F.col("doc_id") % 5).alias("file"), F.struct("doc_id", F.struct(F.split("text", "\n")[0].alias("stem")).alias("q")).alias("r")
+        F.floor(F.col("doc_id") / 250).alias("file"), F.struct("doc_id", F.struct(F.split("text", "\n")[0].alias("stem")).alias("q")).alias("r")
     )
+    # A bank file holds 250 rows, so its array is small by construction.
     arrays = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["q"]).alias("qs"))
     wrapped = F.when(F.col("file") % 2 == 0, F.to_json("qs")).otherwise(F.to_json(F.struct(F.col("qs").alias("questions"))))
     arrays.select("file", wrapped.alias("value")).write.partitionBy("file").text(path)
-    out = None
-    for i in range(5):
-        one = bk.read_bank(spark, f"{path}/file={i}").select(F.lit(i).alias("file"), "pos", "stem")
-        out = one if out is None else out.unionByName(one)
-    return out
+    back = bk.read_bank(spark, f"{path}/file=*")
+    return back.select(F.regexp_extract("bank_file", r"file=(\d+)", 1).cast("long").alias("file"), "pos", "stem")
 
 
 @query("", "SELECT doc_id, length(text) AS chars, sha256(text) AS digest FROM documents")

@@ -18,24 +18,27 @@ BANK_SCHEMA = (
 
 
 def read_bank(spark: SparkSession, path: str, schema: str = BANK_SCHEMA) -> DataFrame:
-    """A JSON bank: an array of questions or an object holding them. ``pos`` is the place in the array.
+    """JSON banks: each file an array of questions or an object holding them. ``pos`` is the place in the file.
 
-    A JSON array is one document and is parsed in one task, which its size allows; large banks come
-    as JSON lines or Parquet, see ``read_bank_table``. A row without a string stem fails the read.
+    A JSON array is one document and is parsed by one task; a folder of files is read in parallel.
+    Larger banks come as JSON lines or Parquet, see ``read_bank_table``. A row without a string stem
+    fails the read.
     """
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
-    doc = text.select(F.try_parse_json("v").alias("d"))
+    text = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace("value", "^﻿", "").alias("v"), F.col("_metadata.file_path").alias("bank_file")
+    )
+    doc = text.select(F.try_parse_json("v").alias("d"), "bank_file")
     rows = doc.select(
-        F.coalesce(F.try_variant_get("d", "$", "array<variant>"), F.try_variant_get("d", "$.questions", "array<variant>")).alias("qs")
+        "bank_file", F.coalesce(F.try_variant_get("d", "$", "array<variant>"), F.try_variant_get("d", "$.questions", "array<variant>")).alias("qs")
     )
-    checked = rows.select(F.when(F.col("qs").isNull(), F.raise_error(F.lit("not a question bank"))).otherwise(F.col("qs")).alias("qs"))
-    each = checked.select(F.posexplode("qs").alias("pos", "q"))
+    checked = rows.select("bank_file", F.when(F.col("qs").isNull(), F.raise_error(F.lit("not a question bank"))).otherwise(F.col("qs")).alias("qs"))
+    each = checked.select("bank_file", F.posexplode("qs").alias("pos", "q"))
     stem_type = F.schema_of_variant(F.try_variant_get("q", "$.stem", "variant"))
     guarded = each.select(
-        F.col("pos").cast("long").alias("pos"),
+        "bank_file", F.col("pos").cast("long").alias("pos"),
         F.when(F.coalesce(stem_type == "STRING", F.lit(False)), F.to_json("q")).otherwise(F.raise_error(F.lit("every question needs a string stem"))).alias("q"),
     )
-    return guarded.select("pos", F.from_json("q", schema).alias("q")).select("pos", "q.*")
+    return guarded.select("bank_file", "pos", F.from_json("q", schema).alias("q")).select("bank_file", "pos", "q.*")
 
 
 def read_bank_table(spark: SparkSession, path: str, schema: str = BANK_SCHEMA) -> DataFrame:
