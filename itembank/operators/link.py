@@ -291,12 +291,13 @@ def share_figures(questions: DataFrame) -> DataFrame:
         F.col("pos").alias("owner_pos"), "source_hash", "section", "owner", f, F.explode(F.array_distinct("f.shared_with")).alias("number")
     )
     targets = questions.select("pos", "source_hash", "section", "number", F.col("figures").alias("__have"))
+    given = F.col(f).withField("shared_from", F.col("owner").cast("string"))
+    # A figure the question has already, as its own or from an earlier sharing, is not added again.
+    held = F.array_contains("__have", F.col(f)) | F.array_contains("__have", given)
     received = targets.join(offers, ["source_hash", "section", "number"]).filter(
-        (F.col("pos") != F.col("owner_pos")) & ~F.coalesce(F.array_contains("__have", F.col(f)), F.lit(False))
+        (F.col("pos") != F.col("owner_pos")) & ~F.coalesce(held, F.lit(False))
     )
-    mark = received.withColumn("got", F.struct(
-        F.col("owner_pos").alias("o"), F.col(f).withField("shared_from", F.col("owner").cast("string")).alias("f")
-    ))
+    mark = received.withColumn("got", F.struct(F.col("owner_pos").alias("o"), given.alias("f")))
     # Offers per question come from the figures of its own section; each owner offers a figure once.
     got = mark.groupBy("pos").agg(F.array_sort(F.collect_set("got")).alias("__got"))
     out = questions.join(got, "pos", "left").join(blocked.withColumn("sharing_unreviewed", F.lit(True)), "pos", "left")
