@@ -71,7 +71,10 @@ def nfkc(c) -> Column:
 
 def casefold(c) -> Column:
     """Lower case plus the folds ``lower`` leaves out."""
-    return F.translate(F.replace(F.lower(as_col(c)), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    out = F.lower(as_col(c))
+    for char, fold in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):  # fixed values
+        out = F.replace(out, F.lit(char), F.lit(fold))
+    return out
 
 
 def json_text(c) -> Column:
@@ -315,11 +318,24 @@ def group_name(c) -> Column:
     return F.regexp_replace(F.regexp_replace(base, GROUP_WORDS, ""), r"(?U)[\s_\-（）()]+", "")
 
 
-def search_corpus(stem, answer, remark, image, options) -> Column:
-    """Lower-cased searchable text with single spaces."""
+def once(c: Column, use) -> Column:
+    """``use(value)`` with ``c`` evaluated once per row, however often ``use`` mentions it.
+
+    Catalyst inlines an aliased expression into every place a predicate names it; a lambda variable
+    holds its value.
+    """
+    return F.transform(F.array(c), use)[0]
+
+
+def search_corpus(stem, answer, remark, image, options, collapse: bool = True) -> Column:
+    """Lower-cased searchable text with single spaces.
+
+    ``collapse=False`` leaves whitespace alone, which no keyword without whitespace can notice.
+    """
     fields = [F.coalesce(as_col(c), F.lit("")) for c in (stem, answer, remark, image)]
     fields.append(F.array_join(F.coalesce(as_col(options), F.array().cast("array<string>")), " "))
-    return strip(F.regexp_replace(F.lower(F.concat_ws(" ", *fields)), WS_CLASS + "+", " "))
+    text = F.lower(F.concat_ws(" ", *fields))
+    return strip(F.regexp_replace(text, WS_CLASS + "+", " ")) if collapse else text
 
 
 def select_corpus(stem, options, tags, remark, compat: bool = False) -> Column:

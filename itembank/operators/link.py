@@ -263,8 +263,9 @@ def audit_answers(questions: DataFrame, printed: DataFrame) -> DataFrame:
     ).select("pos", F.col("answer").alias("__answer"), F.col("answer_source.source_file").alias("a_file"),
              number.alias("a_number"), F.col("answer_source.source_pages").alias("__pages"))
     on_page = asked.select("pos", "a_file", "a_number", F.explode(F.array_distinct("__pages")).alias("a_page"))
-    by_page = attach_per_key(on_page, reads, ["a_file", "a_number", "a_page"], how="inner").groupBy("pos").agg(F.min("r_min").alias("p_min"), F.max("r_max").alias("p_max"))
-    rows = attach_per_key(asked.join(by_page, "pos", "left"), located, ["a_file", "a_number"])
+    # Linking gives a solution to one question at most, so no (file, number) collects many of them.
+    by_page = on_page.join(reads, ["a_file", "a_number", "a_page"]).groupBy("pos").agg(F.min("r_min").alias("p_min"), F.max("r_max").alias("p_max"))
+    rows = asked.join(by_page, "pos", "left").join(located, ["a_file", "a_number"], "left")
     moved = F.col("p_min").isNull() & (F.col("n_pages") == 1)
     lo = F.coalesce(F.col("p_min"), F.when(moved, F.col("l_min")))
     hi = F.coalesce(F.col("p_max"), F.when(moved, F.col("l_max")))

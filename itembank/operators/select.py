@@ -15,8 +15,13 @@ DEFAULT_COUNT = 20
 SALTS = 1024
 
 
-def _corpus() -> Column:
-    return tx.search_corpus("stem", "answer", "remark", "image", "options")
+def _corpus(words: list[str]) -> Column:
+    """Search text; whitespace is only normalised if some keyword could see it."""
+    return tx.search_corpus("stem", "answer", "remark", "image", "options", collapse=any(" " in w for w in words))
+
+
+def _words(tree: dict) -> list[str]:
+    return [w for w, _ in qy.tree_keywords(tree)]
 
 
 def search_hits(bank: DataFrame, text: str, compat: bool = False) -> DataFrame:
@@ -25,7 +30,7 @@ def search_hits(bank: DataFrame, text: str, compat: bool = False) -> DataFrame:
     if not tokens:
         return bank
     node = {"op": mode, "keywords": tokens, "clauses": []}
-    return bank.filter(qy.match_tree(node, _corpus()))
+    return bank.filter(tx.once(_corpus(tokens), lambda x: qy.match_tree(node, x)))
 
 
 def search(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = False) -> DataFrame:
@@ -46,7 +51,8 @@ def search(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = Fals
 def search_counts(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = False) -> DataFrame:
     """Rows shown, rows hit, rows in the bank, in one scan."""
     tokens, mode = qy.search_tokens(text, compat)
-    hit = qy.match_tree({"op": mode, "keywords": tokens, "clauses": []}, _corpus()) if tokens else F.lit(True)
+    node = {"op": mode, "keywords": tokens, "clauses": []}
+    hit = tx.once(_corpus(tokens), lambda x: qy.match_tree(node, x)) if tokens else F.lit(True)
     return bank.agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("total")).select(
         F.least(F.col("hits"), F.lit(limit)).alias("shown"), "hits", "total"
     )
@@ -59,16 +65,21 @@ def recent(bank: DataFrame, n: int = 80) -> DataFrame:
 
 def matching(bank: DataFrame, tree: dict, exclude: list[str] | None = None) -> DataFrame:
     """Rows matching a lenient tree and none of the excluded words."""
-    corpus = _corpus()
-    keep = qy.match_tree(qy.lenient_tree(tree), corpus)
-    words = qy.keyword_list(exclude or [])
-    return bank.filter(keep & ~qy.contains_any(corpus, words) if words else keep)
+    tree, words = qy.lenient_tree(tree), qy.keyword_list(exclude or [])
+    corpus = _corpus(_words(tree) + words)
+    return bank.filter(tx.once(corpus, lambda x: qy.match_tree(tree, x) & ~qy.contains_any(x, words)))
 
 
 def scored_select(bank: DataFrame, tree: dict, exclude: list[str] | None = None, n: int = 50, boosts=None) -> DataFrame:
     """Best ``n`` matches by keyword score, ties in bank order."""
-    tree = qy.lenient_tree(tree)
-    hits = matching(bank, tree, exclude).withColumn("score", qy.tree_score(tree, _corpus(), boosts))
+    tree, words = qy.lenient_tree(tree), qy.keyword_list(exclude or [])
+    extra = [w for group, _ in (qy.DEFAULT_BOOSTS if boosts is None else boosts) for w in group]
+    corpus = _corpus(_words(tree) + words + extra)
+    # Match and score come from one look at the text; a row without a match explodes to nothing.
+    score = F.transform(F.array(corpus), lambda x: F.when(
+        qy.match_tree(tree, x) & ~qy.contains_any(x, words), qy.tree_score(tree, x, boosts)
+    ))
+    hits = bank.select("*", F.explode(F.array_compact(score)).alias("score"))
     return hits.orderBy(F.col("score").desc(), "pos").limit(max(1, n))
 
 
@@ -117,10 +128,9 @@ def _first_per_group(member: DataFrame, counts: list[int], order: list[Column])
     """
     need = [sum(counts[: g + 1]) for g in range(len(counts))]
     limit = F.element_at(F.array(*[F.lit(n) for n in need]), F.col("grp_no") + 1)
-    exploded = member.select("*", F.explode("groups").alias("grp_no"))
     salted = W.partitionBy("grp_no", F.pmod(F.xxhash64("pos"), F.lit(SALTS))).orderBy(*order)
     # The constant bound lets Spark trim each group before the shuffle; the exact one follows.
-    top = exploded.withColumn("__r", F.row_number().over(salted)).filter(F.col("__r") <= max(need)).filter(
+    top = member.withColumn("__r", F.row_number().over(salted)).filter(F.col("__r") <= max(need)).filter(
         F.col("__r") <= limit
     )
     rank = F.row_number().over(W.partitionBy("grp_no").orderBy(*order))
@@ -132,17 +142,17 @@ def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None
     groups = _checked_groups(groups)
     counts = [g["count"] for g in groups]
     corpus = tx.select_corpus("stem", "options", "category_tags", "remark", compat)
-    hit = []
-    for i, g in enumerate(groups):
-        words = g.get("exclude_keywords", exclude or [])
-        keep = qy.match_tree(qy.check_tree(g["query"]), F.col("__c"), "casefold")
-        if words:
-            keep = keep & ~qy.contains_any(F.col("__c"), words, "casefold")
-        hit.append(F.when(keep, F.lit(i)))
-    # One pass over the bank evaluates every group.
-    member = bank.select("pos", corpus.alias("__c")).select("pos", F.array_compact(F.array(*hit)).alias("groups")).filter(
-        F.size("groups") > 0
-    )
+
+    def hits(x: Column) -> Column:
+        out = []
+        for i, g in enumerate(groups):
+            words = g.get("exclude_keywords", exclude or [])
+            keep = qy.match_tree(qy.check_tree(g["query"]), x, "casefold") & ~qy.contains_any(x, words, "casefold")
+            out.append(F.when(keep, F.lit(i)))
+        return F.array_compact(F.array(*out))
+
+    # One pass over the bank evaluates every group on one look at the text.
+    member = bank.select("pos", F.explode(tx.once(corpus, hits)).alias("grp_no"))
     chosen = _resolve(_first_per_group(member, counts, [F.col("pos")]), counts)
     # At most 15,000 ids by the checked request.
     selected = bank.join(F.broadcast(chosen), "pos").withColumn("stem", tx.clean_stem("stem"))
@@ -152,7 +162,7 @@ def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None
 def selection_report(member: DataFrame, chosen: DataFrame, counts: list[int]) -> DataFrame:
     """Requested, matched (hits no earlier group took), selected and shortfall per group."""
     taken = F.broadcast(chosen.select("pos", "sel_group"))
-    hits = member.join(taken, "pos", "left").select(F.explode("groups").alias("grp_no"), "sel_group").filter(
+    hits = member.join(taken, "pos", "left").filter(
         F.col("sel_group").isNull() | (F.col("sel_group") >= F.col("grp_no"))
     )
     matched = hits.groupBy("grp_no").agg(
@@ -186,7 +196,8 @@ def score_errors(scores: DataFrame, bank: DataFrame, n_groups: int) -> DataFrame
 def score_quota_select(bank: DataFrame, scores: DataFrame, groups: list[dict]) -> tuple[DataFrame, DataFrame]:
     """(selected rows awaiting review, report): per group the best scores not chosen earlier."""
     counts = [g["count"] for g in _checked_groups(groups)]
-    chosen = _resolve(_first_per_group(scores, counts, [F.col("score").desc(), F.col("pos")]), counts)
+    member = scores.select("pos", "score", F.explode(F.array_distinct("groups")).alias("grp_no"))
+    chosen = _resolve(_first_per_group(member, counts, [F.col("score").desc(), F.col("pos")]), counts)
     picked = F.broadcast(chosen).join(scores.select("pos", "score", "reason"), "pos")
     selected = bank.join(picked, "pos").withColumn("stem", tx.clean_stem("stem")).withColumn(
         "selection_review",
@@ -195,7 +206,7 @@ def score_quota_select(bank: DataFrame, scores: DataFrame, groups: list[dict]) -
             F.col("score"), F.col("sel_group").alias("group"),
         ),
     )
-    return selected, selection_report(scores.select("pos", "groups"), chosen, counts).drop("matched")
+    return selected, selection_report(member.select("pos", "grp_no"), chosen, counts).drop("matched")
 
 
 # --- working pool -----------------------------------------------------------------------------
