@@ -131,7 +131,8 @@ def overlapping_batches(units: DataFrame, batch_size: int, doc: str = "doc_id")
     own = F.floor((p - 1) / b)
     seen = F.array_distinct(F.array(own, F.floor(p / b), F.floor((p - 2) / b)))
     last = page_counts(units, doc)
-    rows = units.join(last, doc).select(
+    # A document's page count is also its number of units.
+    rows = attach_per_key(units, last, [doc], "pages", row_id="page").select(
         *units.columns, own.alias("__own"), F.floor((F.col("pages") - 1) / b).alias("__last"), F.explode(seen).alias("batch")
     )
     return rows.filter(F.col("batch").between(0, F.col("__last"))).withColumn(
@@ -196,10 +197,14 @@ def page_role(pages: DataFrame, docs: DataFrame, segments: DataFrame, file: str
         F.explode(F.sequence("start_page", "end_page")).alias("page"),
     ).groupBy(file, "page").agg(F.min(F.struct("ordinal", "seg_role")).alias("__s"))
     doc_role = docs.select(F.col("id").alias(file), F.col("role").alias("doc_role"), F.lit(True).alias("known_doc"))
-    return pages.join(covered, [file, "page"], "left").join(doc_role, file, "left").select(
-        *pages.columns, F.coalesce(F.col("known_doc"), F.lit(False)).alias("known_doc"),
+    # Roles are settled per distinct page, then given to the rows of the page, however many there are.
+    roles = pages.groupBy(file, "page").agg(F.count(F.lit(1)).alias("__n")).join(covered, [file, "page"], "left").join(doc_role, file, "left")
+    roles = roles.select(
+        file, "page", "__n", F.coalesce(F.col("known_doc"), F.lit(False)).alias("known_doc"),
         F.coalesce(F.col("__s.seg_role"), F.col("doc_role"), F.lit("unknown")).alias("page_role"),
     )
+    # A row without any page takes the document's role: its page is null on both sides.
+    return attach_per_key(pages, roles, [file, "page"], "__n").drop("__n")
 
 
 def sanitize(items: DataFrame, docs: DataFrame, segments: DataFrame) -> DataFrame:

@@ -52,14 +52,15 @@ def ingest_plan(bank: DataFrame, result: DataFrame, partial: bool = False, allow
 
 def ingest_outcome(plan: DataFrame, bank: DataFrame | None = None) -> DataFrame:
     """Counts per outcome, rows skipped, and the bank size afterwards."""
-    counts = plan.agg(
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES],
-        F.count_if(F.col("outcome") != "added").alias("skipped"),
+    rows = plan.select("outcome")
+    if bank is not None:
+        rows = rows.unionByName(bank.select(F.lit("held").alias("outcome")))
+    outcome = F.col("outcome")
+    counts = rows.agg(
+        *[F.count_if(outcome == o).alias(o) for o in OUTCOMES], F.count_if(~outcome.isin("added", "held")).alias("skipped"),
+        F.count_if(outcome.isin("added", "held")).alias("total"),
     )
-    if bank is None:
-        return counts
-    size = bank.agg(F.count(F.lit(1)).alias("__n"))
-    return counts.join(size, F.lit(True)).withColumn("total", F.col("__n") + F.col("added")).drop("__n")  # one row each
+    return counts if bank is not None else counts.drop("total")
 
 
 def to_bank_rows(items: DataFrame, run_id: str) -> DataFrame:

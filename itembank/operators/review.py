@@ -369,10 +369,9 @@ def review_queue(questions: DataFrame) -> DataFrame:
         "pos", (F.coalesce(F.col("figure_status"), F.lit("")) != "confirmed").alias("figure_open")
     )
     ranked = row_numbers(wait, [], "pos", "place", total="count")
-    follow = ranked.select((F.col("place") - 1).alias("place"), F.col("pos").alias("next_pos"))
-    first = ranked.filter("place = 1").select(F.col("pos").alias("first_pos"))
-    out = ranked.join(follow, "place", "left").join(F.broadcast(first), F.lit(True))  # one row
-    return out.select("pos", "place", "count", "figure_open", F.coalesce("next_pos", "first_pos").alias("next_pos"))
+    # The row after the last one is the first: places close to a ring, so the join key is unique.
+    ring = ranked.select((F.pmod(F.col("place") - 2, F.col("count")) + 1).alias("place"), F.col("pos").alias("next_pos"))
+    return ranked.join(ring, "place").select("pos", "place", "count", "figure_open", "next_pos")
 
 
 def opening_card(queue: DataFrame) -> DataFrame:
@@ -400,12 +399,16 @@ def review_summary(checks: DataFrame, questions: DataFrame) -> DataFrame:
 
     ``checks``: pos, field, status. ``questions``: pos, status of the text review.
     """
-    c = checks.agg(F.count(F.lit(1)).alias("flagged_fields"), F.count_if(F.col("status") == "corrected").alias("corrected_fields"))
-    open_rows = questions.select("pos", (F.col("status") == "unresolved").alias("u")).unionByName(
-        checks.select("pos", (F.col("status") == "unresolved").alias("u"))
-    )
-    q = questions.agg(F.count(F.lit(1)).alias("checked"))
-    u = open_rows.filter("u").agg(F.count_distinct("pos").alias("unresolved_questions"))
-    return q.join(c, F.lit(True)).join(u, F.lit(True)).withColumn(  # three one-row frames
-        "status", F.when(F.col("unresolved_questions") == 0, "complete").otherwise("needs_review")
+    unresolved = F.col("status") == "unresolved"
+    left = questions.filter(unresolved).select("pos").unionByName(checks.filter(unresolved).select("pos")).distinct()
+    tagged = (
+        questions.select(F.lit("q").alias("side"), F.lit("").alias("status"))
+        .unionByName(checks.select(F.lit("c").alias("side"), "status"))
+        .unionByName(left.select(F.lit("u").alias("side"), F.lit("").alias("status")))
     )
+    side = F.col("side")
+    return tagged.agg(
+        F.count_if(side == "q").alias("checked"), F.count_if(side == "c").alias("flagged_fields"),
+        F.count_if((side == "c") & (F.col("status") == "corrected")).alias("corrected_fields"),
+        F.count_if(side == "u").alias("unresolved_questions"),
+    ).withColumn("status", F.when(F.col("unresolved_questions") == 0, "complete").otherwise("needs_review"))
