@@ -92,18 +92,23 @@ def progress(events: DataFrame, now: Column | None = None) -> DataFrame:
     Without a ``total`` the files seen are the total.
     """
     order = F.struct("ts", "event_id")
-    latest = events.groupBy("session").agg(F.max(F.struct(order.alias("k"), "stage"))["stage"].alias("cur"), F.max("ts").alias("last_ts"))
-    # The stage starts after the session's last event of any other stage.
-    other = attach_per_key(events, latest, ["session"], row_id="event_id")
-    start = other.filter(F.col("stage") != F.col("cur")).groupBy("session").agg(F.max(order).alias("__k"))
-    since = attach_per_key(other.filter(F.col("stage") == F.col("cur")), start, ["session"], row_id="event_id").filter(
-        F.col("__k").isNull() | (order > F.col("__k"))
+    # The current stage, and the last event of any other stage, follow from one row per (session, stage).
+    stages = events.groupBy("session", "stage").agg(F.max(order).alias("k"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+    latest = stages.groupBy("session").agg(
+        F.max(F.struct("k", "stage"))["stage"].alias("cur"), F.max("ts").alias("last_ts"), F.sum("n").alias("n")
+    )
+    start = stages.join(latest.select("session", "cur"), "session").filter(F.col("stage") != F.col("cur")).groupBy("session").agg(
+        F.max("k").alias("__k")
+    )
+    stats = latest.join(start, "session", "left")
+    since = attach_per_key(events, stats.drop("last_ts"), ["session"], "n", row_id="event_id").filter(
+        (F.col("stage") == F.col("cur")) & (F.col("__k").isNull() | (order > F.col("__k")))
     )
     per_file = since.groupBy("session", "file").agg(
         F.max(F.struct(order.alias("k"), "fraction"))["fraction"].alias("fraction"), F.min("ts").alias("started"),
         *([F.max(F.struct(order.alias("k"), "total"))["total"].alias("total")] if "total" in events.columns else []),
     )
-    return _summary(per_file, latest, now, "total" in events.columns)
+    return _summary(per_file, latest.drop("n"), now, "total" in events.columns)
 
 
 def stage_progress(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from itembank.operators import documents as dc
 from itembank.operators import link as lk
 from itembank.operators import review as rv
 from itembank.plans.registry import query
+from itembank.session import cut_lineage
 from itembank.sources import views as v
 
 
@@ -42,6 +43,15 @@ def pack_lines(spark, sf):
     return dc.pack_lines(d).select("doc_id", "page", F.length("text").alias("chars"), F.sha2("text", 256).alias("unit"))
 
 
+def stored_items(spark, sf, *columns):
+    """Items as the stage table they are in a run: written once, then read by every branch of a plan."""
+    return cut_lineage(v.items(spark, sf).select(*columns))
+
+
+KEY_COLUMNS = ("pos", "kind", "source_file", "section", "number", "source_pages", "page")
+LINK_COLUMNS = (*KEY_COLUMNS, "grp", "answer", "explanation", "complete")
+
+
 SQL_UNITS = "WITH u AS (SELECT doc_id, unnest(range(1, (length(text) + 899) // 900 + 1)) AS page, (length(text) + 899) // 900 AS n FROM documents)"
 
 
@@ -98,7 +108,7 @@ def _segments(docs):
     FROM items i LEFT JOIN s ON s.id = i.source_file LEFT JOIN docs d ON d.id = i.source_file""")
 def page_role(spark, sf):
     d = v.docs(spark, sf)
-    return dc.page_role(v.items(spark, sf).select("pos", "source_file", "page"), d, _segments(d)).select("pos", "page", "page_role")
+    return dc.page_role(stored_items(spark, sf, "pos", "source_file", "page"), d, _segments(d)).select("pos", "page", "page_role")
 
 
 @query("items docs", """, s AS (SELECT id, greatest(1, pages * 4 // 5) AS cut, pages FROM docs WHERE role = 'questions'),
@@ -108,7 +118,8 @@ def page_role(spark, sf):
     SELECT pos, CASE WHEN ok THEN answer ELSE '' END AS answer, CASE WHEN NOT ok AND answer <> '' THEN answer ELSE '' END AS rejected, ok AS authorized FROM items JOIN r USING (pos) WHERE ok OR kind <> 'solution'""")
 def sanitize(spark, sf):
     d = v.docs(spark, sf)
-    return dc.sanitize(v.items(spark, sf), d, _segments(d)).select("pos", "answer", F.coalesce("rejected_answer", F.lit("")).alias("rejected"), "authorized")
+    i = stored_items(spark, sf, "pos", "kind", "source_file", "source_pages", "answer", "explanation")
+    return dc.sanitize(i, d, _segments(d)).select("pos", "answer", F.coalesce("rejected_answer", F.lit("")).alias("rejected"), "authorized")
 
 
 @query("page_roles", """, d AS (SELECT doc, max(CASE WHEN role = 'questions' THEN page END) AS lq, min(CASE WHEN role = 'solutions' THEN page END) AS fs, max(page) AS pages FROM page_roles GROUP BY doc)
@@ -157,8 +168,8 @@ SQL_MATCH = """, q AS (SELECT *, count(*) OVER (PARTITION BY grp, section, numbe
     f AS (SELECT m.*, s.answer AS s_answer, s.complete AS s_complete, s.source_file AS s_file, s.source_pages AS s_pages, CASE WHEN solution_pos IS NULL THEN own ELSE s.answer END AS answer FROM m LEFT JOIN s ON s.pos = m.solution_pos)"""
 
 
-def _matched(spark, sf):
-    i = v.items(spark, sf)
+def _matched(spark, sf, *more):
+    i = stored_items(spark, sf, *LINK_COLUMNS, *more)
     return lk.match_solutions(i.filter("kind = 'question'"), i.filter("kind = 'solution'"))
 
 
@@ -178,7 +189,7 @@ def match_solutions(spark, sf):
     SELECT source_file, n, 'missing' AS problem FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source_file = x.source_file AND c.n = x.n)
     UNION ALL SELECT source_file, n, 'duplicate' FROM c WHERE cnt > 1 AND source_file IN (SELECT id FROM d)""")
 def coverage(spark, sf):
-    return lk.coverage(v.items(spark, sf), v.docs(spark, sf))
+    return lk.coverage(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf))
 
 
 SQL_NEAR = """, d AS (SELECT id AS source_file, CASE role WHEN 'questions' THEN 'question' ELSE 'solution' END AS kind, last_question_number AS last, pages FROM docs WHERE continuous_numbering AND last_question_number BETWEEN 1 AND 2000),
@@ -197,21 +208,21 @@ SQL_NEAR = """, d AS (SELECT id AS source_file, CASE role WHEN 'questions' THEN
       least(pages, CASE WHEN cnt > 0 THEN hi WHEN bhi IS NOT NULL AND alo IS NOT NULL THEN greatest(bhi, alo) ELSE nhi END) AS last_page, count(*) OVER (PARTITION BY source_file, kind) AS targets FROM y)
     SELECT source_file, kind, n, first_page, last_page FROM z WHERE targets <= 20 AND last_page - first_page + 1 BETWEEN 1 AND 6""")
 def coverage_worklist(spark, sf):
-    return lk.coverage_worklist(v.items(spark, sf), v.docs(spark, sf))
+    return lk.coverage_worklist(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf))
 
 
 @query("items docs", SQL_NEAR + """, z AS (SELECT source_file, n, greatest(1, nlo - 1) AS first_page, least(pages, nhi + 1) AS last_page, count(*) OVER (PARTITION BY source_file) AS m FROM y WHERE cnt = 0 AND kind = 'question')
     SELECT source_file, n, first_page, last_page FROM z WHERE m <= 10 AND last_page - first_page + 1 BETWEEN 1 AND 6""")
 def missing_worklist(spark, sf):
     q = v.docs(spark, sf).filter("role = 'questions'")
-    return lk.missing_worklist(v.items(spark, sf), q)
+    return lk.missing_worklist(stored_items(spark, sf, *KEY_COLUMNS), q)
 
 
 @query("items", """, k AS (SELECT pos, source_file, kind, section, number, source_pages FROM items WHERE number <> ''),
     p AS (SELECT DISTINCT a.source_file, a.kind, a.section, a.number FROM k a JOIN k b ON a.source_file = b.source_file AND a.kind = b.kind AND a.section = b.section AND a.number = b.number AND a.pos < b.pos AND list_has_any(a.source_pages, b.source_pages))
     SELECT k.pos, k.number FROM k JOIN p USING (source_file, kind, section, number)""")
 def overlap_candidates(spark, sf):
-    return lk.overlap_candidates(v.items(spark, sf), ["source_file", "kind", "section", "number"]).select("pos", "number")
+    return lk.overlap_candidates(stored_items(spark, sf, *KEY_COLUMNS), ["source_file", "kind", "section", "number"]).select("pos", "number")
 
 
 @query("items", """, k AS (SELECT pos, source_file, kind, section, number, source_pages FROM items WHERE number <> ''),
@@ -221,7 +232,7 @@ def overlap_candidates(spark, sf):
     UNION ALL SELECT pos, TRUE FROM g""")
 def apply_reconciliation(spark, sf):
     keys = ["source_file", "kind", "section", "number"]
-    i = v.items(spark, sf)
+    i = stored_items(spark, sf, *KEY_COLUMNS)
     c = lk.overlap_candidates(i, keys).groupBy(*keys).agg(F.min("pos").alias("pos"))
     one = F.struct("pos", "kind", F.when(F.col("pos") % 3 == 0, "0").otherwise(F.col("number")).alias("number"))
     verdicts = c.select(*keys, F.lit(True).alias("same_question"), F.array(one).alias("merged"))
@@ -244,7 +255,7 @@ def _printed(spark, sf):
     CASE WHEN own.c IS NOT NULL THEN CASE WHEN own.k = 1 AND own.a = f.answer THEN '' ELSE '答案复核不一致' END WHEN loc.np = 1 THEN CASE WHEN loc.k = 1 AND loc.a = f.answer THEN '' ELSE '答案复核不一致' END ELSE '答案未通过独立复核' END AS flag
     FROM f LEFT JOIN own USING (pos) LEFT JOIN loc ON loc.source_file = f.s_file AND loc.number = f.number WHERE solution_pos IS NOT NULL AND answer <> ''""")
 def audit_answers(spark, sf):
-    out = lk.audit_answers(_matched(spark, sf), _printed(spark, sf)).filter("audit_matches IS NOT NULL")
+    out = lk.audit_answers(cut_lineage(_matched(spark, sf)), _printed(spark, sf)).filter("audit_matches IS NOT NULL")
     return out.select("pos", F.coalesce("recovered_page", F.lit(-1)).alias("recovered_page"), F.coalesce("audit_flag", F.lit("")).alias("flag"))
 
 
@@ -254,7 +265,7 @@ def audit_answers(spark, sf):
       CASE WHEN pos % 8 = 0 AND answer <> '' AND len(options) > 0 AND length(answer) <> len(options) THEN '判断题答案数量与选项不符' END) AS flags, pos % 25 = 0 AS shared FROM w""")
 def item_flags(spark, sf):
     p = F.col("pos")
-    m = _matched(spark, sf)
+    m = _matched(spark, sf, "stem", "options")
     stem = F.concat("stem", F.when(p % 12 == 0, "<uncertain>").otherwise(""), F.when(p % 8 == 0, "判断正误").otherwise(""))
     section = F.when(p % 25 == 0, F.lit("1-3 为题组：" + "材料" * 15)).otherwise(F.col("section"))
     out = rv.item_flags(m.withColumn("stem", stem).withColumn("section", section))
@@ -288,7 +299,7 @@ def recovery_sources(spark, sf):
 @query("items", """, f AS (SELECT pos + 1000000 AS pos, source_file, kind, number FROM items WHERE page % 5 = 0 AND number <> '' QUALIFY row_number() OVER (PARTITION BY source_file, kind, number ORDER BY pos) = 1)
     SELECT pos FROM f UNION ALL SELECT pos FROM items i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source_file = i.source_file AND f.kind = i.kind AND f.number = i.number)""")
 def replace_rows(spark, sf):
-    i = v.items(spark, sf)
+    i = stored_items(spark, sf, *KEY_COLUMNS)
     first = i.filter("page % 5 = 0 AND number <> ''").groupBy("source_file", "kind", "number").agg((F.min("pos") + 1000000).alias("pos"))
     return lk.replace_rows(i, first).select("pos")
 
@@ -321,7 +332,7 @@ def batch_verdicts(spark, sf):
 
 def _review_batch(spark, sf):
     """Six questions of a source per review batch."""
-    q = v.items(spark, sf).filter("kind = 'question'")
+    q = stored_items(spark, sf, "pos", "kind", "source_file", "stem", "options").filter("kind = 'question'")
     return q.select(F.concat_ws("-", "source_file", F.floor((F.col("pos") / 120)).cast("string")).alias("batch_id"), F.col("pos").cast("string").alias("id"), "pos", "stem", "options")
 
 
@@ -378,7 +389,7 @@ def answer_consensus(spark, sf):
     SELECT pos, CASE WHEN filled THEN 'T' ELSE answer END AS answer, CASE WHEN NOT asked THEN '' WHEN filled THEN 'recovered' ELSE 'unresolved' END AS recovery, CASE WHEN filled THEN 0 ELSE 1 END AS flags FROM v""")
 def recover_answers(spark, sf):
     p = F.col("pos")
-    q = v.items(spark, sf).filter("kind = 'question'").select(
+    q = stored_items(spark, sf, "pos", "kind", "grp", "stem", "options", "answer").filter("kind = 'question'").select(
         "pos", "grp", "stem", "options", "answer", F.lit(None).cast("string").alias("status"), (p % 13 == 0).alias("tried"),
         F.array(F.lit(pr.NO_ANSWER_FLAG)).alias("review_flags"),
     )
