@@ -1,3 +1,3 @@
 """All queries of this package; importing this module registers them."""
-from itembank.llm import token_counts  # noqa: F401
+from itembank.llm import token_counts, token_files  # noqa: F401
 from itembank.llm.common import ORACLE, QUERIES  # noqa: F401
