@@ -23,7 +23,7 @@ SHARE = 1.5
 REPEATS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 16
-SHARD_SIZE = 1 << 22
+SHARD_SIZE = 1 << 20
 SEED = "mix-1"
 #: White space of the size of a text: space and the five controls from tab to carriage return.
 SPACES = "\t\n\x0b\x0c\r "
