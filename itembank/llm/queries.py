@@ -1,3 +1,3 @@
 """All queries of this package; importing this module registers them."""
-from itembank.llm import mixing, pieces, token_counts, token_files, topk  # noqa: F401
+from itembank.llm import ann, mixing, pieces, token_counts, token_files, topk  # noqa: F401
 from itembank.llm.common import ORACLE, QUERIES  # noqa: F401
