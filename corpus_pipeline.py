@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without repeated strings of 100 bytes, ``n_chars`` anew."""
-    rest = without_repeats(docs, docs.columns, with_text=True)
+    rest = without_repeats(docs, [c for c in docs.columns if c != "text"], with_text=True)
     return rest.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*docs.columns)
 
 

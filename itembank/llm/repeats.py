@@ -376,13 +376,13 @@ def without_repeats(
 
     A null text is empty; a text shorter than ``length`` has no repeats. A null id stands before all others. Equal rows
     are one document. Different texts with one id are not supported as apart: a string counts as earlier by its place
-    in any of them. Other columns are passed on or not read.
+    in any of them. ``keep`` names neither the text nor ``doc``, ``packed``, ``cuts``; columns beside it are not read.
     """
     folder = run_folder(docs.sparkSession, "repeats")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
     source = docs.select(key, F.col(text).alias("text"))
     cuts = repeats(source, folder, length, gram, crowd).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
-    kept = docs.select(key, *keep, F.col(text).alias("text") if text not in keep else F.col(text))
+    kept = docs.select(key, *keep, F.col(text).alias("text"))
     names = ["doc", *keep]
     fields = kept.select(*names).schema
     packed = kept.mapInArrow(_pack(names), fields.add("packed", "binary"))
