@@ -1,12 +1,16 @@
-"""Boolean keyword trees compiled to one Column at plan time.
+"""Keyword queries compiled to one Column at plan time.
 
-A tree is a nested dict ``{"op", "keywords", "clauses"}``. Compiling happens on
-the driver over the request, never over data; Catalyst sees one predicate.
+A request, nested as it comes, becomes a flat list of clauses, each with the index of the clause around it. Checks,
+predicates, scores and word lists are then single passes over that list. All of this runs on the driver over the request,
+never over data; Catalyst sees one predicate.
 """
 from __future__ import annotations
 
 import re
+from collections import deque
+from dataclasses import dataclass
 from functools import reduce
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,101 +21,97 @@ from itembank.functions.text import as_col
 MAX_DEPTH = 8
 # The default score boosts (words, points); any word of an entry earns its points once.
 DEFAULT_BOOSTS = [(("脊椎动物学",), 30), (("文献题", "图表题"), 5)]
+# What separates words, by the place they are written in. The first search rule whose sign is found applies.
+WORD_LIST = r"[\s,，;；、/|]+"
+SEARCH_RULES = [("OR", r"[|/]| or ", r"\s*[|/]\s*|\s+or\s+"), ("AND", r"", r"[\s,，;；]+")]
+COMPAT_RULES = [("OR", r"[|/]| or ", r"\s*(?:\||/|or)\s*"), ("AND", r"", r"[\s,，;；]+")]
+FOLDS = {"lower": lambda w: " ".join(w.lower().split()), "casefold": str.casefold}
 
 
-def _fold(word: str, mode: str) -> str:
-    if mode == "casefold":
-        return word.casefold()
-    return re.sub(r"\s+", " ", word.lower()).strip()
+@dataclass(frozen=True)
+class Clause:
+    """around: index of the enclosing clause, -1 for the outermost. every: all parts must hold, else any."""
+
+    around: int
+    depth: int
+    every: bool
+    words: tuple[str, ...]
 
 
 def keyword_list(value: Any) -> list[str]:
-    """Distinct normalised keywords of a string or list."""
-    if isinstance(value, str):
-        value = re.split(r"[\s,，;；、/|]+", value)
-    words = [_fold(str(v), "lower") for v in value] if isinstance(value, list) else []
-    return list(dict.fromkeys(w for w in words if w))
-
-
-def check_tree(node: Any, depth: int = 0) -> dict:
-    """Strict form: known op, non-blank keywords, not empty, depth at most 8."""
-    if depth > MAX_DEPTH or not isinstance(node, dict):
-        raise ValueError("query is too deep or not an object")
-    op, words, clauses = str(node.get("op", "OR")).upper(), node.get("keywords", []), node.get("clauses", [])
-    if op not in ("AND", "OR"):
-        raise ValueError("op must be AND or OR")
-    if not isinstance(words, list) or not all(isinstance(w, str) and w.strip() for w in words):
-        raise ValueError("keywords must be non-blank strings")
-    if not isinstance(clauses, list) or not (words or clauses):
-        raise ValueError("a query needs keywords or clauses")
-    return {"op": op, "keywords": words, "clauses": [check_tree(c, depth + 1) for c in clauses]}
-
-
-def lenient_tree(node: Any) -> dict:
-    """Forgiving form: unknown op becomes OR, empty children go, must/any lists are accepted."""
-    if not isinstance(node, dict):
-        return {"op": "OR", "keywords": keyword_list(node), "clauses": []}
-    if "keywords" not in node and "clauses" not in node and ("must_keywords" in node or "any_keywords" in node):
-        return must_any_tree(node.get("must_keywords", []), node.get("any_keywords", []))
-    op = str(node.get("op") or "OR").upper()
-    children = node.get("clauses")
-    children = [lenient_tree(c) for c in children] if isinstance(children, list) else []
-    return {
-        "op": op if op in ("AND", "OR") else "OR",
-        "keywords": keyword_list(node.get("keywords", [])),
-        "clauses": [c for c in children if c["keywords"] or c["clauses"]],
-        **({"name": str(node["name"]).strip()} if node.get("name") else {}),
+    """Distinct normalised keywords of a string or list; anything else has none."""
+    given = {str: lambda: re.split(WORD_LIST, value), list: lambda: map(str, value)}.get(type(value), list)()
+    return [w for w in dict.fromkeys(map(FOLDS["lower"], given)) if w]
+
+
+def _as_asked(node: Any, depth: int) -> tuple[bool, list[str], list]:
+    """A node of a strict query; every fault is an error."""
+    faults = {
+        "query is too deep or not an object": lambda: depth > MAX_DEPTH or not isinstance(node, dict),
+        "op must be AND or OR": lambda: str(node.get("op", "OR")).upper() not in ("AND", "OR"),
+        "keywords must be non-blank strings": lambda: not isinstance(node.get("keywords", []), list)
+        or any(not isinstance(w, str) or w.isspace() or not w for w in node.get("keywords", [])),
+        "a query needs keywords or clauses": lambda: not isinstance(node.get("clauses", []), list)
+        or not (node.get("keywords") or node.get("clauses")),
     }
+    for fault, found in faults.items():
+        if found():
+            raise ValueError(fault)
+    return str(node.get("op", "OR")).upper() == "AND", node.get("keywords", []), node.get("clauses", [])
 
 
-def must_any_tree(must: Any, anyof: Any) -> dict:
-    leaf = lambda words: {"op": "OR", "keywords": words, "clauses": []}
-    leaves = [leaf([w]) for w in keyword_list(must)]
-    rest = keyword_list(anyof)
-    return {"op": "AND", "keywords": [], "clauses": leaves + ([leaf(rest)] if rest else [])}
+def _as_meant(node: Any, depth: int) -> tuple[bool, list[str], list]:
+    """A node of a forgiving query: plain words are an OR, an unknown op is OR, must and any lists are clauses."""
+    if not isinstance(node, dict):
+        return False, keyword_list(node), []
+    if node.keys() & {"keywords", "clauses"} or not node.keys() & {"must_keywords", "any_keywords"}:
+        below = node.get("clauses")
+        return str(node.get("op")).upper() == "AND", keyword_list(node.get("keywords")), below if isinstance(below, list) else []
+    return True, [], [*([w] for w in keyword_list(node.get("must_keywords"))), keyword_list(node.get("any_keywords"))]
 
 
-def _combine(parts: list[Column], op: str) -> Column:
-    return reduce((lambda a, b: a & b) if op == "AND" else (lambda a, b: a | b), parts)
+def compile_query(query: Any, strict: bool = False) -> list[Clause]:
+    """The clauses of a query, outer ones first. A forgiving query may have clauses without any word; they say nothing."""
+    read, out = _as_asked if strict else _as_meant, []
+    waiting = deque([(query, -1, 0)])
+    while waiting:
+        node, around, depth = waiting.popleft()
+        every, words, below = read(node, depth)
+        waiting.extend((b, len(out), depth + 1) for b in below)
+        out.append(Clause(around, depth, every, tuple(words)))
+    return out
 
 
-def match_tree(node: dict, corpus, mode: str = "lower") -> Column:
-    """Predicate of a checked or lenient tree; an empty tree keeps every row."""
-    corpus = as_col(corpus)
-    parts = [corpus.contains(_fold(w, mode)) for w in node["keywords"]]
-    parts += [match_tree(c, corpus, mode) for c in node["clauses"]]
-    return _combine(parts, node["op"]) if parts else F.lit(True)
+def flat_query(words: list[str], every: bool) -> list[Clause]:
+    return [Clause(-1, 0, every, tuple(words))]
+
+
+def matches(clauses: list[Clause], corpus, mode: str = "lower") -> Column:
+    """Predicate of a query; one without words keeps every row."""
+    corpus, fold = as_col(corpus), FOLDS[mode]
+    parts: dict[int, list[Column]] = {}
+    for i in range(len(clauses) - 1, -1, -1):
+        clause = clauses[i]
+        held = [corpus.contains(fold(w)) for w in clause.words] + parts.get(i, [])
+        if held:
+            parts.setdefault(clause.around, []).insert(0, reduce(and_ if clause.every else or_, held))
+    return parts.get(-1, [F.lit(True)])[0]
 
 
 def contains_any(corpus, words: list[str], mode: str = "lower") -> Column:
-    words = [_fold(w, mode) for w in words]
-    return _combine([as_col(corpus).contains(w) for w in words], "OR") if words else F.lit(False)
+    return matches(flat_query(words, False), corpus, mode) if words else F.lit(False)
 
 
-def tree_keywords(node: dict, depth: int = 0) -> list[tuple[str, int]]:
-    below = [pair for c in node["clauses"] for pair in tree_keywords(c, depth + 1)]
-    return [(w, depth) for w in node["keywords"]] + below
+def words_of(clauses: list[Clause]) -> list[str]:
+    return [w for clause in clauses for w in clause.words]
 
 
-def tree_score(node: dict, corpus, boosts=None) -> Column:
+def query_score(clauses: list[Clause], corpus, boosts=None) -> Column:
     """Points of every keyword found, less at greater depth, plus the boosts."""
     corpus = as_col(corpus)
-    score = F.lit(0)
-    for word, depth in tree_keywords(node):
-        score = score + F.when(corpus.contains(word), max(8, 40 - 6 * depth)).otherwise(0)
-    for words, points in DEFAULT_BOOSTS if boosts is None else boosts:
-        score = score + F.when(contains_any(corpus, list(words)), points).otherwise(0)
-    return score
-
-
-def tree_text(node: dict) -> str:
-    """Readable form of a tree."""
-    joiner = f" {node['op']} "
-    words = node["keywords"]
-    parts = [f"({joiner.join(words)})" if len(words) > 1 else words[0]] if words else []
-    parts += [tree_text(c) for c in node["clauses"]]
-    text = "ALL" if not parts else parts[0] if len(parts) == 1 else f"({joiner.join(parts)})"
-    return f"{node['name']}:{text}" if node.get("name") else text
+    points = [(corpus.contains(w), max(8, 40 - 6 * clause.depth)) for clause in clauses for w in clause.words]
+    points += [(contains_any(corpus, list(words)), n) for words, n in (DEFAULT_BOOSTS if boosts is None else boosts)]
+    return reduce(lambda total, p: total + F.when(p[0], p[1]).otherwise(0), points, F.lit(0))
 
 
 def search_tokens(text: str, compat: bool = False) -> tuple[list[str], str]:
@@ -119,12 +119,6 @@ def search_tokens(text: str, compat: bool = False) -> tuple[list[str], str]:
 
     ``|``, ``/`` or the word ``or`` mean OR. ``compat`` also splits at ``or`` inside words.
     """
-    text = _fold(text or "", "lower")
-    if not text:
-        return [], "RECENT"
-    if "|" in text or "/" in text or " or " in text:
-        splitter = r"\s*(?:\||/|or)\s*" if compat else r"\s*[|/]\s*|\s+or\s+"
-        tokens, mode = re.split(splitter, text), "OR"
-    else:
-        tokens, mode = re.split(r"[\s,，;；]+", text), "AND"
-    return [t.strip() for t in tokens if t.strip()], mode
+    text = FOLDS["lower"](text or "")
+    mode, _, separator = next(rule for rule in (COMPAT_RULES if compat else SEARCH_RULES) if re.search(rule[1], text))
+    return (list(filter(None, map(str.strip, re.split(separator, text)))), mode) if text else ([], "RECENT")

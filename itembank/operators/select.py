@@ -20,17 +20,13 @@ def _corpus(words: list[str]) -> Column:
     return tx.search_corpus("stem", "answer", "remark", "image", "options", collapse=any(" " in w for w in words))
 
 
-def _words(tree: dict) -> list[str]:
-    return [w for w, _ in qy.tree_keywords(tree)]
-
-
 def search_hits(bank: DataFrame, text: str, compat: bool = False) -> DataFrame:
     """All rows matching the search box text."""
     tokens, mode = qy.search_tokens(text, compat)
     if not tokens:
         return bank
-    node = {"op": mode, "keywords": tokens, "clauses": []}
-    return bank.filter(tx.once(_corpus(tokens), lambda x: qy.match_tree(node, x)))
+    asked = qy.flat_query(tokens, mode == "AND")
+    return bank.filter(tx.once(_corpus(tokens), lambda x: qy.matches(asked, x)))
 
 
 def search(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = False) -> DataFrame:
@@ -51,8 +47,8 @@ def search(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = Fals
 def search_counts(bank: DataFrame, text: str = "", limit: int = 80, compat: bool = False) -> DataFrame:
     """Rows shown, rows hit, rows in the bank, in one scan."""
     tokens, mode = qy.search_tokens(text, compat)
-    node = {"op": mode, "keywords": tokens, "clauses": []}
-    hit = tx.once(_corpus(tokens), lambda x: qy.match_tree(node, x)) if tokens else F.lit(True)
+    asked = qy.flat_query(tokens, mode == "AND")
+    hit = tx.once(_corpus(tokens), lambda x: qy.matches(asked, x)) if tokens else F.lit(True)
     return bank.agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("total")).select(
         F.least(F.col("hits"), F.lit(limit)).alias("shown"), "hits", "total"
     )
@@ -65,26 +61,26 @@ def recent(bank: DataFrame, n: int = 80) -> DataFrame:
 
 def matching(bank: DataFrame, tree: dict, exclude: list[str] | None = None) -> DataFrame:
     """Rows matching a lenient tree and none of the excluded words."""
-    tree, words = qy.lenient_tree(tree), qy.keyword_list(exclude or [])
-    corpus = _corpus(_words(tree) + words)
-    return bank.filter(tx.once(corpus, lambda x: qy.match_tree(tree, x) & ~qy.contains_any(x, words)))
+    tree, words = qy.compile_query(tree), qy.keyword_list(exclude or [])
+    corpus = _corpus(qy.words_of(tree) + words)
+    return bank.filter(tx.once(corpus, lambda x: qy.matches(tree, x) & ~qy.contains_any(x, words)))
 
 
 def scored_select(bank: DataFrame, tree: dict, exclude: list[str] | None = None, n: int = 50, boosts=None) -> DataFrame:
     """Best ``n`` matches by keyword score, ties in bank order."""
-    tree, words = qy.lenient_tree(tree), qy.keyword_list(exclude or [])
+    tree, words = qy.compile_query(tree), qy.keyword_list(exclude or [])
     extra = [w for group, _ in (qy.DEFAULT_BOOSTS if boosts is None else boosts) for w in group]
-    corpus = _corpus(_words(tree) + words + extra)
+    corpus = _corpus(qy.words_of(tree) + words + extra)
     # Match and score come from one look at the text; a row without a match explodes to nothing.
     score = F.transform(F.array(corpus), lambda x: F.when(
-        qy.match_tree(tree, x) & ~qy.contains_any(x, words), qy.tree_score(tree, x, boosts)
+        qy.matches(tree, x) & ~qy.contains_any(x, words), qy.query_score(tree, x, boosts)
     ))
     hits = bank.select("*", F.explode(F.array_compact(score)).alias("score"))
     return hits.orderBy(F.col("score").desc(), "pos").limit(max(1, n))
 
 
 def keyword_select(bank: DataFrame, must: list[str], anyof: list[str], exclude: list[str] | None = None, n: int = 50) -> DataFrame:
-    return scored_select(bank, qy.must_any_tree(must, anyof), exclude, n)
+    return scored_select(bank, {"must_keywords": must, "any_keywords": anyof}, exclude, n)
 
 
 def _checked_groups(groups: list[dict]) -> list[dict]:
@@ -147,7 +143,7 @@ def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None
         out = []
         for i, g in enumerate(groups):
             words = g.get("exclude_keywords", exclude or [])
-            keep = qy.match_tree(qy.check_tree(g["query"]), x, "casefold") & ~qy.contains_any(x, words, "casefold")
+            keep = qy.matches(qy.compile_query(g["query"], strict=True), x, "casefold") & ~qy.contains_any(x, words, "casefold")
             out.append(F.when(keep, F.lit(i)))
         return F.array_compact(F.array(*out))
 

@@ -75,18 +75,22 @@ def test_blank_keys_group_only_in_compat(spark):
     assert dd.exact_duplicates(b).count() == 0 and dd.exact_duplicates(b, compat=True).count() == 2
 
 
-def test_trees():
+def test_queries(spark):
     with pytest.raises(ValueError):
-        qy.check_tree({"keywords": []})
+        qy.compile_query({"keywords": []}, strict=True)
     with pytest.raises(ValueError):
-        qy.check_tree({"op": "NOT", "keywords": ["a"]})
+        qy.compile_query({"op": "NOT", "keywords": ["a"]}, strict=True)
     deep = {"keywords": ["a"]}
     for _ in range(9):
         deep = {"clauses": [deep]}
     with pytest.raises(ValueError):
-        qy.check_tree(deep)
-    assert qy.lenient_tree({"op": "xor", "keywords": "a, b", "clauses": [{"keywords": []}]}) == {"op": "OR", "keywords": ["a", "b"], "clauses": []}
-    assert qy.tree_text(qy.lenient_tree({"op": "and", "keywords": ["x"], "clauses": [["y", "z"]]})) == "(x AND (y OR z))"
+        qy.compile_query(deep, strict=True)
+    assert qy.compile_query({"op": "xor", "keywords": "a, b"}) == [qy.Clause(-1, 0, False, ("a", "b"))]
+    nested = qy.compile_query({"op": "and", "keywords": ["x"], "clauses": [["y", "z"], {"keywords": []}]})
+    assert nested[:2] == [qy.Clause(-1, 0, True, ("x",)), qy.Clause(0, 1, False, ("y", "z"))]
+    texts = spark.createDataFrame([("x y",), ("x",), ("z",), ("x z",)], "t string")
+    assert [r.t for r in texts.where(qy.matches(nested, "t")).collect()] == ["x y", "x z"]
+    assert texts.where(qy.matches(qy.compile_query({}), "t")).count() == 4
     assert qy.search_tokens("color|x") == (["color", "x"], "OR")
     assert qy.search_tokens("color|x", compat=True) == (["col", "x"], "OR")
     assert qy.search_tokens("A b，c") == (["a", "b", "c"], "AND")
