@@ -9,7 +9,7 @@ those of its parts, and two sets agree in a register about as often as their sim
 2. Before the sets are fetched, the maximum likelihood of the similarity, given both registers and both sizes, rules out
    pairs that lie far below the threshold. The rest is verified: intersection and union of the full sets.
 3. Links found form components. Buckets that still hold several components are searched completely: the members outside
-   the bucket's largest component against all of other components, in blocks, which send on the plausible pairs only.
+   the bucket's largest component against all of other components, in blocks that hold the sets and send on links only.
 
 So no link is lost that shares a band, and members of one component, the bulk of a large group, are never paired.
 """
@@ -34,7 +34,7 @@ MARGIN = 0.12
 #: Words a task remembers; elements of one block of products; members of one block of a bucket.
 WORDS = 500_000
 PRODUCTS = 1 << 15
-MEMBERS = 512
+MEMBERS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,7 +127,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(ROWS):
             mixed = _mix(mixed ^ rows.reshape(len(rows), BANDS, ROWS)[:, :, i].astype(np.uint64)) + _GOLDEN
         nodes = batch.column("node").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(mixed.ravel().view(np.int64))], ["node", "bucket"])
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(mixed.ravel().view(np.int64)), pa.array(bands)], ["node", "bucket", "band"])
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -147,14 +148,16 @@ def _plausible(threshold: float):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices([batch], "set_a")):
-            linked = []
-            for a, b in zip(part.column("set_a"), part.column("set_b")):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            linked = [
+                similar(*(np.frombuffer(s.as_buffer(), "<u8") for s in pair), percent) for pair in zip(part.column("set_a"), part.column("set_b"))]
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -170,22 +173,33 @@ def _shingle_sets(width: int):
     return run
 
 
-def _across(threshold: float):
-    """Plausible pairs between two blocks of a bucket, of different components."""
+def _across(percent: int):
+    """Links between two blocks of a bucket, of different components. A pair is compared in the first band it shares."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threshold = percent / 100
         for batch in batches:
             for i in range(batch.num_rows):
-                left, right = batch.column("odd")[i].values, batch.column("other")[i].values
-                a, b = ([s.field(c).to_numpy() for c in ("node", "comp", "n")] for s in (left, right))
+                left, right, band = batch.column("odd")[i].values, batch.column("other")[i].values, batch.column("band")[i].as_py()
+                (a, comp_a, n_a), (b, comp_b, n_b) = ([s.field(c).to_numpy() for c in ("node", "comp", "n")] for s in (left, right))
+                odd = right.field("is_odd").to_numpy(zero_copy_only=False)
                 x, y = _sketches(left.field("sketch")), _sketches(right.field("sketch"))
+                found = [[], []]
                 for k in range(len(x)):
-                    n = np.full(len(y), float(a[2][k]))
-                    fits = np.flatnonzero((b[1] != a[1][k]) & (np.minimum(n, b[2]) >= threshold * np.maximum(n, b[2]) - 1e-9))
-                    if len(fits):
-                        fits = fits[estimate(np.broadcast_to(x[k], (len(fits), REGISTERS)), y[fits], n[fits], b[2][fits].astype(float)) >= threshold - MARGIN]
-                    if len(fits):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.minimum(a[0][k], b[0][fits])), pa.array(np.maximum(a[0][k], b[0][fits]))], ["a", "b"])
+                    n = np.full(len(y), float(n_a[k]))
+                    # Two that are both outside the largest component meet twice.
+                    fits = (comp_b != comp_a[k]) & ~(odd & (b < a[k])) & (np.minimum(n, n_b) >= threshold * np.maximum(n, n_b) - 1e-9)
+                    at = np.flatnonzero(fits)
+                    shared = (y[at].reshape(-1, BANDS, ROWS) == x[k].reshape(BANDS, ROWS)).all(axis=2)
+                    at = at[shared.argmax(axis=1) == band]
+                    if len(at):
+                        at = at[estimate(np.broadcast_to(x[k], (len(at), REGISTERS)), y[at], n[at], n_b[at].astype(float)) >= threshold - MARGIN]
+                    if len(at):
+                        mine = np.frombuffer(left.field("set")[k].as_buffer(), "<u8")
+                        for j in at.tolist():
+                            if similar(mine, np.frombuffer(right.field("set")[j].as_buffer(), "<u8"), percent):
+                                found[0].append(min(a[k], b[j]))
+                                found[1].append(max(a[k], b[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
     return run
 
@@ -228,10 +242,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, doc_id:
         folder, "nodes")
 
     # 1: buckets of several classes, with the one that the others are compared to
-    banded = nodes.mapInArrow(_bands, "node long, bucket long")
+    banded = nodes.mapInArrow(_bands, "node long, bucket long, band int")
     mixed = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("node"))
     buckets = banded.groupBy("bucket").agg(F.min(mixed)["node"].alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(banded.join(buckets, "bucket").select("bucket", "node", "lead", "size"), folder, "members")
+    members = stage(banded.join(buckets, "bucket").select("bucket", "band", "node", "lead", "size"), folder, "members")
     texts = given.withColumnRenamed("doc_id", "node").join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
     sets = stage(texts.mapInArrow(_shingle_sets(width), "node long, set binary").distinct(), folder, "sets")
 
@@ -249,20 +263,18 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, doc_id:
 
     # 3: buckets that the links leave with several components
     comps = components(links, folder, "comps")
-    held = stage(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), folder, "held")
+    held = stage(members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")), folder, "held")
     by_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     split = by_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all")).where("comps > 1")
-    known = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    open_ = held.join(split, "bucket").join(known, "node").withColumn("blocks", F.ceil(F.col("all") / MEMBERS))
-    chunk = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    member = F.struct("node", "comp", "n", "sketch")
-    whole = stage(open_.select("bucket", "blocks", chunk.alias("chunk"), (F.col("comp") != F.col("main")).alias("is_odd"), member.alias("member")), folder, "open")
+    full = nodes.join(sets, "node").where(F.octet_length("set") == 8 * F.col("n"))
+    open_ = held.join(split, "bucket").join(full, "node").withColumn("blocks", F.ceil(F.col("all") / MEMBERS))
+    is_odd, chunk = F.col("comp") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    whole = open_.select("bucket", "band", "blocks", chunk.alias("chunk"), is_odd.alias("is_odd"), F.struct("node", "comp", "n", "sketch", "set", is_odd.alias("is_odd")).alias("member"))
     other = whole.groupBy("bucket", "chunk").agg(F.collect_list("member").alias("other"))
-    odd = whole.where("is_odd").groupBy("bucket", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
+    odd = whole.where("is_odd").groupBy("bucket", "band", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
     met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
-        other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("odd", "other")
-    more = met.mapInArrow(_across(limit), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(stage(more, folder, "more"), "more-links")
+        other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("band", "odd", "other")
+    more = stage(met.mapInArrow(_across(percent), "a long, b long").distinct(), folder, "more")
     final = components(links.union(more), folder, "final")
 
     named = classes.join(final, "node", "left").select("digest", F.col("n").alias("size"), F.coalesce("comp", "node").alias("comp"))
