@@ -41,7 +41,7 @@ def inherit_duplicates(inventory: DataFrame) -> DataFrame:
     primary = inventory.join(copies, "id").select(
         F.col("id").alias("duplicate_of"), F.col("__n"), *[F.col(c).alias(f"__p_{c}") for c in attrs]
     )
-    rows = attach_per_key(inventory, primary, ["duplicate_of"], "__n", row_id="id")
+    rows = attach_per_key(inventory, primary, ["duplicate_of"], row_id="id")
     # A copy takes what the primary has; an attribute the primary lacks is left alone.
     return rows.select(*[
         F.coalesce(F.col(f"__p_{c}"), F.col(c)).alias(c) if c in attrs else F.col(c) for c in inventory.columns
@@ -168,7 +168,7 @@ def link_documents(docs: DataFrame, ascii_titles: bool = False) -> DataFrame:
     titles = live.groupBy("__t").agg(F.count_if(role == "questions").alias("n_q"), F.count(F.lit(1)).alias("__n"))
     stats = pairable.join(titles, "__t").withColumnRenamed("last_question_number", "__last")
     rows = attach_per_key(
-        keyed.withColumn("__last", F.when(F.col("__active"), last)), stats, ["__t", "__last"], "__n", row_id="id"
+        keyed.withColumn("__last", F.when(F.col("__active"), last)), stats, ["__t", "__last"], row_id="id"
     )
     unique = (F.col("n_sol") == 1) & (F.col("n_q") == 1) & F.col("q_id").isNotNull()
     paired = F.col("__active") & unique & role.isin("questions", "solutions")
@@ -186,13 +186,30 @@ def link_documents(docs: DataFrame, ascii_titles: bool = False) -> DataFrame:
     )
 
 
+def _checked_segments(segments: DataFrame, docs: DataFrame) -> DataFrame:
+    """Segments with ``problem``: reversed, outside the document's pages, or null if in order."""
+    first, last = F.col("start_page"), F.col("end_page")
+    problem = F.when(first.isNull() | last.isNull() | (first > last), "reversed").when(first < 1, "outside")
+    if "pages" not in docs.columns:
+        return segments.withColumn("problem", problem)
+    lengths = docs.select(F.col("id").alias("__doc"), F.col("pages").alias("__pages"))
+    rows = segments.join(lengths, F.col("id") == F.col("__doc"), "left")
+    beyond = F.coalesce(last > F.col("__pages"), F.lit(False))
+    return rows.withColumn("problem", F.coalesce(problem, F.when(beyond, "outside"))).drop("__doc", "__pages")
+
+
+def invalid_segments(segments: DataFrame, docs: DataFrame) -> DataFrame:
+    """Segments that cover no page, with the reason."""
+    return _checked_segments(segments, docs).filter("problem IS NOT NULL")
+
+
 def page_role(pages: DataFrame, docs: DataFrame, segments: DataFrame, file: str = "source_file") -> DataFrame:
     """Role of each (file, page): the first segment covering it, else the document's role.
 
-    Segments are exploded to pages, so the interval join becomes an equi-join. A segment's pages
-    are bounded by the document's page count, which the map validates.
+    Segments are exploded to pages, so the interval join becomes an equi-join. A segment that is reversed, or leaves the
+    pages of its document, covers nothing; ``invalid_segments`` reports it.
     """
-    covered = segments.select(
+    covered = _checked_segments(segments, docs).filter("problem IS NULL").select(
         F.col("id").alias(file), F.col("ordinal"), F.col("role").alias("seg_role"),
         F.explode(F.sequence("start_page", "end_page")).alias("page"),
     ).groupBy(file, "page").agg(F.min(F.struct("ordinal", "seg_role")).alias("__s"))

@@ -64,7 +64,9 @@ def match_solutions(questions: DataFrame, solutions: DataFrame) -> DataFrame:
     hit = F.col("solution_pos").isNotNull()
     own = F.coalesce(F.col("answer"), F.lit(""))
     old = tx.normalize_answer("answer")
-    joined = picked.join(content, "solution_pos", "left")
+    # Questions without a solution meet none: they are spread by their own position, on ids that no solution has.
+    apart = F.coalesce(F.col("solution_pos"), -1 - F.col("pos"))
+    joined = picked.withColumn("__to", apart).join(content.withColumnRenamed("solution_pos", "__to"), "__to", "left").drop("__to")
     return joined.select(
         *[c for c in questions.columns if c not in ("answer", "explanation")],
         F.when(hit, F.col("s_answer")).otherwise(own).alias("answer"),
@@ -217,7 +219,7 @@ def overlap_candidates(items: DataFrame, keys: list[str] | None = None) -> DataF
     shared = pages.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("on_page"))
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_key"))
     stats = shared.filter("on_page > 1").select(*keys).distinct().join(sizes, keys)
-    return attach_per_key(numbered, stats, keys, "rows_in_key", how="inner")
+    return attach_per_key(numbered, stats, keys, how="inner")
 
 
 def apply_reconciliation(items: DataFrame, verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -236,7 +238,7 @@ def apply_reconciliation(items: DataFrame, verdicts: DataFrame, keys: list[str]
     # A merged key is replaced as a whole; keys without overlapping candidates keep their rows.
     overlapping = overlap_candidates(items, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     good = good.join(overlapping, keys)
-    kept = attach_per_key(items, good.select(*keys, "n"), keys, "n", how="anti").withColumn("reconciled", F.lit(False))
+    kept = attach_per_key(items, good.select(*keys), keys, how="anti").withColumn("reconciled", F.lit(False))
     merged = good.select(*[one[c].alias(c) if c in fields else F.col(c) for c in items.columns if c in fields or c in keys])
     return kept.unionByName(merged.withColumn("reconciled", F.lit(True)), allowMissingColumns=True)
 

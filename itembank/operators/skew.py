@@ -7,54 +7,65 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
+def _same(keys: list[str], side: str):
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{side}_{k}"))
+    return cond
+
+
 def attach_per_key(
     rows: DataFrame, stats: DataFrame, keys: list[str], count: str | None = None, row_id: str = "pos",
-    how: str = "left", hot_keys: int = HOT_KEYS,
+    how: str = "left", hot_keys: int = HOT_KEYS, valid=None,
 ) -> DataFrame:
-    """Join ``stats`` (one row per key, ``count`` = rows of that key) to ``rows``.
+    """Join ``stats`` (one row per key) to ``rows``; null keys are keys like any other.
 
-    Without ``count`` the rows per key are counted here, a map-side combined aggregate.
+    ``count`` names the column of ``stats`` that holds the rows of each key. It may be given only if ``stats`` has every key that
+    many rows share; keys to be treated as absent are then marked by ``valid`` being false, not left out. Without ``count`` the rows
+    per key are counted here, a map-side combined aggregate, so keys that ``stats`` lacks (blank, null, any) are known too.
 
-    The ``hot_keys`` largest keys go to every task as a broadcast of at most that many rows, so
+    The ``hot_keys`` largest keys go to every task as a broadcast of at most that many rows, with or without statistics, so
     their rows need no shuffle by key. Any other key holds at most 1/``hot_keys`` of the rows and
     takes the shuffled join; rows already served are spread over it by their id.
     """
     outputs = [c for c in stats.columns if c not in keys]
+    there = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    # Always 0, but not a literal the optimizer could fold out of the join key.
+    zero = F.pmod(F.hash(*keys), F.lit(1)).cast("long")
     if count is None:
-        count = "__count"
-        sizes = rows.groupBy(*[F.col(k).alias(f"__c_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(count))
-        match = F.lit(True)
+        sizes = rows.groupBy(*[F.col(k).alias(f"__c_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__count"))
+        top = sizes.orderBy(F.col("__count").desc(), *[f"__c_{k}" for k in keys]).limit(hot_keys)
+        known = stats.join(F.broadcast(top.drop("__count")), _same(keys, "c")).select(
+            *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c).alias(f"__h_{c}") for c in outputs], F.lit(True).alias("__in"))
+        both = F.lit(True)
         for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
-        stats = stats.join(sizes, match).drop(*[f"__c_{k}" for k in keys])
-    hot = stats.orderBy(F.col(count).desc(), *keys).limit(hot_keys).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys], *[F.col(c).alias(f"__h_{c}") for c in outputs],
-        F.lit(True).alias("__hot"),
-    )
-    rest = stats.select(
+            both = both & F.col(f"__c_{k}").eqNullSafe(F.col(f"__k_{k}"))
+        hot = top.join(F.broadcast(known), both, "left").select(
+            *[F.col(f"__c_{k}").alias(f"__h_{k}") for k in keys], *[f"__h_{c}" for c in outputs],
+            F.lit(True).alias("__hot"), F.coalesce("__in", F.lit(False)).alias("__in"))
+    else:
+        hot = stats.orderBy(F.col(count).desc(), *keys).limit(hot_keys).select(
+            *[F.col(k).alias(f"__h_{k}") for k in keys], *[F.col(c).alias(f"__h_{c}") for c in outputs],
+            F.lit(True).alias("__hot"), there.alias("__in"))
+    rest = stats.filter(there).select(
         *[F.col(k).alias(f"__s_{k}") for k in keys], *[F.col(c).alias(f"__s_{c}") for c in outputs],
-        # Always 0, but not a literal the optimizer could fold out of the join key.
-        F.least(F.col(count), F.lit(0)).cast("long").alias("__s_spread"), F.lit(True).alias("__cold"),
+        zero.alias("__s_spread"), F.lit(True).alias("__cold"),
     )
-
-    def same(side: str):
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__{side}_{k}"))
-        return cond
-
     spread = F.when(F.col("__hot"), F.xxhash64(row_id)).otherwise(F.lit(0)).cast("long")
-    served = rows.join(F.broadcast(hot), same("h"), "left").withColumn("__spread", spread)
+    served = rows.join(F.broadcast(hot), _same(keys, "h"), "left").withColumn("__spread", spread)
+    if how in ("inner", "semi"):
+        # Served rows without statistics leave before the shuffle.
+        served = served.filter(F.col("__hot").isNull() | F.col("__in"))
     joined = served.join(
-        rest, same("s") & (F.col("__spread") == F.col("__s_spread")) & F.col("__hot").isNull(), "left"
+        rest, _same(keys, "s") & (F.col("__spread") == F.col("__s_spread")) & F.col("__hot").isNull(), "left"
     )
-    if how == "inner":
-        joined = joined.filter(F.col("__hot") | F.col("__cold"))
+    matched = F.coalesce(F.col("__in"), F.col("__cold"), F.lit(False))
     if how == "anti":
-        return joined.filter(F.col("__hot").isNull() & F.col("__cold").isNull()).select(*rows.columns)
+        return joined.filter(~matched).select(*rows.columns)
+    if how in ("inner", "semi"):
+        joined = joined.filter(matched)
     if how == "semi":
-        return joined.filter(F.col("__hot") | F.col("__cold")).select(*rows.columns)
+        return joined.select(*rows.columns)
     return joined.select(
-        *rows.columns,
-        *[F.when(F.col("__hot"), F.col(f"__h_{c}")).otherwise(F.col(f"__s_{c}")).alias(c) for c in outputs],
+        *rows.columns, *[F.when(F.col("__in"), F.col(f"__h_{c}")).when(F.col("__hot").isNull(), F.col(f"__s_{c}")).alias(c) for c in outputs],
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from itembank.functions import predicates as pr
 from itembank.functions import text as tx
+from itembank.operators import batches as bt
 from itembank.operators import clean as cl
 from itembank.operators import dedupe as dd
 from itembank.operators import ingest as ing
@@ -12,7 +13,9 @@ from itembank.operators import neardup as nd
 from itembank.operators import report as rp
 from itembank.operators import review as rv
 from itembank.operators import select as sel
+from itembank.plans.catalog_docs import stored_items
 from itembank.plans.catalog_text import SQL_KEY, SQL_KEY_COMPAT, SQL_STATE, state_rows
+from itembank.plans.oracle_views import VIEWS
 from itembank.plans.registry import query
 from itembank.sources import views as v
 
@@ -325,3 +328,26 @@ def stage_progress(spark, sf):
     SELECT session, stage, total, round(done, 6) AS done, greatest(0, total - fin) AS remaining_files, {SQL_ETA} AS eta_seconds FROM g""")
 def progress(spark, sf):
     return rp.progress(v.progress_events(spark, sf))
+
+
+
+# --- batches ----------------------------------------------------------------------------------
+
+@query("items", """SELECT pos, CAST(floor((row_number() OVER (PARTITION BY source_file ORDER BY pos) - 1) / 6) AS BIGINT) AS batch FROM items""")
+def source_batches(spark, sf):
+    return bt.batches_per_source(stored_items(spark, sf, "pos", "source_file"), "source_file").select("pos", "batch")
+
+
+SQL_GREEDY = f"""WITH RECURSIVE graded AS ({VIEWS["graded"]}), bank AS ({VIEWS["bank"]}),
+    z AS (SELECT pos, row_number() OVER (ORDER BY pos) AS rn, coalesce(length(stem), 0) + coalesce(length(answer), 0) AS size FROM bank),
+    b AS (SELECT rn, pos, size AS total, 1 AS held, CAST(0 AS BIGINT) AS batch FROM z WHERE rn = 1 UNION ALL
+      SELECT z.rn, z.pos, CASE WHEN held >= 12 OR total + size > 9000 THEN size ELSE total + size END,
+        CASE WHEN held >= 12 OR total + size > 9000 THEN 1 ELSE held + 1 END,
+        CASE WHEN held >= 12 OR total + size > 9000 THEN batch + 1 ELSE batch END FROM b JOIN z ON z.rn = b.rn + 1)
+    SELECT pos, batch FROM b"""
+
+
+@query("", SQL_GREEDY)
+def greedy_batches(spark, sf):
+    size = F.length("stem") + F.length(F.coalesce("answer", F.lit("")))
+    return bt.greedy_batches(v.bank(spark, sf).select("pos", "stem", "answer"), size, 12, 9000).select("pos", "batch")

@@ -82,7 +82,7 @@ def write_bundle(questions: DataFrame, files: DataFrame, path: str) -> None:
         raise ValueError(f"missing images: {lost}")
     name = F.concat(F.lit("images/"), F.substring("digest", 1, 24), F.lower(F.regexp_extract("ref", r"(\.[^./]+)?\z", 1)))
     names = manifest.select("ref", name.alias("name"), "digest")
-    one = attach_per_key(questions, names.select(F.col("ref").alias("image"), F.col("name").alias("__image")), ["image"]).drop("__count")
+    one = attach_per_key(questions, names.select(F.col("ref").alias("image"), F.col("name").alias("__image")), ["image"])
     listed = questions.select("pos", F.posexplode("images").alias("__i", "ref")).join(names, "ref").groupBy("pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", "name"))), lambda x: x["name"]).alias("__images")
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itembank.functions import query as qy
+from itembank.operators import batches as bt
 from itembank.operators import clean as cl
 from itembank.operators import dedupe as dd
 from itembank.operators import documents as dc
@@ -222,3 +223,41 @@ def test_coverage_worklist_neighbours(spark):
     got = {r["n"]: (r["first_page"], r["last_page"]) for r in lk.coverage_worklist(items, docs).collect()}
     assert got == {1: (3, 3), 4: (3, 5), 5: (3, 5), 6: (5, 6)}  # 7 and 8 would span from page 5 to 30
     assert {r["n"]: r["problem"] for r in lk.coverage(items, docs).collect()} == {1: "missing", 4: "missing", 5: "missing", 6: "duplicate", 7: "missing", 8: "missing"}
+
+
+@pytest.mark.parametrize("key", ["", None])
+def test_attach_per_key_spreads_keys_without_statistics(spark, key):
+    """Nine rows of ten share a blank or null key that the statistics lack: no task gets more than its part of them."""
+    from pyspark.sql.functions import spark_partition_id
+
+    rows = spark.range(20_000).select(F.col("id").alias("pos"), F.when(F.col("id") % 10 > 0, F.lit(key)).otherwise(F.col("id").cast("string")).alias("k"))
+    stats = rows.filter("pos % 10 = 0").groupBy("k").agg(F.min("pos").alias("first"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, value in conf.items():
+        spark.conf.set(k, value)
+    try:
+        for how, n in (("left", 20_000), ("anti", 18_000)):
+            out = attach_per_key(rows, stats, ["k"], how=how, hot_keys=10)
+            sizes = [r["count"] for r in out.groupBy(spark_partition_id()).count().collect()]
+            assert sum(sizes) == n and max(sizes) < 0.6 * n
+        assert attach_per_key(rows, stats, ["k"], how="inner", hot_keys=10).count() == 2_000
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
+def test_greedy_batches_cross_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(bt, "BLOCK", 40)
+    monkeypatch.setattr(bt, "SPAN", 3)
+    sizes = [rng.choice([1, 5, 30, 70, 500]) for _ in range(700)]
+    want, held, total = [0], [sizes[0]], 0
+    for n in sizes[1:]:
+        if len(held) >= 12 or sum(held) + n > 100:
+            held, total = [], total + 1
+        held.append(n)
+        want.append(total)
+    rows = spark.createDataFrame([(3 * i, n) for i, n in enumerate(sizes)], "pos long, size long")
+    assert [r.batch for r in bt.greedy_batches(rows, F.col("size"), 12, 100).orderBy("pos").collect()] == want
+    assert bt.greedy_batches(rows.limit(0), F.col("size"), 12, 100).count() == 0
