@@ -1,6 +1,7 @@
 """Registered queries of model calls, corrections, storage and streams."""
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -24,15 +25,15 @@ def scratch(spark) -> str:
 
 
 def stub_model(prompt: str) -> dict:
-    """Deterministic stand-in for a model: counts characters; long prompts come back truncated."""
-    long = len(prompt) > 5000
+    """Deterministic stand-in for a model: counts characters; one prompt in eight, by digest, comes back truncated."""
+    long = hashlib.md5(prompt.encode()).hexdigest()[0] in "01"
     return {
         "content": json.dumps({"chars": len(prompt)}), "finish_reason": "length" if long else "stop",
         "usage": {"prompt_tokens": len(prompt), "completion_tokens": 1, "total_tokens": len(prompt) + 1},
     }
 
 
-@query("", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'error' ELSE 'ok' END AS status, CASE WHEN length(text) > 5000 THEN -1 ELSE length(text) END AS chars, CASE WHEN length(text) > 5000 THEN 'truncated' ELSE '' END AS error FROM documents")
+@query("", "SELECT doc_id, CASE WHEN cut THEN 'error' ELSE 'ok' END AS status, CASE WHEN cut THEN -1 ELSE length(text) END AS chars, CASE WHEN cut THEN 'truncated' ELSE '' END AS error FROM (SELECT *, left(md5(text), 1) IN ('0', '1') AS cut FROM documents)")
 def cached_infer(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     d = d.withColumn("key", inf.request_key("v1", "stub", "local", "count", {}, "prompt"))
@@ -99,7 +100,8 @@ def json_bank_round_trip(spark, sf):
     return bk.read_bank_table(spark, path).select("pos", "stem", "answer", F.size("options").alias("options"))
 
 
-@query("", """SELECT doc_id // 250 AS file, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) - 1 AS pos, split_part(text, chr(10), 1) AS stem FROM documents""")
+@query("", """SELECT doc_id // 250 AS file, row_number() OVER (ORDER BY concat(doc_id // 250, '/'), doc_id) - 1 AS pos,
+    row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) - 1 AS file_pos, split_part(text, chr(10), 1) AS stem FROM documents""")
 def read_bank_json(spark, sf):
     """The documents as many small JSON banks: arrays, or objects with a ``questions`` array."""
     path = scratch(spark)
@@ -111,7 +113,7 @@ def read_bank_json(spark, sf):
     wrapped = F.when(F.col("file") % 2 == 0, F.to_json("qs")).otherwise(F.to_json(F.struct(F.col("qs").alias("questions"))))
     arrays.select("file", wrapped.alias("value")).write.partitionBy("file").text(path)
     back = bk.read_bank(spark, f"{path}/file=*")
-    return back.select(F.regexp_extract("bank_file", r"file=(\d+)", 1).cast("long").alias("file"), "pos", "stem")
+    return back.select(F.regexp_extract("bank_file", r"file=(\d+)", 1).cast("long").alias("file"), "pos", "file_pos", "stem")
 
 
 @query("", "SELECT doc_id, length(text) AS chars, sha256(text) AS digest FROM documents")

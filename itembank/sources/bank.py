@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itembank.operators.documents import asset_manifest
@@ -19,7 +20,8 @@ BANK_SCHEMA = (
 
 
 def read_bank(spark: SparkSession, path: str, schema: str = BANK_SCHEMA) -> DataFrame:
-    """JSON banks: each file an array of questions or an object holding them. ``pos`` is the place in the file.
+    """JSON banks: each file an array of questions or an object holding them. ``file_pos`` is the place in the file,
+    ``pos`` the place in all files in order of their paths, so it is unique and dense.
 
     A JSON array is one document and is parsed by one task; a folder of files is read in parallel.
     Larger banks come as JSON lines or Parquet, see ``read_bank_table``. A row without a string stem
@@ -33,13 +35,18 @@ def read_bank(spark: SparkSession, path: str, schema: str = BANK_SCHEMA) -> Data
         "bank_file", F.coalesce(F.try_variant_get("d", "$", "array<variant>"), F.try_variant_get("d", "$.questions", "array<variant>")).alias("qs")
     )
     checked = rows.select("bank_file", F.when(F.col("qs").isNull(), F.raise_error(F.lit("not a question bank"))).otherwise(F.col("qs")).alias("qs"))
-    each = checked.select("bank_file", F.posexplode("qs").alias("pos", "q"))
+    # One row per file: how many questions the files before it hold.
+    lengths = rows.select("bank_file", F.coalesce(F.size("qs"), F.lit(0)).cast("long").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("bank_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = lengths.select(F.col("bank_file").alias("__file"), before.alias("__before"))
+    placed = checked.join(offsets, F.col("bank_file") == F.col("__file"))
+    each = placed.select("bank_file", "__before", F.posexplode("qs").alias("file_pos", "q"))
     stem_type = F.schema_of_variant(F.try_variant_get("q", "$.stem", "variant"))
     guarded = each.select(
-        "bank_file", F.col("pos").cast("long").alias("pos"),
+        "bank_file", (F.col("__before") + F.col("file_pos")).alias("pos"), F.col("file_pos").cast("long").alias("file_pos"),
         F.when(F.coalesce(stem_type == "STRING", F.lit(False)), F.to_json("q")).otherwise(F.raise_error(F.lit("every question needs a string stem"))).alias("q"),
     )
-    return guarded.select("bank_file", "pos", F.from_json("q", schema).alias("q")).select("bank_file", "pos", "q.*")
+    return guarded.select("bank_file", "pos", "file_pos", F.from_json("q", schema).alias("q")).select("bank_file", "pos", "file_pos", "q.*")
 
 
 def read_bank_table(spark: SparkSession, path: str, schema: str = BANK_SCHEMA) -> DataFrame:
@@ -80,8 +87,10 @@ def write_bundle(questions: DataFrame, files: DataFrame, path: str) -> None:
     lost = [r["ref"] for r in manifest.filter("digest IS NULL").orderBy("ref").limit(5).collect()]
     if lost:
         raise ValueError(f"missing images: {lost}")
-    name = F.concat(F.lit("images/"), F.substring("digest", 1, 24), F.lower(F.regexp_extract("ref", r"(\.[^./]+)?\z", 1)))
-    names = manifest.select("ref", name.alias("name"), "digest")
+    # Equal contents are stored once, under the suffix of their first reference, and all references lead there.
+    first = manifest.groupBy("digest").agg(F.min("ref").alias("first"))
+    name = F.concat(F.lit("images/"), F.substring("digest", 1, 24), F.lower(F.regexp_extract("first", r"(\.[^./]+)?\z", 1)))
+    names = manifest.join(first, "digest").select("ref", name.alias("name"), "digest")
     one = attach_per_key(questions, names.select(F.col("ref").alias("image"), F.col("name").alias("__image")), ["image"])
     listed = questions.select("pos", F.posexplode("images").alias("__i", "ref")).join(names, "ref").groupBy("pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", "name"))), lambda x: x["name"]).alias("__images")

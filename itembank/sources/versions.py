@@ -15,8 +15,8 @@ LOG_SCHEMA = "seq long, id string, created double, label string, count long, dig
 
 
 def content_digest(bank: DataFrame) -> str:
-    """Order-free digest of all rows: count, xor and sum of row hashes."""
-    h = F.xxhash64(*sorted(bank.columns))
+    """Order-free digest of all rows: count, xor and sum of row hashes. Nulls count by their column."""
+    h = F.xxhash64(F.to_json(F.struct(*sorted(bank.columns)), {"ignoreNullFields": "false"}))
     r = bank.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
     return f"{r['n']}-{r['x'] or 0}-{r['s'] or 0}"
 

@@ -148,3 +148,29 @@ def test_extraction_flow(spark, sf):
         "id", F.lit(0).alias("ordinal"), "role", F.lit(1).alias("start_page"), F.lit(1).alias("end_page")))
     assert reviewed.count() == v.items(spark, sf).filter("kind = 'question'").count()
     assert reviewed.filter("solution_pos IS NOT NULL").count() > 0
+
+
+def test_two_banks_have_places_of_their_own(spark, tmp_path):
+    """Banks with a question in common: places are unique, and the copy goes when the banks are cleaned together."""
+    from itembank.operators.clean import clean
+
+    for name, stems in (("b", ["甲", "乙"]), ("a", ["丙", "甲", "丁"]), ("c", [])):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"stem": s, "options": [], "answer": "A", "remark": ""} for s in stems]))
+    bank = bk.read_bank(spark, str(tmp_path / "*.json"))
+    assert [(r.pos, r.file_pos, r.stem) for r in bank.orderBy("pos").collect()] == [(0, 0, "丙"), (1, 1, "甲"), (2, 2, "丁"), (3, 0, "甲"), (4, 1, "乙")]
+    kept = clean(bank)[0]
+    assert sorted(r.pos for r in kept.collect()) == [0, 1, 2, 4]
+
+
+def test_bundle_stores_what_it_refers_to(spark, tmp_path):
+    """Equal bytes under two suffixes are one file, which both references name."""
+    files = spark.createDataFrame([("a.png", bytearray(b"1")), ("b.jpg", bytearray(b"1"))], "path string, content binary")
+    q = spark.createDataFrame([(0, "b.jpg", ["a.png"]), (1, "a.png", ["b.jpg"])], "pos long, image string, images array<string>")
+    bk.write_bundle(q, files, str(tmp_path / "out"))
+    named = {x for r in spark.read.json(str(tmp_path / "out/questions")).collect() for x in [r.image, *r.images]}
+    assert named == {r["name"] for r in spark.read.parquet(str(tmp_path / "out/images")).collect()} and len(named) == 1
+
+
+def test_digest_tells_nulls_apart(spark):
+    one, two = (spark.createDataFrame([r], "a string, b string") for r in (("x", None), (None, "x")))
+    assert vs.content_digest(one) != vs.content_digest(two)
