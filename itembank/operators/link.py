@@ -19,8 +19,8 @@ MAX_NUMBER = 2000
 
 
 def int_number(number) -> Column:
-    """A question number as an integer, null if it is not plain digits."""
-    n = tx.normalize_number(number, ascii_only=True)
+    """A question number as an integer, null if it is not digits once full-width forms are folded."""
+    n = tx.normalize_number(number)
     return F.when(n.rlike(r"\A[0-9]+\z"), n.try_cast("int"))
 
 
@@ -34,7 +34,8 @@ def match_solutions(questions: DataFrame, solutions: DataFrame) -> DataFrame:
     """
     exact, loose = ["grp", "section", "number"], ["grp", "number"]
     blank = {c: "" for c in exact}
-    questions, solutions = questions.fillna(blank), solutions.fillna(blank)
+    # Numbers as they are printed (full width, with a full stop) meet as what they mean.
+    questions, solutions = (d.fillna(blank).withColumn("number", tx.normalize_number("number")) for d in (questions, solutions))
     numbered = solutions.filter(F.coalesce(F.col("number"), F.lit("")) != "")
     s_exact = numbered.groupBy(*exact).agg(F.count(F.lit(1)).alias("n_exact"), F.min("pos").alias("s_exact"))
     s_loose = s_exact.groupBy(*loose).agg(F.sum("n_exact").alias("n_loose"), F.min("s_exact").alias("s_loose"))
@@ -333,7 +334,7 @@ def recovery_sources(questions: DataFrame, docs: DataFrame) -> DataFrame:
 def replace_rows(base: DataFrame, fixed: DataFrame) -> DataFrame:
     """Recovered rows replace every earlier row of the same (file, kind, number)."""
     key = ["source_file", "kind", "__n"]
-    norm = tx.normalize_number("number", ascii_only=True)
+    norm = tx.normalize_number("number")
     fixed_keys = fixed.select("source_file", "kind", norm.alias("__n")).distinct()
     kept = attach_per_key(base.withColumn("__n", norm), fixed_keys, key, how="anti").drop("__n")
     return kept.unionByName(fixed, allowMissingColumns=True)

@@ -261,3 +261,12 @@ def test_greedy_batches_cross_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(3 * i, n) for i, n in enumerate(sizes)], "pos long, size long")
     assert [r.batch for r in bt.greedy_batches(rows, F.col("size"), 12, 100).orderBy("pos").collect()] == want
     assert bt.greedy_batches(rows.limit(0), F.col("size"), 12, 100).count() == 0
+
+
+def test_printed_numbers_meet(spark):
+    """Full-width numbers and full stops match plain numbers, and count as present."""
+    schema = "pos long, grp string, section string, number string, answer string, explanation string, source_file string, source_pages array<int>, complete boolean"
+    q = spark.createDataFrame([(0, "g", "", "１．", "", "", "f", [1], True), (1, "g", "", "２", "", "", "f", [1], True)], schema)
+    s = spark.createDataFrame([(10, "g", "", "1", "A", "x", "k", [1], True), (11, "g", None, "2、", "B", "y", "k", [1], True)], schema)
+    assert {r.pos: r.answer for r in lk.match_solutions(q, s).collect()} == {0: "A", 1: "B"}
+    assert sorted(r.n for r in q.select(lk.int_number("number").alias("n")).collect()) == [1, 2]
