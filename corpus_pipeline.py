@@ -40,10 +40,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes its text, to the nearest whole number; empty texts are never taken."""
-    mixed = mixing.mix(docs).where("size > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
-    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Each row as often as the mix takes its text, to the nearest whole number; empty texts are never taken. Rows that
+    share an id are told apart by a digest of all columns; of equal rows, each stands as often as the one taken most."""
+    key = F.xxhash64(*docs.columns)
+    mixed = mixing.mix(docs, row_key=key).where("size > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = docs.withColumn("row_key", key).join(
+        copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 

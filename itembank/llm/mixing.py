@@ -85,20 +85,21 @@ def _digest(doc_id: Column, seed: str) -> Column:
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
     block: int = BLOCK, shard_size: int = SHARD_SIZE, seed: str = SEED,
-    doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    doc_id: str = "doc_id", text: str = "text", source: str = "source", row_key: Column | None = None,
 ) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
 
     ``weights`` go to the sources in code point order, null last, and repeat. ``taken`` counts repeats; it is at most
     ``repeats`` sizes, and sums to a source's target within a block or two a shard. A null source is a source; a null
     or blank text has size 0 and gives nothing; rows that repeat an id count each, and which of two equal rows is cut
-    makes no difference. With no words at all every target is 0. An empty table gives no rows; other columns are not read.
+    makes no difference. ``row_key`` (a long), if given, is returned too, as ``row_key``. With no words at all every target is 0. An empty table gives no rows; other columns are not read.
     The list of distinct sources, one row each, is ranked in one task.
     """
     folder = run_folder(docs.sparkSession, "mix")
     key = _digest(F.col(doc_id), seed)
+    more = [] if row_key is None else [row_key.alias("row_key")]
     sized = stage(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"),
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), *more,
     ), folder, "sized")
 
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -127,7 +128,7 @@ def mix(
         F.when(F.col("n") > 0, F.col("taken_blocks") % F.col("n")).otherwise(F.lit(0)).alias("extra"),
         F.when(F.col("n") > 0, start % F.col("n")).otherwise(F.lit(0)).alias("start"), "n",
     )
-    order = W.partitionBy("rank", "shard").orderBy(F.substring("key", 13, 20), "doc_id", "size")
+    order = W.partitionBy("rank", "shard").orderBy(F.substring("key", 13, 20), "doc_id", "size", *(["row_key"] if more else []))
     end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
     laid = dealt.withColumn("end", end).withColumn("at", F.col("end") - F.col("size"))
     laid = laid.join(quotas, (F.col("rank") == F.col("__rank")) & (F.col("shard") == F.col("__shard")))
@@ -138,7 +139,7 @@ def mix(
     last = F.col("start") + F.col("extra")
     extra = overlap(F.col("start"), F.least(last, F.col("n"))) + overlap(F.lit(0), F.greatest(last - F.col("n"), F.lit(0)))
     taken = (F.col("size") * F.col("rounds") + extra).cast("long")
-    return laid.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row_key"] if more else []))
 
 
 @query()

@@ -87,33 +87,36 @@ def segments(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return (grams[owner[first].astype(np.int64)].view(np.int64), digest(first, first + count - 1 + length).view(np.int64), first, count)
 
 
-COLUMNS = ["kind", "anchor", "segment", "doc", "at", "n"]
-SCHEMA = "kind int, anchor long, segment long, doc long, at long, n long"
+#: ``key``: digest of the text, which tells apart the texts of one id.
+COLUMNS = ["kind", "anchor", "segment", "doc", "at", "n", "key"]
+SCHEMA = "kind int, anchor long, segment long, doc long, at long, n long, key long"
+PLACE = [2, 3, 5]
 REPEAT, FIRST, CROWDED = 0, 1, 2
 
 
 def _batch(kind: int, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], kind, np.int32)), *map(pa.array, rows)], COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], kind, np.int32)), *map(pa.array, rows)], COLUMNS[:1 + len(rows)])
 
 
 def split_repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each (anchor, segment), the others) of columns sorted by anchor, segment, doc, at. A row at the place of
-    the first is the first again, from a row that repeats."""
+    """(first of each (anchor, segment), the others) of columns sorted by anchor, segment, doc, key, at. A row at the
+    place of the first is the first again, from a row that repeats."""
+    place = rows[PLACE[:len(rows) - 3]]
     new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))[:rows.shape[1]]
-    lead = rows[2:4, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    return rows[:, new], rows[:, (rows[2:4] != lead).any(axis=0)]
+    lead = place[:, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    return rows[:, new], rows[:, (place != lead).any(axis=0)]
 
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = [[], [], [], [], []]
-            for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+            found = [[], [], [], [], [], []]
+            for doc, key, text in zip(*(part.column(c).to_pylist() for c in ("doc", "key", "text"))):
                 anchor, segment, at, n = segments((text or "").encode("utf-8", "surrogatepass"), length, gram)
-                for column, values in zip(found, (anchor, segment, np.full(len(at), doc, np.int64), at, n)):
+                for column, values in zip(found, (anchor, segment, np.full(len(at), doc, np.int64), at, n, np.full(len(at), key, np.int64))):
                     column.append(values)
             rows = np.array([np.concatenate(c) for c in found], np.int64)
-            first, repeats = split_repeats(rows[:, np.lexsort(rows[3::-1])])
+            first, repeats = split_repeats(rows[:, np.lexsort(rows[[3, 5, 2, 1, 0]])])
             yield _batch(FIRST, first)
             # These need no company: any value spreads them.
             repeats[0] = repeats[2] * 31 + repeats[3]
@@ -123,9 +126,9 @@ def _anchors(length: int, gram: int):
 
 
 def _settle(crowd: int):
-    """On rows sorted by anchor, segment, doc, at: repeats, and the first places of anchors with several segments."""
+    """On rows sorted by anchor, segment, doc, key, at: repeats, and the first places of anchors with several segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowded = np.empty((5, 0), np.int64), None
+        held, crowded = None, None
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             first, repeats = split_repeats(rows)
@@ -138,11 +141,11 @@ def _settle(crowd: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.array([batch.column(c).to_numpy() for c in COLUMNS[1:]], np.int64)
+            rows = np.array([batch.column(c).to_numpy() for c in COLUMNS[1:batch.num_columns]], np.int64)
             done = batch.column("kind").to_numpy() == REPEAT
             if done.any():
                 yield _batch(REPEAT, rows[:, done])
-            held = np.concatenate([held, rows[:, ~done]], axis=1)
+            held = rows[:, ~done] if held is None else np.concatenate([held, rows[:, ~done]], axis=1)
             if not held.shape[1]:
                 continue
             last = np.searchsorted(held[0], held[0, -1])
@@ -165,7 +168,7 @@ def _settle(crowd: int):
                     held = first[:, -1:]
                 else:
                     held = first
-        if held.shape[1]:
+        if held is not None and held.shape[1]:
             if crowded == held[0, 0]:
                 first, repeats = split_repeats(held)
                 yield _batch(REPEAT, repeats)
@@ -237,8 +240,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return out
 
 
-def repeated_windows(parts: list[bytes], docs: list[int], places: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first window, number of windows) of the runs of windows of ``parts`` that equal an earlier one."""
+def repeated_windows(
+    parts: list[bytes], docs: list[int], keys: list[int], places: list[int], length: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, key, first window, number of windows) of the runs of windows of ``parts`` that equal an earlier one."""
     sizes = np.array([len(p) for p in parts])
     # A byte between the parts keeps windows apart: only those inside a part are looked at.
     text = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -251,35 +256,37 @@ def repeated_windows(parts: list[bytes], docs: list[int], places: list[int], len
     if len(new):
         new[0] = True
     group = np.cumsum(new) - 1
-    doc, at = np.array(docs)[part_of[order]], np.array(places)[part_of[order]] + inside[order]
-    ranked = np.lexsort((at, doc, group))
-    doc, at, group, order = doc[ranked], at[ranked], group[ranked], order[ranked]
+    docs, keys, places = (np.array(c, np.int64) for c in (docs, keys, places))
+    doc, key, at = docs[part_of[order]], keys[part_of[order]], places[part_of[order]] + inside[order]
+    ranked = np.lexsort((at, key, doc, group))
+    doc, key, at, group, order = doc[ranked], key[ranked], at[ranked], group[ranked], order[ranked]
     lead = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:len(group)])
     lead = lead[group] if len(lead) else lead
-    repeat = (doc != doc[lead]) | (at != at[lead])
+    repeat = (doc != doc[lead]) | (key != key[lead]) | (at != at[lead])
     at_text = np.sort(order[repeat])
     run = np.flatnonzero(np.append(True, np.diff(at_text) != 1)[:len(at_text)])
     begin = at_text[run]
-    return np.array(docs, np.int64)[part_of[begin]], np.array(places, np.int64)[part_of[begin]] + inside[begin], np.diff(np.append(run, len(at_text)))
+    part = part_of[begin]
+    return docs[part], keys[part], places[part] + inside[begin], np.diff(np.append(run, len(at_text)))
 
 
 def _arrays(length: int):
     """On rows sorted by anchor: suffix arrays over whole anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, docs, places = [], [], []
+        parts, docs, keys, places = [], [], [], []
         size, last = 0, None
 
         def work() -> pa.RecordBatch:
-            doc, at, n = repeated_windows(parts, docs, places, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n)], ["doc", "at", "n"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, repeated_windows(parts, docs, keys, places, length))], ["doc", "key", "at", "n"])
 
         for batch in batches:
-            for anchor, doc, at, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "at", "raw"))):
+            for anchor, doc, key, at, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "key", "at", "raw"))):
                 if size >= ARRAY_BYTES and anchor != last:
                     yield work()
-                    parts, docs, places, size = [], [], [], 0
+                    parts, docs, keys, places, size = [], [], [], [], 0
                 parts.append(raw)
                 docs.append(doc)
+                keys.append(key)
                 places.append(at)
                 size, last = size + len(raw), anchor
         if parts:
@@ -292,19 +299,19 @@ def _fetch(length: int):
     """Bytes of the segments asked for; of crowded anchors, a digest of each window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = ["anchor", "doc", "at", "raw", "high", "low"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["anchor", "doc", "key", "at", "raw", "high", "low"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         for part in slices(batches, "packed"):
             out: list[list] = [[] for _ in names]
-            for doc, packed, asked in zip(*(part.column(c).to_pylist() for c in ("doc", "packed", "asked"))):
+            for doc, key, packed, asked in zip(*(part.column(c).to_pylist() for c in ("doc", "key", "packed", "asked"))):
                 text = unpack.decompress(packed)
                 for ask in asked:
                     at, end = ask["at"], ask["at"] + ask["n"] - 1 + length
                     if ask["kind"] == FIRST:
-                        rows = [(ask["anchor"], doc, at, text[at:end], None, None)]
+                        rows = [(ask["anchor"], doc, key, at, text[at:end], None, None)]
                     else:
                         digests = [xxhash.xxh3_128_intdigest(text[i:i + length]) for i in range(at, at + ask["n"])]
-                        rows = [(None, doc, i, None, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)) for i, d in enumerate(digests, at)]
+                        rows = [(None, doc, key, i, None, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)) for i, d in enumerate(digests, at)]
                     for row in rows:
                         for column, value in zip(out, row):
                             column.append(value)
@@ -349,22 +356,23 @@ def _remove(length: int, kept: list[str], with_text: bool):
 
 
 def repeats(docs: DataFrame, folder: str, length: int, gram: int, crowd: int) -> DataFrame:
-    """``doc``, ``at``, ``n``: runs of repeated windows of ``docs`` (``doc``, ``text``)."""
+    """``doc``, ``key``, ``at``, ``n``: runs of repeated windows of ``docs`` (``doc``, ``key``, ``text``)."""
     rows = docs.mapInArrow(_anchors(length, gram), SCHEMA)
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc", "at")
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc", "key", "at")
     settled = stage(dealt.mapInArrow(_settle(crowd), SCHEMA), folder, "settled")
-    asked = settled.where(F.col("kind") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("asked"))
-    packed = docs.mapInArrow(_pack(["doc"]), "doc long, packed binary")
-    # Rows that repeat an id ask the same of each of its texts; equal rows give equal answers.
-    fetched = packed.join(asked.hint("shuffle_hash"), "doc").select("doc", "packed", "asked").mapInArrow(
-        _fetch(length), "anchor long, doc long, at long, raw binary, high long, low long")
+    asked = settled.where(F.col("kind") != REPEAT).groupBy("doc", "key").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("asked"))
+    packed = docs.mapInArrow(_pack(["doc", "key"]), "doc long, key long, packed binary")
+    # Equal rows ask the same and give equal answers.
+    fetched = packed.join(asked.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "packed", "asked").mapInArrow(
+        _fetch(length), "anchor long, doc long, key long, at long, raw binary, high long, low long")
     fetched = stage(fetched, folder, "fetched")
-    grouped = fetched.where("raw IS NOT NULL").select("anchor", "doc", "at", "raw").repartition("anchor").sortWithinPartitions("anchor")
-    arrays = grouped.mapInArrow(_arrays(length), "doc long, at long, n long")
-    windows = fetched.where("raw IS NULL").select("high", "low", "doc", "at")
-    first = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first"))
-    crowded = windows.join(first, ["high", "low"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).cast("long").alias("n"))
-    return settled.where(F.col("kind") == REPEAT).select("doc", "at", "n").union(arrays).union(crowded)
+    grouped = fetched.where("raw IS NOT NULL").select("anchor", "doc", "key", "at", "raw").repartition("anchor").sortWithinPartitions("anchor")
+    arrays = grouped.mapInArrow(_arrays(length), "doc long, key long, at long, n long")
+    windows = fetched.where("raw IS NULL").select("high", "low", "doc", "key", "at")
+    first = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "key", "at")).alias("first"))
+    crowded = windows.join(first, ["high", "low"]).where(F.struct("doc", "key", "at") != F.col("first")).select(
+        "doc", "key", "at", F.lit(1).cast("long").alias("n"))
+    return settled.where(F.col("kind") == REPEAT).select("doc", "key", "at", "n").union(arrays).union(crowded)
 
 
 def without_repeats(
@@ -374,22 +382,24 @@ def without_repeats(
     """Columns ``keep`` of every row with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``, or ``kept_text``
     (remaining bytes; a character cut in part is dropped) of its text without repeats.
 
-    A null text is empty; a text shorter than ``length`` has no repeats. A null id stands before all others. Equal rows
-    are one document. Different texts with one id are not supported as apart: a string counts as earlier by its place
-    in any of them. ``keep`` names neither the text nor ``doc``, ``packed``, ``cuts``; columns beside it are not read.
+    A null text is empty; a text shorter than ``length`` has no repeats. A null id stands before all others. Rows equal
+    in id and text are one document; different texts with one id are documents of their own, in the order of a digest.
+    ``keep`` names neither the text nor ``doc``, ``__key``, ``packed``, ``cuts``; columns beside it are not read.
     """
     folder = run_folder(docs.sparkSession, "repeats")
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
-    source = docs.select(key, F.col(text).alias("text"))
-    cuts = repeats(source, folder, length, gram, crowd).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
-    kept = docs.select(key, *keep, F.col(text).alias("text"))
-    names = ["doc", *keep]
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    source = docs.select(doc, key.alias("key"), F.col(text).alias("text"))
+    cuts = repeats(source, folder, length, gram, crowd).groupBy("doc", F.col("key").alias("__key")).agg(
+        F.collect_list(F.struct("at", "n")).alias("cuts"))
+    kept = docs.select(doc, key.alias("__key"), *keep, F.col(text).alias("text"))
+    names = ["doc", "__key", *keep]
     fields = kept.select(*names).schema
     packed = kept.mapInArrow(_pack(names), fields.add("packed", "binary"))
     out = docs.select(*keep).withColumns({
         "n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"),
         "kept_text" if with_text else "kept_sha256": F.lit("")}).schema
-    return packed.join(cuts.hint("shuffle_hash"), "doc", "left").select(*keep, "packed", "cuts").mapInArrow(_remove(length, keep, with_text), out)
+    return packed.join(cuts.hint("shuffle_hash"), ["doc", "__key"], "left").select(*keep, "packed", "cuts").mapInArrow(_remove(length, keep, with_text), out)
 
 
 @query()

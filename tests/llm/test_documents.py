@@ -1,9 +1,11 @@
 """Near-duplicates, repeats, mixing and toxicity against brute force, and on hard rows."""
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rows import SF, empty, hard  # noqa: F401
 
 from itembank.llm import mixing, repeats, setsketch, toxicity
@@ -157,6 +159,31 @@ def test_repeats_hard_rows(spark, hard, empty):
     assert repeats.without_repeats(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_repeats_of_texts_that_share_an_id(spark, crowd):
+    """Cuts of one text do not reach another text of its id; a passage at one place in two of them goes from one."""
+    common = "".join(random.Random(3).choices("abcdefgh", k=150))
+    texts = [(None, "z" * 250), (None, "no id here"), (None, common + "A"), (None, common + "B"), (3, "y" * 260), (3, "unlike " * 3 + "q")]
+    table = spark.createDataFrame(texts + texts[4:5], "doc_id long, text string")
+    rows = repeats.without_repeats(table, ["doc_id"], with_text=True, crowd=crowd).collect()
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows)
+    assert got == [(0, 10, 0), (0, 151, 0), (0, 151, 150), (0, 250, 249), (3, 22, 0), (3, 260, 259), (3, 260, 259)]
+    assert {"no id here", "z"} <= {r.kept_text for r in rows}
+
+
+def test_mixture_of_rows_that_share_an_id(spark, sf):
+    """Every row of an id stands as often as the mix takes that row."""
+    import corpus_pipeline
+
+    rows = [(None, f"w{i} " * (5 + 7 * i), "en", "ab"[i % 2], 0) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix(table, row_key=F.xxhash64(*table.columns)).where("size > 0").collect()
+    expected = {r.size: round(r.taken / r.size) for r in mixed}
+    assert len(expected) == 40 and len(set(expected.values())) > 1
+    got = Counter(len(r.text.split()) for r in corpus_pipeline.mix_sources(spark, table, sf).collect())
+    assert all(got[n] == c for n, c in expected.items())
+
+
 def test_mix(spark, hard, empty):
     rows = mixing.mix(hard).collect()
     assert len(rows) == hard.count() and all(0 <= r.taken <= 2 * r.size for r in rows)
