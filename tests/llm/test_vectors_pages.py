@@ -77,6 +77,17 @@ def test_nearest_recall(spark, spread, monkeypatch):
     assert recall(got, x, range(0, 1500, 20), 10) >= 0.9
 
 
+def test_search_goes_on_until_nothing_opens(spark, tmp_path):
+    """Along a chain of which a round opens one node, the far end is found."""
+    table = spark.createDataFrame([(i, [1.0 + i, 0.5], 0, 7, 1.0) for i in range(9)], SCHEMA)
+    nodes, members = ann.nodes_of(table, str(tmp_path))
+    node = {r.vec_id: r.node for r in members.collect()}
+    graph = spark.createDataFrame([(node[i], node[i + 1]) for i in range(8)], "src long, dst long")
+    asks = nodes.where(F.col("node") == node[0]).select(F.lit(1).cast("long").alias("rid"), F.col("x").alias("ask"))
+    found = ann.search(graph, nodes, asks, spark.createDataFrame([(1, node[0])], "rid long, node long"), str(tmp_path), kept=4, opened=1)
+    assert {r.node for r in found.collect()} == {node[i] for i in (5, 6, 7, 8)}
+
+
 def test_nearest_hard_rows(spark):
     x, table = vectors(spark, 130)
     table = table.union(spark.createDataFrame([(900, [0.0] * 8, 0, 7, 1.0)], SCHEMA))
