@@ -77,6 +77,22 @@ def test_nearest_recall(spark, spread, monkeypatch):
     assert recall(got, x, range(0, 1500, 20), 10) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["outlier", "near copies"])
+def test_nearest_keeps_fine_differences(spark, kind):
+    """One vector a thousand times longer than the others; vectors that differ by less than a byte can tell."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 16))
+    if kind == "outlier":
+        x[7] *= 1000
+    else:
+        x[:250] = x[0] * (1 + 1e-4 * rng.normal(size=(250, 1))) + 1e-4 * rng.normal(size=(250, 16))
+    table = spark.createDataFrame([(i, v.tolist(), 0, 7, 1.0) for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert recall(got, x, range(0, 500, 20), 10) >= 0.9
+
+
 def test_search_goes_on_until_nothing_opens(spark, tmp_path):
     """Along a chain of which a round opens one node, the far end is found."""
     table = spark.createDataFrame([(i, [1.0 + i, 0.5], 0, 7, 1.0) for i in range(9)], SCHEMA)
