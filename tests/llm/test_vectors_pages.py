@@ -140,6 +140,12 @@ def test_main_text(spark):
     assert extract.extract(table.limit(0)).count() == 0
 
 
+def test_classes_of_the_whole_page_drop_nothing():
+    for page in ("<html class='no-ads'><body class='has-sidebar'><article><p>Own</p></article><div class='menu'>M</div></body></html>",
+                 "<body id='with-menu'><p>Own</p><div class='sidebar'>S</div></body>"):
+        assert extract.main_text(page, [], []) == "Own"
+
+
 def test_template_classes(spark):
     table = spark.createDataFrame([(f"h{i % 2}", i, PAGE % i) for i in range(6)], "host string, row long, html string")
     for r in extract.templates(table).collect():
