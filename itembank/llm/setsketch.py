@@ -15,6 +15,7 @@ So no link is lost that shares a band, and members of one component, the bulk of
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,7 +210,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     (Kiveris et al., 2014): minima and joins only, so the centre of a large star costs no more than its rows."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
-    for turn in range(100):
+    for turn in itertools.count():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
