@@ -13,6 +13,9 @@ combination with k - 1 others of its class (Wang et al., 2016):
 Groups are small because their number follows from the size class of the set. Two sets meet in the size class of the smaller one, so a
 set is indexed under each class that a partner may have, two at most.
 
+A token that no other prefix holds is in no partner whose prefix reaches as far. So a set with more than ``errors`` such tokens has partners only
+among sets that have fewer and whose prefix ends before: two such sets are never compared, which spares texts that share a passage.
+
 In every bucket of a combination one set, chosen by a digest, is compared to the others: a row per member. Links make components, and buckets that
 still hold several are searched completely, in blocks, between components only. A pair's prefixes bound its similarity; pairs that pass are verified on the
 full sets. Nothing is lost: digests of 64 bits stand for tokens, as in the verification.
@@ -33,15 +36,17 @@ from itembank.llm.common import query, run_folder, slices, stage, table
 from itembank.llm.setsketch import Shingles, components, similar
 from itembank.operators.skew import attach_per_key
 
-#: The sketch: counters in all (4 MB a task while it counts, 1 MB of levels afterwards), and in one slice of it.
-COUNTERS, SLICE = 1 << 20, 1 << 10
-#: Levels of the order start at these multiples of the mean counter (of 1 at least).
-LEVELS = (8, 64, 512)
+#: The sketch: counters in all (32 MB a task while it counts, 4 MB of levels afterwards), and in one slice of it.
+COUNTERS, SLICE = 1 << 22, 1 << 12
+#: Levels of the order start at these multiples of a count well above that of a counter with rare tokens alone (``common``).
+LEVELS = (1, 8, 64)
 #: Tokens in so many prefixes are of class 2 and 3; tokens of a group, about.
 CLASSES = (16, 1024)
 GROUP = 6
 #: Members and bytes of one block of a bucket.
 MEMBERS, BLOCK_BYTES = 256, 8 << 20
+#: Pairs of a member and a block that are verified first.
+BEST = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,6 +124,11 @@ def may_be_similar(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int, percent: in
     return (100 + percent) * most >= percent * (n_x + n_y)
 
 
+def common(mean: float) -> float:
+    """A counter of rare tokens alone, ``mean`` of them on average, stays below this (six deviations)."""
+    return mean + 6 * mean ** 0.5 + 8
+
+
 def _look(width: int):
     """Per document: ``n`` and a digest of its set. At the task's end, its counts of the sketch, in slices."""
     names = ["doc_id", "n", "digest", "slice", "counts"]
@@ -128,17 +138,18 @@ def _look(width: int):
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc_ids, sizes, digests, numbers, counts), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counters = Shingles(width), np.zeros(COUNTERS, "<u4")
+        shingles, counters = Shingles(width), np.zeros(COUNTERS, np.int64)
         for part in slices(batches, "text"):
             made = [shingles(text) for text in part.column("text").to_pylist()]
             places = (np.concatenate(made) & np.uint64(COUNTERS - 1)).astype(np.int64)
-            counters += np.bincount(places, minlength=COUNTERS).astype("<u4")
+            counters += np.bincount(places, minlength=COUNTERS)
             sizes = [len(elements) for elements in made]
             digests = [xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None for elements in made]
             none = [None] * len(sizes)
             yield rows(part.column("doc_id").to_pylist(), sizes, digests, none, none)
         cut = [(i, counters[i * SLICE:(i + 1) * SLICE]) for i in range(COUNTERS // SLICE)]
-        held = [(i, c.tobytes()) for i, c in cut if c.any()]
+        # As many bytes a counter as the slice's largest one needs.
+        held = [(i, c.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if c.max() <= np.iinfo(t).max)).tobytes()) for i, c in cut if c.any()]
         if held:
             none = [None] * len(held)
             yield rows(none, none, none, [i for i, _ in held], [c for _, c in held])
@@ -153,8 +164,8 @@ def _levels(mean: float):
         for batch in batches:
             for number, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
                 held = sums.setdefault(number, np.zeros(SLICE, np.int64))
-                held += np.frombuffer(counts, "<u4")
-        level = [np.searchsorted([m * max(1.0, mean) for m in LEVELS], s, "right").astype(np.uint8).tobytes() for s in sums.values()]
+                held += np.frombuffer(counts, f"<u{len(counts) // SLICE}")
+        level = [np.searchsorted([m * common(mean) for m in LEVELS], s, "right").astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["slice", "level"])
 
     return run
@@ -187,10 +198,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(percent: int):
-    """``node`` and ``bucket`` of every combination, from prefixes and the counts of those tokens that several prefixes hold."""
+    """``node`` and ``bucket`` of every combination, from prefixes and the counts of those tokens that several prefixes hold, and
+    ``near``: whether its lone tokens are few enough for partners whose prefix reaches further."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices([batch], "prefix")):
-            nodes, buckets = [], []
+            nodes, buckets, near = [], [], []
             for node, n, prefix, known, counts in zip(*(part.column(c).to_pylist() for c in ("node", "n", "prefix", "tokens", "counts"))):
                 tokens = np.frombuffer(prefix, "<u8")
                 count = np.ones(len(tokens), np.int64)
@@ -198,8 +210,10 @@ def _indexed(percent: int):
                 made = combinations(tokens, count, n, percent)
                 nodes.append(np.full(len(made), node))
                 buckets.append(made)
+                near.append(np.full(len(made), (count == 1).sum() <= errors(n, percent)))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(buckets).view(np.int64))], ["node", "bucket"])
+                columns = [np.concatenate(nodes), np.concatenate(buckets).view(np.int64), np.concatenate(near)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "bucket", "near"])
 
     return run
 
@@ -236,24 +250,58 @@ def _verify(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of two blocks of a bucket, of different components, that may be similar."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a small bucket that need be compared."""
+    for batch in batches:
+        found: list[list[int]] = [[], []]
+        for nodes, near in zip(batch.column("nodes").to_pylist(), batch.column("near").to_pylist()):
+            for (a, near_a), (b, near_b) in itertools.combinations(sorted(zip(nodes, near)), 2):
+                if near_a or near_b:
+                    found[0].append(a)
+                    found[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+
+def most_shared(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray) -> np.ndarray:
+    """The most tokens that each set on the left can share with each on the right, given the beginnings of all (``may_be_similar``)."""
+    tokens = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def held(sets: list[np.ndarray]) -> np.ndarray:
+        row, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        column = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
+        hit = tokens[column] == flat if len(tokens) else np.zeros(len(flat), bool)
+        out = np.zeros((len(sets), len(tokens)), np.float32)
+        out[row[hit], column[hit]] = 1
+        return out
+
+    ends = [np.array([s[-1] if len(s) < n else np.iinfo(np.uint64).max for s, n in zip(sets, sizes)], np.uint64) for sets, sizes in ((left, n_left), (right, n_right))]
+    known_left = np.array([np.searchsorted(s, np.minimum(ends[1], end), "right") for s, end in zip(left, ends[0])])
+    known_right = np.array([np.searchsorted(s, np.minimum(ends[0], end), "right") for s, end in zip(right, ends[1])]).T
+    rest = np.minimum(n_left[:, None] - known_left, n_right[None, :] - known_right)
+    return (held(left) @ held(right).T).astype(np.int64) + rest
+
+
+def _across(percent: int, best: int | None):
+    """Pairs of two blocks of a bucket, of different components, that may be similar: all, or the ``best`` of each member outside
+    the largest component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 left, right = batch.column("odd")[i].values, batch.column("other")[i].values
-                (a, comp_a, n_a), (b, comp_b, n_b) = ([s.field(c).to_numpy() for c in ("node", "comp", "n")] for s in (left, right))
+                (a, comp_a, n_a, near_a), (b, comp_b, n_b, near_b) = (
+                    [s.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "near")] for s in (left, right))
                 both_odd = right.field("is_odd").to_numpy(zero_copy_only=False)
                 first, second = ([np.frombuffer(p, "<u8") for p in s.field("prefix").to_pylist()] for s in (left, right))
-                found: list[list[int]] = [[], []]
-                for k in range(len(a)):
-                    # Two that are both outside the largest component meet twice.
-                    fits = (comp_b != comp_a[k]) & ~(both_odd & (b < a[k])) & (100 * np.minimum(n_b, n_a[k]) >= percent * np.maximum(n_b, n_a[k]))
-                    for j in np.flatnonzero(fits).tolist():
-                        if may_be_similar(first[k], int(n_a[k]), second[j], int(n_b[j]), percent):
-                            found[0].append(min(a[k], b[j]))
-                            found[1].append(max(a[k], b[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+                most = most_shared(first, n_a, second, n_b)
+                both = n_a[:, None] + n_b
+                # Two that are both outside the largest component meet twice.
+                fits = (near_a[:, None] | near_b) & (comp_a[:, None] != comp_b) & ~(both_odd & (b < a[:, None])) & ((100 + percent) * most >= percent * both)
+                if best is not None:
+                    likeness = np.where(fits, most / both, -1)
+                    rank = np.argsort(np.argsort(-likeness, axis=1, kind="stable"), axis=1)
+                    fits &= rank < best
+                x, y = np.nonzero(fits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], ["a", "b"])
 
     return run
 
@@ -290,50 +338,58 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     tokens = prefixes.select("node", "prefix").mapInArrow(_tokens, "node long, token long")
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     known = tokens.join(several, "token").groupBy("node").agg(F.collect_list("token").alias("tokens"), F.collect_list("count").alias("counts"))
-    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, bucket long"), folder, "indexed")
+    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, bucket long, near boolean"), folder, "indexed")
 
     # Buckets of the same members say the same; one of them stays.
     digest = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
-    lead = F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node")))["node"]
-    sizes = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), digest(1).alias("x"), digest(2).alias("y"), lead.alias("lead")).where("size > 1")
-    buckets = sizes.groupBy("size", "x", "y", "lead").agg(F.min("bucket").alias("bucket")).select("bucket", "lead")
+    lead = F.min(F.struct((~F.col("near")).alias("far"), F.xxhash64("node").alias("order"), F.col("node").alias("node")))["node"]
+    sizes = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), digest(1).alias("x"), digest(2).alias("y"), lead.alias("lead"), F.bool_or("near").alias("any"))
+    sizes = sizes.where("size > 1 AND any")
+    buckets = sizes.groupBy("size", "x", "y", "lead").agg(F.min("bucket").alias("bucket")).select("bucket", "lead", "size")
     members = stage(indexed.join(buckets, "bucket"), folder, "members")
 
-    asked = members.select("node").distinct().join(classes, "node").select("node", F.col("least").alias("doc_id"), "digest")
-    texts = given.join(asked.hint("shuffle_hash"), "doc_id").select("node", "digest", "text")
-    sets = stage(texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"]), folder, "sets")
-
     def of(side: str, frame: DataFrame, *columns: str) -> DataFrame:
         return frame.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of ``pairs`` that are linked. Only documents of a pair are read again."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = stage(nodes.join(classes, "node").select("node", F.col("least").alias("doc_id"), "digest"), folder, f"{name}-asked")
+        texts = given.join(asked, "doc_id").select("node", "digest", "text")
+        sets = stage(texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"]), folder, f"{name}-sets")
         full = pairs.join(of("a", sets, "set"), "a").join(of("b", sets, "set"), "b")
         return stage(full.mapInArrow(_verify(percent), "a long, b long"), folder, name)
 
-    led = members.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    both = led.join(of("a", prefixes, "prefix", "n"), "a").join(of("b", prefixes, "prefix", "n"), "b")
-    likely = stage(both.mapInArrow(_plausible(percent), "a long, b long"), folder, "likely")
-    links = verified(likely, "links")
-
-    comps = components(links, folder, "comps")
-    held = stage(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), folder, "held")
-    per_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    split = per_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all")).where("comps > 1")
-    open_ = held.join(split, "bucket").join(prefixes, "node")
-    heavy = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.octet_length("prefix")) / BLOCK_BYTES)).alias("blocks"))
-    dealt = open_.join(heavy, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("is_odd", F.col("comp") != F.col("main"))
-    whole = dealt.select("bucket", "blocks", "chunk", "is_odd", F.struct("node", "comp", "n", "prefix", "is_odd").alias("member"))
-    other = whole.groupBy("bucket", "chunk").agg(F.collect_list("member").alias("other"))
-    odd = whole.where("is_odd").groupBy("bucket", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
-    met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
-        other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("odd", "other")
-    more = verified(stage(met.mapInArrow(_across(percent), "a long, b long").distinct(), folder, "met"), "more")
+    # Tokens of class 1 have small buckets: all their pairs, a bounded number a member. In others a row per member.
+    small = members.where(F.col("size") < CLASSES[0]).groupBy("bucket").agg(F.collect_list("node").alias("nodes"), F.collect_list("near").alias("near"))
+    led = members.where((F.col("size") >= CLASSES[0]) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    pairs = small.select("nodes", "near").mapInArrow(_pairs, "a long, b long").union(led).distinct()
+    both = pairs.join(of("a", prefixes, "prefix", "n"), "a").join(of("b", prefixes, "prefix", "n"), "b")
+    links = verified(stage(both.mapInArrow(_plausible(percent), "a long, b long"), folder, "likely"), "links")
+
+    large = members.where(F.col("size") >= CLASSES[0]).select("bucket", "node", "near")
+    for name, best in (("near", BEST), ("all", None)):
+        # The likeliest pairs first: what they link need not be searched.
+        comps = components(links, folder, f"{name}-comps")
+        held = stage(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), folder, f"{name}-held")
+        per_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+        split = per_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        open_ = held.join(split, "bucket").join(prefixes, "node")
+        heavy = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.octet_length("prefix")) / BLOCK_BYTES)).alias("blocks"))
+        dealt = open_.join(heavy, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("is_odd", F.col("comp") != F.col("main"))
+        whole = dealt.select("bucket", "blocks", "chunk", "is_odd", F.struct("node", "comp", "n", "near", "prefix", "is_odd").alias("member"))
+        other = whole.groupBy("bucket", "chunk").agg(F.collect_list("member").alias("other"))
+        odd = whole.where("is_odd").groupBy("bucket", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
+        met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
+            other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("odd", "other")
+        found = stage(met.mapInArrow(_across(percent, best), "a long, b long").distinct(), folder, f"{name}-met")
+        links = links.union(verified(found, f"{name}-links"))
 
     # Different texts of one id are one document.
     several_sets = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     texts_of = real.distinct().join(several_sets, "doc_id", "left_semi").join(classes.select("digest", "n", "node"), ["digest", "n"])
     shared = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    final = components(links.union(more).union(shared), folder, "final")
+    final = components(links.union(shared), folder, "final")
 
     grouped = classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = grouped.join(grouped.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("digest", "n", "copies", "component")
