@@ -202,18 +202,19 @@ def _indexed(percent: int):
     ``near``: whether its lone tokens are few enough for partners whose prefix reaches further."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices([batch], "prefix")):
-            nodes, buckets, near = [], [], []
+            nodes, sizes, buckets, near = [], [], [], []
             for node, n, prefix, known, counts in zip(*(part.column(c).to_pylist() for c in ("node", "n", "prefix", "tokens", "counts"))):
                 tokens = np.frombuffer(prefix, "<u8")
                 count = np.ones(len(tokens), np.int64)
                 count[np.searchsorted(tokens, np.array(known, np.int64).view(np.uint64))] = counts
                 made = combinations(tokens, count, n, percent)
                 nodes.append(np.full(len(made), node))
+                sizes.append(np.full(len(made), n))
                 buckets.append(made)
                 near.append(np.full(len(made), (count == 1).sum() <= errors(n, percent)))
             if nodes:
-                columns = [np.concatenate(nodes), np.concatenate(buckets).view(np.int64), np.concatenate(near)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "bucket", "near"])
+                columns = [np.concatenate(nodes), np.concatenate(sizes), np.concatenate(buckets).view(np.int64), np.concatenate(near)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "bucket", "near"])
 
     return run
 
@@ -250,16 +251,20 @@ def _verify(percent: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(percent: int):
     """All pairs of a small bucket that need be compared."""
-    for batch in batches:
-        found: list[list[int]] = [[], []]
-        for nodes, near in zip(batch.column("nodes").to_pylist(), batch.column("near").to_pylist()):
-            for (a, near_a), (b, near_b) in itertools.combinations(sorted(zip(nodes, near)), 2):
-                if near_a or near_b:
-                    found[0].append(a)
-                    found[1].append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[int]] = [[], []]
+            for members in batch.column("members").to_pylist():
+                told = sorted((m["node"], m["n"], m["near"]) for m in members)
+                for (a, n_a, near_a), (b, n_b, near_b) in itertools.combinations(told, 2):
+                    if (near_a or near_b) and 100 * min(n_a, n_b) >= percent * max(n_a, n_b):
+                        found[0].append(a)
+                        found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+    return run
 
 
 def most_shared(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray) -> np.ndarray:
@@ -338,11 +343,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     tokens = prefixes.select("node", "prefix").mapInArrow(_tokens, "node long, token long")
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     known = tokens.join(several, "token").groupBy("node").agg(F.collect_list("token").alias("tokens"), F.collect_list("count").alias("counts"))
-    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, bucket long, near boolean"), folder, "indexed")
+    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, n long, bucket long, near boolean"), folder, "indexed")
 
     # Buckets of the same members say the same; one of them stays.
     digest = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
-    lead = F.min(F.struct((~F.col("near")).alias("far"), F.xxhash64("node").alias("order"), F.col("node").alias("node")))["node"]
+    lead = F.min(F.struct((~F.col("near")).alias("far"), F.xxhash64("node").alias("order"), F.col("node").alias("node"), F.col("n").alias("n")))
     sizes = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), digest(1).alias("x"), digest(2).alias("y"), lead.alias("lead"), F.bool_or("near").alias("any"))
     sizes = sizes.where("size > 1 AND any")
     buckets = sizes.groupBy("size", "x", "y", "lead").agg(F.min("bucket").alias("bucket")).select("bucket", "lead", "size")
@@ -361,9 +366,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         return stage(full.mapInArrow(_verify(percent), "a long, b long"), folder, name)
 
     # Tokens of class 1 have small buckets: all their pairs, a bounded number a member. In others a row per member.
-    small = members.where(F.col("size") < CLASSES[0]).groupBy("bucket").agg(F.collect_list("node").alias("nodes"), F.collect_list("near").alias("near"))
-    led = members.where((F.col("size") >= CLASSES[0]) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    pairs = small.select("nodes", "near").mapInArrow(_pairs, "a long, b long").union(led).distinct()
+    small = members.where(F.col("size") < CLASSES[0]).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "near")).alias("members"))
+    alike = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    led = members.where((F.col("size") >= CLASSES[0]) & (F.col("node") != F.col("lead.node")) & alike)
+    led = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+    pairs = small.select("members").mapInArrow(_pairs(percent), "a long, b long").union(led).distinct()
     both = pairs.join(of("a", prefixes, "prefix", "n"), "a").join(of("b", prefixes, "prefix", "n"), "b")
     links = verified(stage(both.mapInArrow(_plausible(percent), "a long, b long"), folder, "likely"), "links")
 
