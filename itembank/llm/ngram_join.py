@@ -14,7 +14,7 @@ Groups are small because their number follows from the size class of the set. Tw
 set is indexed under each class that a partner may have, two at most.
 
 A token that no other prefix holds is in no partner whose prefix reaches as far. So a set with more than ``errors`` such tokens has partners only
-among sets that have fewer and whose prefix ends before: two such sets are never compared, which spares texts that share a passage.
+among sets that have fewer and whose prefix ends before its own; others are never compared to it, which spares texts that share a passage.
 
 In every bucket of a combination one set, chosen by a digest, is compared to the others: a row per member. Links make components, and buckets that
 still hold several are searched completely, in blocks, between components only. A pair's prefixes bound its similarity; pairs that pass are verified on the
@@ -46,7 +46,7 @@ GROUP = 6
 #: Members and bytes of one block of a bucket.
 MEMBERS, BLOCK_BYTES = 256, 8 << 20
 #: Pairs of a member and a block that are verified first.
-BEST = 2
+BEST = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,10 +199,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _indexed(percent: int):
     """``node`` and ``bucket`` of every combination, from prefixes and the counts of those tokens that several prefixes hold, and
-    ``near``: whether its lone tokens are few enough for partners whose prefix reaches further."""
+    ``near``: whether its lone tokens are few enough for partners whose prefix reaches as far; ``last``: where its own ends."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices([batch], "prefix")):
-            nodes, sizes, buckets, near = [], [], [], []
+            nodes, sizes, buckets, near, last = [], [], [], [], []
             for node, n, prefix, known, counts in zip(*(part.column(c).to_pylist() for c in ("node", "n", "prefix", "tokens", "counts"))):
                 tokens = np.frombuffer(prefix, "<u8")
                 count = np.ones(len(tokens), np.int64)
@@ -212,9 +212,10 @@ def _indexed(percent: int):
                 sizes.append(np.full(len(made), n))
                 buckets.append(made)
                 near.append(np.full(len(made), (count == 1).sum() <= errors(n, percent)))
+                last.append(np.full(len(made), int(tokens[-1]) if len(tokens) < n else np.iinfo(np.uint64).max, np.uint64))
             if nodes:
-                columns = [np.concatenate(nodes), np.concatenate(sizes), np.concatenate(buckets).view(np.int64), np.concatenate(near)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "bucket", "near"])
+                columns = [np.concatenate(nodes), np.concatenate(sizes), np.concatenate(buckets).view(np.int64), np.concatenate(near), (np.concatenate(last) >> np.uint64(1)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "bucket", "near", "last"])
 
     return run
 
@@ -257,9 +258,9 @@ def _pairs(percent: int):
         for batch in batches:
             found: list[list[int]] = [[], []]
             for members in batch.column("members").to_pylist():
-                told = sorted((m["node"], m["n"], m["near"]) for m in members)
-                for (a, n_a, near_a), (b, n_b, near_b) in itertools.combinations(told, 2):
-                    if (near_a or near_b) and 100 * min(n_a, n_b) >= percent * max(n_a, n_b):
+                told = sorted((m["node"], m["n"], m["near"], m["last"]) for m in members)
+                for (a, n_a, near_a, last_a), (b, n_b, near_b, last_b) in itertools.combinations(told, 2):
+                    if (near_a or last_a > last_b) and (near_b or last_b > last_a) and 100 * min(n_a, n_b) >= percent * max(n_a, n_b):
                         found[0].append(a)
                         found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
@@ -286,6 +287,12 @@ def most_shared(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarr
     return (held(left) @ held(right).T).astype(np.int64) + rest
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [np.array(v, "<i8").tobytes() for v in batch.column("list").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.binary())], ["node", "buckets"])
+
+
 def _across(percent: int, best: int | None):
     """Pairs of two blocks of a bucket, of different components, that may be similar: all, or the ``best`` of each member outside
     the largest component."""
@@ -293,14 +300,26 @@ def _across(percent: int, best: int | None):
         for batch in batches:
             for i in range(batch.num_rows):
                 left, right = batch.column("odd")[i].values, batch.column("other")[i].values
-                (a, comp_a, n_a, near_a), (b, comp_b, n_b, near_b) = (
-                    [s.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "near")] for s in (left, right))
+                (a, comp_a, n_a, near_a, last_a), (b, comp_b, n_b, near_b, last_b) = (
+                    [s.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "near", "last")] for s in (left, right))
                 both_odd = right.field("is_odd").to_numpy(zero_copy_only=False)
                 first, second = ([np.frombuffer(p, "<u8") for p in s.field("prefix").to_pylist()] for s in (left, right))
                 most = most_shared(first, n_a, second, n_b)
                 both = n_a[:, None] + n_b
                 # Two that are both outside the largest component meet twice.
-                fits = (near_a[:, None] | near_b) & (comp_a[:, None] != comp_b) & ~(both_odd & (b < a[:, None])) & ((100 + percent) * most >= percent * both)
+                ahead = last_a[:, None] - last_b
+                fits = (near_a[:, None] | (ahead > 0)) & (near_b | (ahead < 0)) & ((100 + percent) * most >= percent * both)
+                fits &= (comp_a[:, None] != comp_b) & ~(both_odd & (b < a[:, None]))
+                # Members meet in every large bucket that they share; the pair is told in the first of them.
+                x, y = np.nonzero(fits)
+                if len(x):
+                    mine, theirs = ([np.frombuffer(v, "<i8") for v in s.field("buckets").to_pylist()] for s in (left, right))
+                    here = batch.column("bucket")[i].as_py()
+                    shared = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
+                    earlier = shared[shared < here]
+                    if len(earlier):
+                        first_m, first_t = (np.array([np.isin(earlier, v, assume_unique=True) for v in lists]) for lists in (mine, theirs))
+                        fits[x, y] = ~(first_m[x] & first_t[y]).any(axis=1)
                 if best is not None:
                     likeness = np.where(fits, most / both, -1)
                     rank = np.argsort(np.argsort(-likeness, axis=1, kind="stable"), axis=1)
@@ -343,15 +362,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     tokens = prefixes.select("node", "prefix").mapInArrow(_tokens, "node long, token long")
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     known = tokens.join(several, "token").groupBy("node").agg(F.collect_list("token").alias("tokens"), F.collect_list("count").alias("counts"))
-    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, n long, bucket long, near boolean"), folder, "indexed")
+    indexed = stage(prefixes.join(known, "node").mapInArrow(_indexed(percent), "node long, n long, bucket long, near boolean, last long"), folder, "indexed")
 
     # Buckets of the same members say the same; one of them stays.
     digest = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
     lead = F.min(F.struct((~F.col("near")).alias("far"), F.xxhash64("node").alias("order"), F.col("node").alias("node"), F.col("n").alias("n")))
-    sizes = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), digest(1).alias("x"), digest(2).alias("y"), lead.alias("lead"), F.bool_or("near").alias("any"))
-    sizes = sizes.where("size > 1 AND any")
+    reach = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("near"), F.col("last"))).alias("reach")).where("size > 1 AND reach IS NOT NULL")
+    worth = stage(indexed.join(reach.select("bucket", "reach"), "bucket").where("near OR last > reach").drop("reach"), folder, "worth")
+    sizes = worth.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), digest(1).alias("x"), digest(2).alias("y"), lead.alias("lead")).where("size > 1")
     buckets = sizes.groupBy("size", "x", "y", "lead").agg(F.min("bucket").alias("bucket")).select("bucket", "lead", "size")
-    members = stage(indexed.join(buckets, "bucket"), folder, "members")
+    members = stage(worth.join(buckets, "bucket"), folder, "members")
 
     def of(side: str, frame: DataFrame, *columns: str) -> DataFrame:
         return frame.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
@@ -366,7 +386,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         return stage(full.mapInArrow(_verify(percent), "a long, b long"), folder, name)
 
     # Tokens of class 1 have small buckets: all their pairs, a bounded number a member. In others a row per member.
-    small = members.where(F.col("size") < CLASSES[0]).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "near")).alias("members"))
+    small = members.where(F.col("size") < CLASSES[0]).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "near", "last")).alias("members"))
     alike = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     led = members.where((F.col("size") >= CLASSES[0]) & (F.col("node") != F.col("lead.node")) & alike)
     led = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
@@ -374,21 +394,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     both = pairs.join(of("a", prefixes, "prefix", "n"), "a").join(of("b", prefixes, "prefix", "n"), "b")
     links = verified(stage(both.mapInArrow(_plausible(percent), "a long, b long"), folder, "likely"), "links")
 
-    large = members.where(F.col("size") >= CLASSES[0]).select("bucket", "node", "near")
+    large = members.where(F.col("size") >= CLASSES[0]).select("bucket", "node", "near", "last")
     for name, best in (("near", BEST), ("all", None)):
         # The likeliest pairs first: what they link need not be searched.
         comps = components(links, folder, f"{name}-comps")
         held = stage(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), folder, f"{name}-held")
         per_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
         split = per_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_ = held.join(split, "bucket").join(prefixes, "node")
+        open_ = stage(held.join(split, "bucket"), folder, f"{name}-open")
+        # A member's open buckets, in order; no more than its combinations.
+        lists = open_.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("list")).mapInArrow(_packed, "node long, buckets binary")
+        open_ = open_.join(prefixes, "node").join(lists, "node")
         heavy = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.octet_length("prefix")) / BLOCK_BYTES)).alias("blocks"))
         dealt = open_.join(heavy, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("is_odd", F.col("comp") != F.col("main"))
-        whole = dealt.select("bucket", "blocks", "chunk", "is_odd", F.struct("node", "comp", "n", "near", "prefix", "is_odd").alias("member"))
+        whole = dealt.select("bucket", "blocks", "chunk", "is_odd", F.struct("node", "comp", "n", "near", "last", "prefix", "buckets", "is_odd").alias("member"))
         other = whole.groupBy("bucket", "chunk").agg(F.collect_list("member").alias("other"))
         odd = whole.where("is_odd").groupBy("bucket", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
         met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
-            other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("odd", "other")
+            other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("bucket", "odd", "other")
         found = stage(met.mapInArrow(_across(percent, best), "a long, b long").distinct(), folder, f"{name}-met")
         links = links.union(verified(found, f"{name}-links"))
 
