@@ -41,12 +41,13 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank table, control bytes and data bytes of ``ids``."""
-    seen, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -counts))
-    rank = np.empty(len(seen), np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
-    ranks = rank[inverse]
+    """Rank table, control bytes and data bytes of ``ids``, which lie below the size of a vocabulary."""
+    counts = np.bincount(ids)
+    seen = np.flatnonzero(counts)
+    ranked = seen[np.argsort(-counts[seen], kind="stable")]
+    rank = np.empty(len(counts), np.uint32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
+    ranks = rank[ids]
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     codes[:len(ids)] = extra
@@ -58,7 +59,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for byte in range(1, int(extra.max(initial=0)) + 1):
         wide = np.flatnonzero(extra >= byte)
         data[starts[wide] + byte] = ranks[wide] >> (8 * byte) & 0xFF
-    return seen[order].astype("<u4"), control, data
+    return ranked.astype("<u4"), control, data
 
 
 def unpack(n: int, ranked: np.ndarray, control: np.ndarray, data: np.ndarray) -> np.ndarray:
