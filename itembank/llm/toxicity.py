@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itembank.llm.common import query, slices, table
+from itembank.llm.common import query, run_folder, slices, stage, table
 
-#: Bounds of the sample that is trained on.
+#: Bounds of the sample that is trained on, unless ``fit`` is told others.
 POSITIVES = 4000
 UNLABELLED = 12000
 PREFIXES = (4, 5, 6)
@@ -65,21 +65,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
-    """A linear classifier from the features of each document of both samples."""
-    if not positive or not unlabelled or prior <= 0:
-        return Classifier({}, -30.0)
-    seen, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    all_u, count_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(all_u, seen), max(len(all_u) - 1, 0))
-    in_u = np.where(all_u[at] == seen, count_u[at], 0) if len(all_u) else np.zeros(len(seen))
-    kept = seen[(in_p >= min(LEAST, len(positive))) & (in_p / len(positive) >= TIMES * (in_u + 1) / (len(unlabelled) + 1))]
-
+def train(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
+    """A linear classifier on the features ``kept``, from the places in it of each document's features, for both samples."""
     def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, flat = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
-        col = np.minimum(np.searchsorted(kept, flat), max(len(kept) - 1, 0))
-        hit = kept[col] == flat if len(kept) else np.zeros(len(flat), bool)
-        return row[hit], col[hit]
+        return np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs).astype(np.int64)
 
     (row_p, col_p), (row_u, col_u) = sparse(positive), sparse(unlabelled)
     w, mean, square = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
@@ -114,26 +103,58 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(made, pa.binary())], ["toxic", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Train on at most POSITIVES confirmed toxic documents and about UNLABELLED documents of any kind, both chosen by a
-    digest of the id outside the held-out fold. The prior is the share of toxic ones among the labelled outside it."""
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (p for batch in batches for p in slices([batch], "features")):
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column("features").to_pylist()), "<u4").astype(np.int64))], ["feature"])
+
+
+def _hits(kept: np.ndarray):
+    """The places in ``kept`` (ascending) of each document's features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in slices([batch], "features")):
+            hits = []
+            for held in part.column("features").to_pylist():
+                _, places, _ = np.intersect1d(kept, np.frombuffer(held, "<u4"), assume_unique=True, return_indices=True)
+                hits.append(places.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(hits, pa.binary())], ["toxic", "hits"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
+    """Train on at most ``positives`` confirmed toxic documents and about ``unlabelled`` documents of any kind, both chosen by a
+    digest of the id outside the held-out fold. The prior is the share of toxic ones among the labelled outside it.
+
+    Features are counted by Spark; to the driver come those that are kept, and of each document of the sample the places of its own among them.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.col("toxic").isNotNull())
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return Classifier({}, -30.0)
     mixed = F.xxhash64("doc_id", F.lit("sample"))
-    positive = known.where("toxic = 1").orderBy(mixed, "doc_id").limit(POSITIVES).select("doc_id")
+    positive = known.where("toxic = 1").orderBy(mixed, "doc_id").limit(positives).select("doc_id")
     rest = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, UNLABELLED / max(1, rest.count()))
+    share = min(1.0, unlabelled / max(1, rest.count()))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("rest")), F.lit(1 << 30)) < int(share * (1 << 30))
-    # The ids of P are at most POSITIVES rows.
+    # The ids of P are at most ``positives`` rows.
     marked = rest.select("doc_id", "text", chosen.alias("chosen")).join(F.broadcast(positive.withColumn("toxic", F.lit(True))), "doc_id", "left")
     marked = marked.where(F.col("chosen") | F.col("toxic")).withColumn("toxic", F.coalesce("toxic", F.lit(False)))
     rows = marked.select("text", F.when(F.col("toxic") & F.col("chosen"), 2).when(F.col("toxic"), 1).otherwise(0).alias("toxic"))
-    sample = rows.mapInArrow(_featurise, "toxic int, features binary").toPandas()
-    of = lambda kinds: [np.frombuffer(f, "<u4") for f in sample.features[sample.toxic.isin(kinds)]]
-    return train(of((1, 2)), of((0, 2)), toxic / total)
+    sample = stage(rows.mapInArrow(_featurise, "toxic int, features binary"), run_folder(docs.sparkSession, "toxicity"), "sample")
+    in_sample = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_p, n_u = in_sample.get(1, 0) + in_sample.get(2, 0), in_sample.get(0, 0) + in_sample.get(2, 0)
+    if not n_p or not n_u:
+        return Classifier({}, -30.0)
+
+    counts = lambda kinds: sample.where(F.col("toxic").isin(*kinds)).mapInArrow(_explode, "feature long").groupBy("feature")
+    often = counts((1, 2)).agg(F.count(F.lit(1)).alias("in_p")).where(F.col("in_p") >= min(LEAST, n_p))
+    common = often.join(counts((0, 2)).agg(F.count(F.lit(1)).alias("in_u")), "feature", "left")
+    clear = F.col("in_p") / n_p >= TIMES * (F.coalesce("in_u", F.lit(0)) + 1) / (n_u + 1)
+    kept = np.sort(np.array([r["feature"] for r in common.where(clear).select("feature").collect()], "<u4"))
+    hits = [(r["toxic"], np.frombuffer(r["hits"], "<u4")) for r in sample.mapInArrow(_hits(kept), "toxic int, hits binary").collect()]
+    of = lambda kinds: [places for kind, places in hits if kind in kinds]
+    return train(kept, of((1, 2)), of((0, 2)), toxic / total)
 
 
 def _score(weights: dict[int, float], bias: float, text: str, kept: list[str]):
