@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itembank.functions import text as tx
 from itembank.functions.predicates import flag_list
+from itembank.operators import gaps as gp
 from itembank.operators.skew import attach_per_key
 
 # Flags that results depend on.
@@ -15,13 +16,12 @@ FLAG_AMBIGUOUS = "答案关联不唯一"
 FLAG_INCOMPLETE_SOLUTION = "答案解析不完整"
 FLAG_AUDIT_DIFFERS = "答案复核不一致"
 FLAG_AUDIT_MISSING = "答案未通过独立复核"
-MAX_NUMBER = 2000
 
 
 def int_number(number) -> Column:
     """A question number as an integer, null if it is not digits once full-width forms are folded."""
     n = tx.normalize_number(number)
-    return F.when(n.rlike(r"\A[0-9]+\z"), n.try_cast("int"))
+    return F.when(n.rlike(r"\A[0-9]+\z"), n.try_cast("bigint"))
 
 
 def match_solutions(questions: DataFrame, solutions: DataFrame) -> DataFrame:
@@ -83,129 +83,89 @@ def match_solutions(questions: DataFrame, solutions: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_docs(docs: DataFrame, roles: list[str]) -> DataFrame:
+def _numbered_docs(docs: DataFrame, roles: list[str], kind: Column) -> DataFrame:
+    """Continuously numbered documents of the roles: ``source_file``, ``kind``, ``last``, ``pages``."""
     last = F.col("last_question_number")
-    return docs.filter(F.col("continuous_numbering") & last.between(1, MAX_NUMBER) & F.col("role").isin(*roles))
+    chosen = docs.filter(F.col("continuous_numbering") & (last >= 1) & F.col("role").isin(*roles))
+    return chosen.select(F.col("id").alias("source_file"), kind.alias("kind"), last.cast("long").alias("last"), "pages")
 
 
-def number_counts(items: DataFrame) -> DataFrame:
-    """Rows per (file, kind, number): how many, their page span, and the span of the first one."""
-    span = items.withColumn("n", int_number("number")).filter("n IS NOT NULL").select(
-        "source_file", "kind", "n", "pos", F.array_min("source_pages").alias("lo"), F.array_max("source_pages").alias("hi")
-    )
-    return span.groupBy("source_file", "kind", "n").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min(F.struct("pos", "lo", "hi")).alias("first"),
-    )
-
-
-def expected_numbers(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("id").alias("source_file"), F.explode(F.sequence(F.lit(1), "last_question_number")).alias("n"))
+def _numbered_rows(items: DataFrame) -> DataFrame:
+    return items.withColumn("n", int_number("number")).filter("n IS NOT NULL").select(
+        "source_file", "kind", "n", "pos", F.array_min("source_pages").alias("lo"), F.array_max("source_pages").alias("hi"))
 
 
 def coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Missing and repeated numbers of continuously numbered question documents."""
-    chosen = _numbered_docs(docs, ["questions", "mixed"])
-    counts = number_counts(items.filter("kind = 'question'")).select("source_file", "n", "cnt")
-    expected = expected_numbers(chosen).withColumn("want", F.lit(True))
-    # A repeated number counts even beyond the last expected one.
-    present = counts.join(chosen.select(F.col("id").alias("source_file")), "source_file", "left_semi")
-    both = expected.join(present, ["source_file", "n"], "full")
-    return both.select(
-        "source_file", "n",
-        F.when(F.col("cnt").isNull(), "missing").when(F.col("cnt") > 1, "duplicate").alias("problem"),
-    ).filter("problem IS NOT NULL")
-
-
-def _with_neighbours(counts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Every expected number of the chosen documents with its two nearest present numbers on each side.
-
-    A window runs over at most 2000 expected numbers per document, zero, and the two smallest
-    numbers beyond the last expected one, whatever else the document claims to hold.
+    """Missing and repeated numbers of continuously numbered question documents, as intervals ``n`` to ``to_n``.
+
+    A run of missing numbers is one row, whatever its length; a repeated number is one, even beyond the last expected one.
     """
-    key = ["source_file", "kind"]
-    last = chosen.select("source_file", "kind", "last_question_number", "pages")
-    seen = counts.join(last, key)
-    inside = seen.filter("n <= last_question_number").drop("last_question_number", "pages")
-    beyond = seen.filter("n > last_question_number").drop("last_question_number", "pages")
-    row = F.struct("n", "cnt", "lo", "hi", "first")
-    next1 = beyond.groupBy(*key).agg(F.min(row).alias("r"))
-    limit1 = next1.select(*key, F.col("r.n").alias("__n1"))
-    next2 = beyond.join(limit1, key).filter(F.col("n") > F.col("__n1")).groupBy(*key).agg(F.min(row).alias("r"))
-    tail = next1.unionByName(next2).select(*key, "r.*")
-    want = last.select(*key, F.explode(F.sequence(F.lit(1), "last_question_number")).alias("n"), F.lit(True).alias("want"))
-    grid = want.join(inside.unionByName(tail), [*key, "n"], "full")
-    order = W.partitionBy(*key).orderBy("n")
-    below, above = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    here = F.when(F.col("cnt").isNotNull(), row)
-    near = grid.select(
-        "*", F.last(here, ignorenulls=True).over(below).alias("b1"), F.first(here, ignorenulls=True).over(above).alias("a1")
-    )
-    chain = lambda c: F.when(F.col("cnt").isNotNull(), F.struct(F.col(c).alias("x")))
-    near = near.select(
-        "*", F.last(chain("b1"), ignorenulls=True).over(below)["x"].alias("b2"),
-        F.first(chain("a1"), ignorenulls=True).over(above)["x"].alias("a2"),
-    )
-    entries = F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(
-            F.abs(F.col(c)["n"] - F.col("n")).alias("d"), F.col(c)["first"]["pos"].alias("p"), F.col(c).alias("r")
-        )) for c in ("b1", "b2", "a1", "a2")
-    ]))
-    nearest = F.array_sort(entries)
-    one, two = F.get(nearest, F.lit(0))["r"], F.get(nearest, F.lit(1))["r"]
-    several = one["cnt"] > 1
-    return near.select(
-        "*",
-        F.when(several, one["lo"]).otherwise(F.least(one["lo"], two["first"]["lo"])).alias("near_lo"),
-        F.when(several, one["hi"]).otherwise(F.greatest(one["hi"], two["first"]["hi"])).alias("near_hi"),
-    ).filter("want").join(last, key)
-
-
-def coverage_worklist(items: DataFrame, docs: DataFrame, max_targets: int = 20, max_pages: int = 6) -> DataFrame:
-    """Page spans to read again for numbers that do not occur exactly once.
-
-    A repeated number spans its own rows. A missing one spans from its lower to its upper
-    neighbour, or covers the two nearest rows when one side is empty. Papers with too many targets
-    and spans with too many pages are left out, as are papers without any row.
+    chosen = _numbered_docs(docs, ["questions", "mixed"], F.lit("question"))
+    present = gp.number_rows(_numbered_rows(items.filter("kind = 'question'")))
+    missing = gp.gaps(present, chosen).select("source_file", F.col("from_n").alias("n"), "to_n", F.lit("missing").alias("problem"))
+    repeated = present.filter("cnt > 1").join(chosen.select("source_file"), "source_file", "left_semi")
+    return missing.union(repeated.select("source_file", "n", F.col("n").alias("to_n"), F.lit("duplicate")))
+
+
+def _spans(targets: DataFrame, lo: Column, hi: Column, max_targets: int | None, max_pages: int | None) -> DataFrame:
+    """``first_page``, ``last_page`` and ``status`` of intervals, whose paper has ``targets`` numbers to read again."""
+    spans = targets.withColumns({"first_page": F.greatest(F.lit(1), lo), "last_page": F.least(F.col("pages"), hi)})
+    spans = spans.withColumns({c: F.when(lo.isNotNull() & hi.isNotNull(), F.col(c)) for c in ("first_page", "last_page")})
+    length = F.col("last_page") - F.col("first_page") + 1
+    status = F.when(length.isNull(), "no_rows").when(length < 1, "no_pages")
+    if max_targets is not None:
+        status = status.when(F.col("targets") > max_targets, "too_many_targets")
+    if max_pages is not None:
+        status = status.when(length > max_pages, "too_many_pages")
+    return spans.withColumn("status", status.otherwise("ready"))
+
+
+def coverage_worklist(items: DataFrame, docs: DataFrame, max_targets: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """Page spans to read again for numbers that do not occur exactly once, as intervals ``n`` to ``to_n``.
+
+    A repeated number spans its own rows. Missing ones span from their lower to their upper neighbour, or cover the two
+    nearest rows when one side is empty, so a run of them has one span. Every target returns: ``status`` is ``ready``, ``no_rows`` if the paper has
+    nothing to go by, ``no_pages`` if the span lies beyond the document, or, with limits given, ``too_many_targets`` (the
+    paper's) or ``too_many_pages``.
     """
-    kind = F.when(F.col("role") == "questions", "question").otherwise("solution")
-    chosen = _numbered_docs(docs, ["questions", "solutions"]).withColumn("kind", kind).withColumnRenamed("id", "source_file")
-    near = _with_neighbours(number_counts(items), chosen)
-    target = near.filter(F.coalesce(F.col("cnt"), F.lit(0)) != 1)
-    totals = target.groupBy("source_file", "kind").agg(F.count(F.lit(1)).alias("targets"))
-    present, between = F.col("cnt").isNotNull(), F.col("b1").isNotNull() & F.col("a1").isNotNull()
-    left, right = F.col("b1.first.hi"), F.col("a1.first.lo")
-    lo = F.when(present, F.col("lo")).when(between, F.least(left, right)).otherwise(F.col("near_lo"))
-    hi = F.when(present, F.col("hi")).when(between, F.greatest(left, right)).otherwise(F.col("near_hi"))
-    spans = target.join(totals, ["source_file", "kind"]).filter(F.col("targets") <= max_targets).select(
-        "source_file", "kind", "n", F.greatest(F.lit(1), lo).alias("first_page"), F.least(F.col("pages"), hi).alias("last_page")
-    )
-    return spans.filter((F.col("last_page") - F.col("first_page") + 1).between(1, max_pages))
-
-
-def missing_worklist(items: DataFrame, docs: DataFrame, raw: DataFrame | None = None, max_missing: int = 10, max_pages: int = 6) -> DataFrame:
-    """Second variant: only missing question numbers, span widened by one page on each side.
-
-    ``raw`` rows (source_file, number, source_pages), for example items another batch owned, are
-    looked at before the two nearest rows.
+    chosen = _numbered_docs(docs, ["questions", "solutions"], F.when(F.col("role") == "questions", "question").otherwise("solution"))
+    present = gp.number_rows(_numbered_rows(items))
+    near = F.when(F.size("below") * F.size("above") == 0, gp.nearest_two(F.col("from_n")))
+    left, right = F.get("below", F.lit(0))["one"]["hi"], F.get("above", F.lit(0))["one"]["lo"]
+    missing = gp.gaps(present, chosen).withColumn("near", near).select(
+        *gp.KEY, "from_n", "to_n", "pages",
+        F.when(F.col("near").isNull(), F.least(left, right)).otherwise(F.array_min("near.lo")).alias("lo"),
+        F.when(F.col("near").isNull(), F.greatest(left, right)).otherwise(F.array_max("near.hi")).alias("hi"))
+    repeated = present.filter("cnt > 1").join(chosen, gp.KEY).filter("n <= last AND n >= 1").select(*gp.KEY, "n", F.col("n").alias("to_n"), "pages", "lo", "hi")
+    targets = missing.union(repeated)
+    totals = targets.groupBy(*gp.KEY).agg(F.sum(F.col("to_n") - F.col("from_n") + 1).alias("targets"))
+    # A row per gap, but a paper may have most of them.
+    counted = attach_per_key(targets, totals, gp.KEY, row_id="from_n")
+    return _spans(counted, F.col("lo"), F.col("hi"), max_targets, max_pages).select(
+        *gp.KEY, F.col("from_n").alias("n"), "to_n", "first_page", "last_page", "status")
+
+
+def missing_worklist(
+    items: DataFrame, docs: DataFrame, raw: DataFrame | None = None, max_missing: int | None = None, max_pages: int | None = None,
+) -> DataFrame:
+    """Second variant: only missing question numbers, each with the pages of its two nearest rows and one page on each side, as
+    intervals ``n`` to ``to_n`` of one span, with a ``status`` as in ``coverage_worklist``.
+
+    ``raw`` rows (source_file, number, source_pages), for example items another batch owned, are looked at before the two
+    nearest rows.
     """
-    chosen = _numbered_docs(docs, ["questions", "solutions", "mixed", "unknown"]).withColumn(
-        "kind", F.lit("question")
-    ).withColumnRenamed("id", "source_file")
-    near = _with_neighbours(number_counts(items.filter("kind = 'question'")), chosen).filter("cnt IS NULL")
-    few = near.groupBy("source_file").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") <= max_missing)
-    gaps = near.join(few.select("source_file"), "source_file", "left_semi").filter("near_lo IS NOT NULL")
-    lo, hi = F.col("near_lo"), F.col("near_hi")
+    chosen = _numbered_docs(docs, ["questions", "solutions", "mixed", "unknown"], F.lit("question"))
+    present = gp.number_rows(_numbered_rows(items.filter("kind = 'question'")))
+    seen = None
     if raw is not None:
         seen = raw.withColumn("n", int_number("number")).filter("n IS NOT NULL").groupBy("source_file", "n").agg(
-            F.min(F.array_min("source_pages")).alias("rlo"), F.max(F.array_max("source_pages")).alias("rhi")
-        )
-        gaps = gaps.join(seen, ["source_file", "n"], "left")
-        lo, hi = F.coalesce("rlo", lo), F.coalesce("rhi", hi)
-    spans = gaps.select(
-        "source_file", "n", F.greatest(F.lit(1), lo - 1).alias("first_page"), F.least(F.col("pages"), hi + 1).alias("last_page")
-    )
-    return spans.filter((F.col("last_page") - F.col("first_page") + 1).between(1, max_pages))
+            F.min(F.array_min("source_pages")).alias("seen_lo"), F.max(F.array_max("source_pages")).alias("seen_hi")
+        ).withColumn("kind", F.lit("question"))
+    found = gp.gaps(present, chosen, seen)
+    totals = found.groupBy("source_file").agg(F.sum(F.col("to_n") - F.col("from_n") + 1).alias("targets"))
+    counted = attach_per_key(gp.by_nearest(found).withColumn("near", gp.nearest_two(F.col("from_n"))), totals, ["source_file"], row_id="from_n")
+    lo, hi = F.coalesce("seen_lo", F.array_min("near.lo")) - 1, F.coalesce("seen_hi", F.array_max("near.hi")) + 1
+    return _spans(counted, lo, hi, max_missing, max_pages).select("source_file", F.col("from_n").alias("n"), "to_n", "first_page", "last_page", "status")
 
 
 def overlap_candidates(items: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -183,16 +183,17 @@ def match_solutions(spark, sf):
     )
 
 
-@query("items docs", """, d AS (SELECT * FROM docs WHERE continuous_numbering AND last_question_number BETWEEN 1 AND 2000 AND role = 'questions'),
+@query("items docs", """, d AS (SELECT * FROM docs WHERE continuous_numbering AND last_question_number >= 1 AND role = 'questions'),
     c AS (SELECT source_file, CAST(number AS BIGINT) AS n, count(*) AS cnt FROM items WHERE kind = 'question' AND number <> '' GROUP BY ALL),
-    x AS (SELECT id AS source_file, unnest(range(1, last_question_number + 1)) AS n FROM d)
-    SELECT source_file, n, 'missing' AS problem FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source_file = x.source_file AND c.n = x.n)
-    UNION ALL SELECT source_file, n, 'duplicate' FROM c WHERE cnt > 1 AND source_file IN (SELECT id FROM d)""")
+    x AS (SELECT id AS source_file, unnest(range(1, last_question_number + 1)) AS n FROM d),
+    m AS (SELECT source_file, n, n - row_number() OVER (PARTITION BY source_file ORDER BY n) AS run FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source_file = x.source_file AND c.n = x.n))
+    SELECT source_file, min(n) AS n, max(n) AS to_n, 'missing' AS problem FROM m GROUP BY source_file, run
+    UNION ALL SELECT source_file, n, n, 'duplicate' FROM c WHERE cnt > 1 AND source_file IN (SELECT id FROM d)""")
 def coverage(spark, sf):
     return lk.coverage(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf))
 
 
-SQL_NEAR = """, d AS (SELECT id AS source_file, CASE role WHEN 'questions' THEN 'question' ELSE 'solution' END AS kind, last_question_number AS last, pages FROM docs WHERE continuous_numbering AND last_question_number BETWEEN 1 AND 2000),
+SQL_NEAR = """, d AS (SELECT id AS source_file, CASE role WHEN 'questions' THEN 'question' ELSE {solutions} END AS kind, last_question_number AS last, pages FROM docs WHERE continuous_numbering AND last_question_number >= 1),
     r AS (SELECT source_file, kind, pos, CAST(number AS BIGINT) AS n, list_min(source_pages) AS lo, list_max(source_pages) AS hi FROM items WHERE number <> ''),
     c AS (SELECT source_file, kind, n, count(*) AS cnt, min(lo) AS lo, max(hi) AS hi, arg_min(lo, pos) AS flo, arg_min(hi, pos) AS fhi FROM r GROUP BY ALL),
     x AS (SELECT source_file, kind, pages, unnest(range(1, last + 1)) AS n FROM d),
@@ -202,20 +203,26 @@ SQL_NEAR = """, d AS (SELECT id AS source_file, CASE role WHEN 'questions' THEN
       (SELECT arg_min(flo, n) FROM c WHERE c.source_file = t.source_file AND c.kind = t.kind AND c.n > t.n) AS alo,
       (SELECT min(lo) FROM (SELECT lo FROM r WHERE r.source_file = t.source_file AND r.kind = t.kind ORDER BY abs(r.n - t.n), r.pos LIMIT 2)) AS nlo,
       (SELECT max(hi) FROM (SELECT hi FROM r WHERE r.source_file = t.source_file AND r.kind = t.kind ORDER BY abs(r.n - t.n), r.pos LIMIT 2)) AS nhi FROM t WHERE cnt <> 1)"""
+SQL_STATUS = """CASE WHEN first_page IS NULL THEN 'no_rows' WHEN last_page < first_page THEN 'no_pages' WHEN targets > {targets} THEN 'too_many_targets'
+    WHEN last_page - first_page + 1 > {pages} THEN 'too_many_pages' ELSE 'ready' END AS status"""
+#: Limits of the two rereading steps: numbers of a paper, pages of a span.
+REREAD, RECOVER = (20, 6), (10, 6)
 
 
-@query("items docs", SQL_NEAR + """, z AS (SELECT source_file, kind, n, greatest(1, CASE WHEN cnt > 0 THEN lo WHEN bhi IS NOT NULL AND alo IS NOT NULL THEN least(bhi, alo) ELSE nlo END) AS first_page,
-      least(pages, CASE WHEN cnt > 0 THEN hi WHEN bhi IS NOT NULL AND alo IS NOT NULL THEN greatest(bhi, alo) ELSE nhi END) AS last_page, count(*) OVER (PARTITION BY source_file, kind) AS targets FROM y)
-    SELECT source_file, kind, n, first_page, last_page FROM z WHERE targets <= 20 AND last_page - first_page + 1 BETWEEN 1 AND 6""")
+@query("items docs", SQL_NEAR.format(solutions="'solution'") + """, z AS (SELECT source_file, kind, n, cnt, CASE WHEN nlo IS NOT NULL THEN greatest(1, CASE WHEN cnt > 0 THEN lo WHEN bhi IS NOT NULL AND alo IS NOT NULL THEN least(bhi, alo) ELSE nlo END) END AS first_page,
+      CASE WHEN nlo IS NOT NULL THEN least(pages, CASE WHEN cnt > 0 THEN hi WHEN bhi IS NOT NULL AND alo IS NOT NULL THEN greatest(bhi, alo) ELSE nhi END) END AS last_page, count(*) OVER (PARTITION BY source_file, kind) AS targets FROM y),
+    i AS (SELECT *, CASE WHEN cnt > 0 THEN -n ELSE n - row_number() OVER (PARTITION BY source_file, kind, cnt ORDER BY n) END AS run FROM z)
+    SELECT source_file, kind, min(n) AS n, max(n) AS to_n, first_page, last_page, """ + SQL_STATUS.format(targets=REREAD[0], pages=REREAD[1]) + """
+    FROM i GROUP BY source_file, kind, cnt, run, first_page, last_page, targets""")
 def coverage_worklist(spark, sf):
-    return lk.coverage_worklist(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf))
+    return lk.coverage_worklist(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf), *REREAD)
 
 
-@query("items docs", SQL_NEAR + """, z AS (SELECT source_file, n, greatest(1, nlo - 1) AS first_page, least(pages, nhi + 1) AS last_page, count(*) OVER (PARTITION BY source_file) AS m FROM y WHERE cnt = 0 AND kind = 'question')
-    SELECT source_file, n, first_page, last_page FROM z WHERE m <= 10 AND last_page - first_page + 1 BETWEEN 1 AND 6""")
+@query("items docs", SQL_NEAR.format(solutions="'question'") + """, z AS (SELECT source_file, n, CASE WHEN nlo IS NOT NULL THEN greatest(1, nlo - 1) END AS first_page, CASE WHEN nlo IS NOT NULL THEN least(pages, nhi + 1) END AS last_page, count(*) OVER (PARTITION BY source_file) AS targets FROM y WHERE cnt = 0)
+    SELECT source_file, n, first_page, last_page, """ + SQL_STATUS.format(targets=RECOVER[0], pages=RECOVER[1]) + """ FROM z""")
 def missing_worklist(spark, sf):
-    q = v.docs(spark, sf).filter("role = 'questions'")
-    return lk.missing_worklist(stored_items(spark, sf, *KEY_COLUMNS), q)
+    spans = lk.missing_worklist(stored_items(spark, sf, *KEY_COLUMNS), v.docs(spark, sf), None, *RECOVER)
+    return spans.select("source_file", F.explode(F.sequence("n", "to_n")).alias("n"), "first_page", "last_page", "status")
 
 
 @query("items", """, k AS (SELECT pos, source_file, kind, section, number, source_pages FROM items WHERE number <> ''),
