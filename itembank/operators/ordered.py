@@ -69,6 +69,22 @@ def running_sum(
     return out.withColumn(name, F.col("__in") + F.col("__off")).drop("__in", "__off")
 
 
+def last_before(
+    df: DataFrame, keys: list[str], order: str, columns: list[str], *, tie: list[str] | None = None, width: int = WIDTH, bucket: Column | None = None,
+) -> DataFrame:
+    """``prev_<c>``: the last value of ``c`` that is not null in the rows of the same key strictly before, by ``order`` then ``tie``."""
+    tie = tie or []
+    df = df.withColumn("__b", _bucket(order, width, bucket))
+    inner = W.partitionBy(*keys, "__b").orderBy(order, *tie).rowsBetween(W.unboundedPreceding, -1)
+    local = df.withColumns({f"__in_{c}": F.last(c, ignorenulls=True).over(inner) for c in columns})
+    place = F.struct(order, *tie)
+    ends = df.groupBy(*keys, "__b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__end_{c}") for c in columns])
+    outer = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select(*keys, "__b", *[F.last(f"__end_{c}", ignorenulls=True).over(outer).alias(f"__out_{c}") for c in columns])
+    out = _attach(local, before, keys, [f"__out_{c}" for c in columns])
+    return out.select(*[c for c in df.columns if c != "__b"], *[F.coalesce(f"__in_{c}", f"__out_{c}").alias(f"prev_{c}") for c in columns])
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """Smallest ``order`` of every key, with the size of the key: a combinable aggregate."""
     return df.groupBy(*keys).agg(F.min(order).alias("first_pos"), F.count(F.lit(1)).alias("n"))

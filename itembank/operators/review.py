@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from itembank.functions import predicates as pr
 from itembank.functions import text as tx
 from itembank.operators.link import FLAG_AUDIT_DIFFERS, FLAG_AUDIT_MISSING, FLAG_DUPLICATE_NUMBER
-from itembank.operators.ordered import row_numbers
+from itembank.operators.ordered import last_before, row_numbers
 from itembank.operators.skew import attach_per_key
 
 # Flags that results depend on.
@@ -244,73 +244,100 @@ def latest_decisions(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*keys, *[F.col(f"d.{c}").alias(c) for c in rest])
 
 
-def apply_question_decisions(questions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(questions after their latest decision, rejected decisions with reasons).
+def _places(log: DataFrame, *rest: str) -> tuple[list[str], Column]:
+    """What tells the rows of a log at one time apart, and the stretch of time (an hour) that one window sees of a question."""
+    return [c for c in ("event_id", *rest) if c in log.columns], F.floor(F.unix_seconds("ts") / 3600)
 
-    ``decisions``: pos, token, decision, ts. The token must be the row's current ``identity``.
-    Accepting needs an answer, a confirmed figure where one is suspected, and no uncertain text;
-    it clears all flags. History keeps the previous status and flags.
+
+def apply_question_decisions(questions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions after all valid decisions, history, rejected decisions with reasons).
+
+    ``decisions``: pos, token, decision, ts, and event_id where times may be equal. Each is judged on its own: the token must be the
+    row's current ``identity``; accepting needs an answer, a confirmed figure where one is suspected, and no uncertain
+    text. The latest valid one holds, an accepted one clears all flags for good. ``history`` has a row for each valid
+    one, with the status and the flags it met; it is a table, since a question may have any number of them.
     """
-    last = latest_decisions(decisions, ["pos"]).select(
-        "pos", F.col("decision").alias("__d"), F.col("token").alias("__t"), F.col("ts").alias("__ts")
-    )
-    rows = questions.join(last, "pos", "left")
     texts = F.concat_ws("\n", "stem", F.array_join("options", "\n"), "answer", "explanation")
     confirmed = F.coalesce(F.col("figure_status") == "confirmed", F.lit(False))
-    accept = F.col("__d") == "accepted"
-    reject = (
-        F.when(F.col("__d").isNull(), F.lit(None))
-        .when(~F.col("__d").isin("accepted", "discarded", "pending"), "unknown decision")
-        .when(~F.coalesce(F.col("__t") == F.col("identity"), F.lit(False)), "stale")
-        .when(accept & pr.missing("answer"), "no answer")
-        .when(accept & F.col("suspected") & ~confirmed, "figure not confirmed")
-        .when(accept & texts.contains(tx.UNCERTAIN), "uncertain text")
-    )
-    judged = rows.withColumn("__reject", reject)
-    apply = F.col("__d").isNotNull() & F.col("__reject").isNull()
-    entry = F.struct(F.col("__ts").alias("ts"), F.col("status").alias("previous"), F.col("review_flags").alias("flags"))
-    history = F.col("review_history") if "review_history" in questions.columns else F.array().cast(
-        "array<struct<ts:timestamp,previous:string,flags:array<string>>>"
-    )
-    updated = judged.select(
-        *[c for c in questions.columns if c not in ("status", "review_flags", "review_history")],
-        F.when(apply, F.col("__d")).otherwise(F.col("status")).alias("status"),
-        F.when(apply & accept, F.array().cast("array<string>")).otherwise(F.col("review_flags")).alias("review_flags"),
-        F.when(apply, F.array_append(history, entry)).otherwise(history).alias("review_history"),
+    facts = questions.select(
+        "pos", F.lit(True).alias("known"), F.col("identity").alias("current"), F.col("status").alias("own_status"), F.col("review_flags").alias("own_flags"),
+        F.when(pr.missing("answer"), "no answer").when(F.col("suspected") & ~confirmed, "figure not confirmed").when(texts.contains(tx.UNCERTAIN), "uncertain text").alias("obstacle"))
+    log = attach_per_key(decisions, facts, ["pos"], row_id="ts")
+    accepts = F.col("decision") == "accepted"
+    reason = (
+        F.when(F.col("known").isNull(), "unknown row")
+        .when(~F.coalesce(F.col("decision").isin("accepted", "discarded", "pending"), F.lit(False)), "unknown decision")
+        .when(~F.coalesce(F.col("token") == F.col("current"), F.lit(False)), "stale")
+        .when(accepts, F.col("obstacle"))
     )
-    rejected = judged.filter("__reject IS NOT NULL").select("pos", F.col("__d").alias("decision"), F.col("__reject").alias("reason"))
-    orphans = last.join(questions.select("pos"), "pos", "left_anti").select("pos", F.col("__d").alias("decision"), F.lit("unknown row").alias("reason"))
-    return updated, rejected.unionByName(orphans)
-
-
-def apply_figure_decisions(questions: DataFrame, decisions: DataFrame, available: Column) -> tuple[DataFrame, DataFrame]:
-    """(questions, rejects): ``confirm`` keeps the figures, ``replace`` sets new ones, ``none`` empties them.
-
-    Only the media flags go. ``decisions``: pos, token, action, regions, ts.
+    judged = log.withColumn("reason", reason)
+    kept = [c for c in decisions.columns if c != "token"]
+    rejected = judged.filter("reason IS NOT NULL").select(*kept, "reason")
+    valid = judged.filter("reason IS NULL").withColumn("accepted", F.when(accepts, True))
+    tie, hour = _places(decisions, "decision")
+    met = last_before(valid, ["pos"], "ts", ["decision", "accepted"], tie=tie, bucket=hour)
+    none = F.array().cast("array<string>")
+    history = met.select(
+        *kept, F.coalesce("prev_decision", "own_status").alias("previous_status"), F.when(F.col("prev_accepted"), none).otherwise(F.col("own_flags")).alias("previous_flags"))
+    last = valid.groupBy("pos").agg(
+        F.max_by("decision", F.struct("ts", *tie)).alias("__d"), F.bool_or(F.coalesce("accepted", F.lit(False))).alias("__clear"), F.count(F.lit(1)).alias("__n"))
+    updated = questions.join(last, "pos", "left").select(
+        *[c for c in questions.columns if c not in ("status", "review_flags")],
+        F.coalesce("__d", "status").alias("status"), F.when(F.col("__clear"), none).otherwise(F.col("review_flags")).alias("review_flags"),
+        F.coalesce("__n", F.lit(0)).alias("decisions"))
+    return updated, history, rejected
+
+
+def apply_figure_decisions(questions: DataFrame, decisions: DataFrame, available: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, history, rejects): ``confirm`` keeps the figures there are by then, ``replace`` sets new ones, ``none`` empties them.
+
+    ``decisions``: pos, token, action, regions, ts, and event_id where times may be equal. All valid ones count, in order. They remove
+    the media flags and media errors; figures reviewed are shared with no other question. ``history`` has a row for each
+    valid one with the figures and flags it met.
     """
-    last = latest_decisions(decisions, ["pos"]).select(
-        "pos", F.col("action").alias("__a"), F.col("token").alias("__t"), F.col("regions").alias("__r"), F.col("ts").alias("__ts")
-    )
-    rows = questions.join(last, "pos", "left")
-    none = F.array().cast(questions.schema["figures"].dataType)
-    target = F.when(F.col("__a") == "none", none).when(F.col("__a") == "confirm", F.coalesce("figures", none)).otherwise(F.coalesce("__r", none))
-    bad = F.exists(target, lambda f: tx.region_error(f["page"], f["bbox"], available).isNotNull())
-    reject = (
-        F.when(F.col("__a").isNull(), F.lit(None))
-        .when(~F.col("__a").isin("confirm", "replace", "none"), "unknown action")
-        .when(~F.coalesce(F.col("__t") == F.col("identity"), F.lit(False)), "stale")
-        .when((F.col("__a") != "none") & (F.size(target) == 0), "no figure")
-        .when(bad, "bad region")
-    )
-    judged = rows.withColumn("__reject", reject)
-    apply = F.col("__a").isNotNull() & F.col("__reject").isNull()
-    updated = judged.select(
-        *[c for c in questions.columns if c not in ("figures", "review_flags", "figure_status")],
-        F.when(apply, target).otherwise(F.col("figures")).alias("figures"),
-        F.when(apply, pr.drop_flags("review_flags", pr.MEDIA_FLAGS)).otherwise(F.col("review_flags")).alias("review_flags"),
-        F.when(apply, "confirmed").otherwise(F.col("figure_status")).alias("figure_status"),
+    kind = questions.schema["figures"].dataType
+    empty = F.array().cast(kind)
+    bad = lambda figures: F.exists(figures, lambda f: tx.region_error(f["page"], f["bbox"], available).isNotNull())
+    facts = questions.select(
+        "pos", F.lit(True).alias("known"), F.col("identity").alias("current"), F.coalesce("figures", empty).alias("own"), F.col("review_flags").alias("own_flags"))
+    log = attach_per_key(decisions.withColumn("regions", F.coalesce(F.col("regions").cast(kind), empty)), facts, ["pos"], row_id="ts")
+    action = F.col("action")
+    reason = (
+        F.when(F.col("known").isNull(), "unknown row")
+        .when(~F.coalesce(action.isin("confirm", "replace", "none"), F.lit(False)), "unknown action")
+        .when(~F.coalesce(F.col("token") == F.col("current"), F.lit(False)), "stale")
+        .when((action == "replace") & (F.size("regions") == 0), "no figure").when((action == "replace") & bad(F.col("regions")), "bad region")
     )
-    return updated, judged.filter("__reject IS NOT NULL").select("pos", F.col("__a").alias("action"), F.col("__reject").alias("reason"))
+    stamped = log.withColumn("reason", reason).withColumn(
+        "sets", F.when(F.col("reason").isNull(), F.when(action == "none", empty).when(action == "replace", F.col("regions"))))
+    tie, hour = _places(decisions, "action")
+    there = last_before(stamped, ["pos"], "ts", ["sets"], tie=tie, bucket=hour).withColumn("met", F.coalesce("prev_sets", "own"))
+    confirms = F.col("reason").isNull() & (action == "confirm")
+    judged = there.withColumn("reason", F.when(confirms & (F.size("met") == 0), "no figure").when(confirms & bad(F.col("met")), "bad region").otherwise(F.col("reason")))
+    kept = [c for c in decisions.columns if c not in ("token", "regions")]
+    rejected = judged.filter("reason IS NOT NULL").select(*kept, "reason")
+    valid = judged.filter("reason IS NULL").drop("prev_sets").withColumn("one", F.lit(True))
+    before = last_before(valid, ["pos"], "ts", ["one"], tie=tie, bucket=hour)
+    left = pr.drop_flags("own_flags", pr.MEDIA_FLAGS)
+    history = before.select(*kept, F.col("met").alias("previous_figures"), F.when(F.col("prev_one"), left).otherwise(F.col("own_flags")).alias("previous_flags"))
+    place = F.struct("ts", *tie)
+    last = valid.groupBy("pos").agg(
+        F.max_by("sets", F.when(F.col("sets").isNotNull(), place)).alias("__sets"), F.max_by("action", place).alias("__action"), F.count(F.lit(1)).alias("__n"))
+    reviewed = F.coalesce("__sets", "figures")
+    fields = kind.elementType.names
+    if "shared_with" in fields:
+        reviewed = F.transform(reviewed, lambda f: f.withField("shared_with", F.array().cast("array<string>")))
+    if "sharing_reviewed" in fields:
+        reviewed = F.transform(reviewed, lambda f: f.withField("sharing_reviewed", F.lit(True)))
+    done = F.col("__n").isNotNull()
+    errors = [F.when(done, F.array().cast(questions.schema["media_errors"].dataType)).otherwise(F.col("media_errors")).alias("media_errors")] if "media_errors" in questions.columns else []
+    updated = questions.join(last, "pos", "left").select(
+        *[c for c in questions.columns if c not in ("figures", "review_flags", "figure_status", "media_errors")],
+        F.when(done, reviewed).otherwise(F.col("figures")).alias("figures"),
+        F.when(done, pr.drop_flags("review_flags", pr.MEDIA_FLAGS)).otherwise(F.col("review_flags")).alias("review_flags"),
+        F.when(done, "confirmed").otherwise(F.col("figure_status")).alias("figure_status"), F.col("__action").alias("figure_action"),
+        F.coalesce("__n", F.lit(0)).alias("figure_decisions"), *errors)
+    return updated, history, rejected
 
 
 def apply_text_edits(questions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -138,9 +138,10 @@ def _questions(spark, sf):
     )
 
 
-SQL_DECIDED = SQL_STATE + """, d AS (SELECT pos, arg_max(decision, event_id) AS decision, max(event_id) AS event_id FROM decisions GROUP BY pos),
-    j AS (SELECT ps.*, d.decision, d.event_id, CASE WHEN d.decision IS NULL THEN NULL WHEN d.event_id % 10 = 0 THEN 'stale' WHEN d.decision = 'accepted' AND answer = '' THEN 'no answer'
-      WHEN d.decision = 'accepted' AND suspected AND figure_status <> 'confirmed' THEN 'figure not confirmed' END AS reject FROM ps LEFT JOIN d USING (pos))"""
+SQL_DECIDED = SQL_STATE + """, j AS (SELECT ps.*, d.pos AS asked, d.decision, d.event_id, CASE WHEN ps.pos IS NULL THEN 'unknown row' WHEN d.decision NOT IN ('accepted', 'discarded', 'pending') THEN 'unknown decision'
+      WHEN d.event_id % 10 = 0 THEN 'stale' WHEN d.decision = 'accepted' AND answer = '' THEN 'no answer'
+      WHEN d.decision = 'accepted' AND suspected AND figure_status <> 'confirmed' THEN 'figure not confirmed' END AS reject FROM decisions d LEFT JOIN ps USING (pos)),
+    a AS (SELECT asked AS pos, arg_max(decision, event_id) AS decision, bool_or(decision = 'accepted') AS clear, count(*) AS n FROM j WHERE reject IS NULL GROUP BY asked)"""
 
 
 def _decided(spark, sf):
@@ -152,17 +153,22 @@ def _decided(spark, sf):
     return rv.apply_question_decisions(q, stamped)
 
 
-@query("bank decisions", SQL_DECIDED + """ SELECT pos, coalesce(CASE WHEN decision IS NOT NULL AND reject IS NULL THEN decision ELSE status END, '') AS status,
-    CASE WHEN decision = 'accepted' AND reject IS NULL THEN 0 ELSE CAST(flagged AS INT) END AS flags, CAST(decision IS NOT NULL AND reject IS NULL AS INT) AS history FROM j""")
+@query("bank decisions", SQL_DECIDED + """ SELECT ps.pos, coalesce(a.decision, ps.status, '') AS status, CASE WHEN clear THEN 0 ELSE CAST(flagged AS INT) END AS flags, coalesce(a.n, 0) AS history
+    FROM ps LEFT JOIN a ON a.pos = ps.pos""")
 def apply_decisions(spark, sf):
-    return _decided(spark, sf)[0].select(
-        "pos", F.coalesce("status", F.lit("")).alias("status"), F.size("review_flags").alias("flags"), F.size("review_history").alias("history")
-    )
+    return _decided(spark, sf)[0].select("pos", F.coalesce("status", F.lit("")).alias("status"), F.size("review_flags").alias("flags"), F.col("decisions").alias("history"))
+
+
+@query("bank decisions", SQL_DECIDED + """ SELECT event_id, asked AS pos, decision, coalesce(lag(decision) OVER w, status, '') AS previous,
+    CASE WHEN coalesce(max(CAST(decision = 'accepted' AS INT)) OVER (PARTITION BY asked ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 0 ELSE CAST(flagged AS INT) END AS flags
+    FROM j WHERE reject IS NULL WINDOW w AS (PARTITION BY asked ORDER BY event_id)""")
+def decision_history(spark, sf):
+    return _decided(spark, sf)[1].select("event_id", "pos", "decision", F.coalesce("previous_status", F.lit("")).alias("previous"), F.size("previous_flags").alias("flags"))
 
 
-@query("bank decisions", SQL_DECIDED + " SELECT pos, decision, reject AS reason FROM j WHERE reject IS NOT NULL UNION ALL SELECT pos, decision, 'unknown row' FROM d WHERE pos NOT IN (SELECT pos FROM bank)")
+@query("bank decisions", SQL_DECIDED + " SELECT event_id, asked AS pos, decision, reject AS reason FROM j WHERE reject IS NOT NULL")
 def rejected_decisions(spark, sf):
-    return _decided(spark, sf)[1]
+    return _decided(spark, sf)[2].select("event_id", "pos", "decision", "reason")
 
 
 @query("bank", """, e AS (SELECT *, CASE WHEN pos % 7 = 2 THEN 'stale' WHEN pos % 7 = 4 THEN 'blank stem' WHEN pos % 7 = 5 THEN 'uncertain text' END AS reject, pos % 7 <> 6 AS edited FROM bank)
@@ -185,23 +191,39 @@ def _figures(rows):
     return rows.withColumn("figures", F.when(p % 3 == 0, F.array(fig)).otherwise(F.array().cast("array<struct<page:int,bbox:array<double>>>")))
 
 
-@query("bank", """, e AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'confirm' WHEN 2 THEN 'replace' WHEN 3 THEN 'crop' END AS act FROM bank),
-    r AS (SELECT *, CASE WHEN act IS NULL THEN NULL WHEN act = 'crop' THEN 'unknown action' WHEN act = 'none' THEN NULL WHEN act = 'replace' THEN NULL WHEN pos % 3 <> 0 THEN 'no figure'
-      WHEN pos % 50 + 10 < 15 THEN 'bad region' END AS reject FROM e)
-    SELECT pos, CASE WHEN act IS NOT NULL AND reject IS NULL THEN CASE act WHEN 'none' THEN 0 ELSE 1 END ELSE CAST(pos % 3 = 0 AS INT) END AS figures,
-    act IS NOT NULL AND reject IS NULL OR pos % 2 = 0 AS confirmed, coalesce(reject, '') AS reason FROM r""")
-def apply_figure_decisions(spark, sf):
+#: Actions of three turns on every question; the first leaves every fifth question as it is.
+SQL_FIGURES = """, e AS (SELECT *, turn, CASE (pos + turn * 3) % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'confirm' WHEN 2 THEN 'replace' WHEN 3 THEN 'crop' END AS act FROM bank, range(3) t(turn)),
+    s AS (SELECT *, CASE WHEN act = 'none' AND pos % 11 <> turn THEN 0 WHEN act = 'replace' AND pos % 11 <> turn THEN 1 END AS sets FROM e WHERE act IS NOT NULL),
+    m AS (SELECT *, last_value(sets IGNORE NULLS) OVER (PARTITION BY pos ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    r AS (SELECT *, coalesce(before, CAST(pos % 3 = 0 AS INT)) AS met, CASE WHEN act = 'crop' THEN 'unknown action' WHEN pos % 11 = turn THEN 'stale' WHEN act <> 'confirm' THEN NULL
+      WHEN coalesce(before, CAST(pos % 3 = 0 AS INT)) = 0 THEN 'no figure' WHEN before IS NULL AND pos % 50 + 10 < 15 THEN 'bad region' END AS reject FROM m)"""
+
+
+def _figured(spark, sf):
     q = _figures(_questions(spark, sf))
-    p = F.col("pos") % 5
+    turn = F.col("turn")
+    p = (F.col("pos") + turn * 3) % 5
     action = F.when(p == 0, "none").when(p == 1, "confirm").when(p == 2, "replace").when(p == 3, "crop")
     box = F.array(*[F.lit(float(x)) for x in (0, 0, 500, 500)])
     new = F.array(F.struct(F.lit(1).alias("page"), box.alias("bbox")))
-    log = q.filter(p != 4).select("pos", F.col("identity").alias("token"), action.alias("action"), new.alias("regions"), F.timestamp_seconds(F.col("pos")).alias("ts"))
-    out, bad = rv.apply_figure_decisions(q, log, F.array(*[F.lit(i) for i in range(4)]))
-    return out.join(bad.select("pos", "reason"), "pos", "left").select(
+    turns = q.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    log = turns.select("pos", F.when(F.col("pos") % 11 == turn, "old").otherwise(F.col("identity")).alias("token"), action.alias("action"), new.alias("regions"), F.timestamp_seconds(turn * 5000).alias("ts"), turn.alias("event_id"))
+    return rv.apply_figure_decisions(q, log.filter("action IS NOT NULL"), F.array(*[F.lit(i) for i in range(4)]))
+
+
+@query("bank", SQL_FIGURES + """, a AS (SELECT pos, arg_max(sets, turn) FILTER (WHERE sets IS NOT NULL) AS sets, arg_max(act, turn) AS action, count(*) AS n FROM r WHERE reject IS NULL GROUP BY pos)
+    SELECT bank.pos, coalesce(a.sets, CAST(bank.pos % 3 = 0 AS INT)) AS figures, a.n IS NOT NULL OR bank.pos % 2 = 0 AS confirmed, coalesce(a.n, 0) AS decisions, coalesce(a.action, '') AS action FROM bank LEFT JOIN a ON a.pos = bank.pos""")
+def apply_figure_decisions(spark, sf):
+    return _figured(spark, sf)[0].select(
         "pos", F.size("figures").alias("figures"), (F.coalesce(F.col("figure_status"), F.lit("")) == "confirmed").alias("confirmed"),
-        F.coalesce("reason", F.lit("")).alias("reason"),
-    )
+        F.col("figure_decisions").alias("decisions"), F.coalesce("figure_action", F.lit("")).alias("action"))
+
+
+@query("bank", SQL_FIGURES + " SELECT pos, turn, act AS action, met AS figures, reject AS reason FROM r WHERE reject IS NULL UNION ALL SELECT pos, turn, act, -1, reject FROM r WHERE reject IS NOT NULL")
+def figure_decision_log(spark, sf):
+    _, history, rejected = _figured(spark, sf)
+    valid = history.select("pos", F.col("event_id").alias("turn"), "action", F.size("previous_figures").alias("figures"), F.lit(None).cast("string").alias("reason"))
+    return valid.union(rejected.select("pos", "event_id", "action", F.lit(-1), "reason"))
 
 
 @query("bank", """, c AS (SELECT pos, CASE pos % 4 WHEN 0 THEN 'corrected' WHEN 1 THEN 'unresolved' ELSE 'unchanged' END AS status FROM bank WHERE flagged)

@@ -41,8 +41,7 @@ VIEWS = {
         UNION ALL SELECT page_id + 100000, concat('zz-copy/', url), html, length(html), page_id + 100000 FROM pages WHERE page_id % 10 = 0""",
     "scores": """SELECT vec_id AS pos, label % 3 AS grp,
         least(1.0::DOUBLE, greatest(0.0::DOUBLE, (1 + CAST(embedding[1] AS DOUBLE)) / 2)) AS score FROM embeddings""",
-    "decisions": """SELECT event_id, user_id AS pos, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'discarded' ELSE 'pending' END AS decision, ts
-        FROM events WHERE event_type IN ('click', 'error', 'view')""",
+    "decisions": """SELECT event_id, user_id AS pos, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'discarded' WHEN 'view' THEN 'pending' ELSE event_type END AS decision, ts FROM events""",
 }
 NEEDS = {"bank": ["graded"], "items": ["graded"], "readings": ["graded", "items"]}
 

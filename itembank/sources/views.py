@@ -143,10 +143,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review decision log; the latest per row wins. Other events carry no decision."""
+    """Review decision log: three kinds of events are decisions; the others are there under their own names."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").filter(kind.isin("click", "error", "view")).select(
+    return table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("pos"),
-        F.when(kind == "click", "accepted").when(kind == "error", "discarded").otherwise("pending").alias("decision"),
+        F.when(kind == "click", "accepted").when(kind == "error", "discarded").when(kind == "view", "pending").otherwise(kind).alias("decision"),
         "ts",
     )

@@ -185,9 +185,10 @@ def test_decisions_are_checked_against_the_current_row(spark):
         "pos long, stem string, options array<string>, answer string, explanation string, status string, figure_status string, suspected boolean, review_flags array<string>, identity string",
     )
     d = spark.createDataFrame([(p, f"t{p}" if p != 5 else "old", "accepted", p) for p in range(1, 6)] + [(9, "t9", "accepted", 1)], "pos long, token string, decision string, s long")
-    out, bad = rv.apply_question_decisions(q, d.select("pos", "token", "decision", F.timestamp_seconds("s").alias("ts")))
+    out, history, bad = rv.apply_question_decisions(q, d.select("pos", "token", "decision", F.timestamp_seconds("s").alias("ts")))
     rows = {r["pos"]: r for r in out.collect()}
-    assert rows[1]["status"] == "accepted" and rows[1]["review_flags"] == [] and rows[1]["review_history"][0]["flags"] == ["f"]
+    assert rows[1]["status"] == "accepted" and rows[1]["review_flags"] == [] and rows[1]["decisions"] == 1
+    assert [(r["pos"], r["previous_status"], r["previous_flags"]) for r in history.collect()] == [(1, None, ["f"])]
     assert {r["pos"]: r["reason"] for r in bad.collect()} == {2: "no answer", 3: "figure not confirmed", 4: "uncertain text", 5: "stale", 9: "unknown row"}
 
 
@@ -220,9 +221,60 @@ def test_coverage_worklist_neighbours(spark):
     rows = [(i, "question", "d", str(n), [p]) for i, (n, p) in enumerate([(2, 3), (3, 3), (6, 5), (6, 6), (9, 30)])]
     items = spark.createDataFrame(rows, "pos long, kind string, source_file string, number string, source_pages array<int>")
     docs = spark.createDataFrame([("d", "questions", 8, True, 40)], "id string, role string, last_question_number int, continuous_numbering boolean, pages int")
-    got = {r["n"]: (r["first_page"], r["last_page"]) for r in lk.coverage_worklist(items, docs).collect()}
-    assert got == {1: (3, 3), 4: (3, 5), 5: (3, 5), 6: (5, 6)}  # 7 and 8 would span from page 5 to 30
-    assert {r["n"]: r["problem"] for r in lk.coverage(items, docs).collect()} == {1: "missing", 4: "missing", 5: "missing", 6: "duplicate", 7: "missing", 8: "missing"}
+    spans = lambda **limits: {(r["n"], r["to_n"]): (r["first_page"], r["last_page"], r["status"]) for r in lk.coverage_worklist(items, docs, **limits).collect()}
+    assert spans() == {(1, 1): (3, 3, "ready"), (4, 5): (3, 5, "ready"), (6, 6): (5, 6, "ready"), (7, 8): (5, 30, "ready")}
+    assert spans(max_pages=6)[7, 8] == (5, 30, "too_many_pages") and {s for *_, s in spans(max_targets=5).values()} == {"too_many_targets"}
+    assert {(r["n"], r["to_n"]): r["problem"] for r in lk.coverage(items, docs).collect()} == {(1, 1): "missing", (4, 5): "missing", (6, 6): "duplicate", (7, 8): "missing"}
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_gaps_equal_number_by_number(spark, monkeypatch, width):
+    """Any last number costs rows for the numbers that are there only; spans agree with a search over all rows."""
+    import random
+
+    from itembank.operators import gaps
+
+    monkeypatch.setattr(gaps, "WIDTH", width)
+    rng = random.Random(width)
+    rows, last = [], {"a": 60, "b": 25, "c": 9, "d": 40, "e": 5_000_000_000}
+    for doc, most in last.items():
+        for _ in range(0 if doc == "c" else 14):
+            n, page = rng.randint(0, 50), rng.randint(1, 9)
+            rows.append((len(rows), "question", doc, str(n), [page, page + rng.randint(0, 2)]))
+    raw = [("a", str(n), [20, 21]) for n in range(0, 70, 7)]
+    items = spark.createDataFrame(rows, "pos long, kind string, source_file string, number string, source_pages array<int>")
+    docs = spark.createDataFrame([(d, "questions", n, True, 30) for d, n in last.items()], "id string, role string, last_question_number long, continuous_numbering boolean, pages int")
+    seen = spark.createDataFrame(raw, "source_file string, number string, source_pages array<int>")
+    got = lk.missing_worklist(items, docs, seen).collect()
+    told = {}
+    for r in got:
+        for n in range(r["n"], min(r["to_n"], 200) + 1):
+            assert told.setdefault((r["source_file"], n), (r["first_page"], r["last_page"], r["status"])) is not None
+    expected = {}
+    for doc, most in last.items():
+        mine = [(int(n), pos, min(p), max(p)) for pos, _, d, n, p in rows if d == doc]
+        for n in range(1, min(most, 200) + 1):
+            if all(n != m for m, *_ in mine):
+                near = [(lo, hi) for _, _, lo, hi in sorted((abs(m - n), pos, lo, hi) for m, pos, lo, hi in mine)[:2]]
+                near = [(20, 21)] if doc == "a" and n % 7 == 0 else near
+                first, end = (max(1, min(lo for lo, _ in near) - 1), min(30, max(hi for _, hi in near) + 1)) if near else (None, None)
+                expected[doc, n] = (first, end, "no_rows" if not near else "no_pages" if end < first else "ready")
+    assert told == expected and max(r["to_n"] for r in got) == 5_000_000_000
+    assert len(got) < 400
+
+
+def test_every_valid_decision_counts(spark):
+    """A valid decision before a stale one holds; each valid one is told in the history, over hours and at one time."""
+    q = spark.createDataFrame([(1, "s", ["a"], "A", "", "pending", None, False, ["f"], "t")],
+                              "pos long, stem string, options array<string>, answer string, explanation string, status string, figure_status string, suspected boolean, review_flags array<string>, identity string")
+    log = [("t", "discarded", 10), ("t", "accepted", 9000), ("old", "discarded", 9100), ("t", "maybe", 9200), ("t", "pending", 20_000), ("t", "discarded", 20_000), ("old", "accepted", 30_000)]
+    d = spark.createDataFrame([(1, t, a, s, i) for i, (t, a, s) in enumerate(log)], "pos long, token string, decision string, s long, event_id long")
+    out, history, bad = rv.apply_question_decisions(q, d.select("pos", "token", "decision", F.timestamp_seconds("s").alias("ts"), "event_id"))
+    (row,) = out.collect()
+    assert (row["status"], row["review_flags"], row["decisions"]) == ("discarded", [], 4)
+    told = sorted((r["event_id"], r["decision"], r["previous_status"], r["previous_flags"]) for r in history.collect())
+    assert told == [(0, "discarded", "pending", ["f"]), (1, "accepted", "discarded", ["f"]), (4, "pending", "accepted", []), (5, "discarded", "pending", [])]
+    assert sorted((r["event_id"], r["reason"]) for r in bad.collect()) == [(2, "stale"), (3, "unknown decision"), (6, "stale")]
 
 
 @pytest.mark.parametrize("key", ["", None])
