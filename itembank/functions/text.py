@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +161,18 @@ def clean_stem(stem, number=None) -> Column:
     )
 
 
+def display_stem(rows: DataFrame) -> Column:
+    """``stem`` without its printed label. The known number is the first of ``number``, ``agent_source.number`` and ``original_number``
+    that is there and not blank; a label of another number is part of the text and stays."""
+    known = [F.col(c) for c in ("number", "original_number") if c in rows.columns]
+    source = rows.schema["agent_source"].dataType if "agent_source" in rows.columns else None
+    if source is not None and "number" in getattr(source, "names", []):
+        known.insert(1 if "number" in rows.columns else 0, F.col("agent_source.number"))
+    if not known:
+        return clean_stem("stem")
+    return clean_stem("stem", F.coalesce(*[F.nullif(number_text(k), F.lit("")) for k in known], F.lit("")))
+
+
 def removed_number(stem) -> Column:
     """The number printed in a leading label, empty if there is none."""
     text = F.regexp_replace(as_col(stem), GROUP_LABEL, "")
@@ -295,7 +307,12 @@ def normalize_number(c, ascii_only: bool = False) -> Column:
 
 def fingerprint(stem, options, number=None) -> Column:
     """Content hash of a question: label-free stem and options, whitespace ignored."""
-    return F.sha2(ws_free(F.concat(clean_stem(stem, number), F.to_json(clean_options(options)))), 256)
+    return content_digest(clean_stem(stem, number), options)
+
+
+def content_digest(cleaned, options) -> Column:
+    """Content hash from a stem whose label is gone."""
+    return F.sha2(ws_free(F.concat(as_col(cleaned), F.to_json(clean_options(options)))), 256)
 
 
 def identity(source_hash, number, section, stem) -> Column:

@@ -15,8 +15,7 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     """Rows with their content hash; a stored one is used as it is, so only that column is read."""
     if "fingerprint" in rows.columns:
         return rows
-    number = "number" if "number" in rows.columns else None
-    return rows.withColumn("fingerprint", tx.fingerprint("stem", "options", number))
+    return rows.withColumn("fingerprint", tx.content_digest(tx.display_stem(rows), "options"))
 
 
 def gate() -> Column:
@@ -65,12 +64,11 @@ def ingest_outcome(plan: DataFrame, bank: DataFrame | None = None) -> DataFrame:
 
 def to_bank_rows(items: DataFrame, run_id: str) -> DataFrame:
     """Bank record: clean stem and options, tags and explanation as remark, provenance."""
-    number = F.col("number") if "number" in items.columns else F.lit(None).cast("string")
     source = [F.col(c) for c in ("source_file", "source_hash", "source_pages", "number", "section", "answer_source", "review_flags") if c in items.columns]
     remark = F.concat(tx.tag_line("category_tags"), F.lit("\n"), F.coalesce(F.col("explanation"), F.lit("")))
     keep = [c for c in ("pos", "image", "images", "fingerprint") if c in items.columns]
     return items.select(
-        *keep, tx.clean_stem("stem", number).alias("stem"), tx.clean_options("options").alias("options"),
+        *keep, tx.display_stem(items).alias("stem"), tx.clean_options("options").alias("options"),
         F.coalesce(F.col("answer"), F.lit("")).alias("answer"), remark.alias("remark"),
         F.struct(*source).alias("agent_source"), F.lit(run_id).alias("agent_run"),
     )

@@ -21,7 +21,7 @@ def paper_rows(selected: DataFrame, order: str = "pos", with_answers: bool = Tru
     numbered = row_numbers(selected, [], order, "no")
     opts = F.coalesce(F.col("options"), F.array().cast("array<string>"))
     lettered = F.transform(opts, lambda o, i: F.when(o.rlike(r"\A[A-Z][.、．]"), o).otherwise(F.concat(F.char(i + 65), F.lit(". "), o)))
-    head = F.concat(F.col("no").cast("string"), F.lit(". "), tx.clean_stem("stem"))
+    head = F.concat(F.col("no").cast("string"), F.lit(". "), tx.display_stem(selected))
     body = numbered.select(F.lit(0).alias("part"), "no", F.posexplode(F.concat(F.array(head), lettered)).alias("line_no", "text"))
     if not with_answers:
         return body

@@ -128,7 +128,8 @@ def answer_consensus(questions: DataFrame, readings: DataFrame, errors: DataFram
     n_options, characters, complete, duplicated. On a page the line crop counts if both views agree
     and the number was located once; otherwise the bands count if some band's views agree and every
     value seen is the same and no line view contradicts it. Across pages one confirmed value, no
-    error and no contradicting reading are needed.
+    error and no contradicting reading are needed. Targets are questions that ask for, or are answered by, a T/F sequence,
+    and whose ``answer_source`` (if there is that column) is a PDF; others return as they are.
     """
     page_keys = ["pos", "page"]
     values = valid_readings(readings, [*page_keys, "crop", "view"])
@@ -162,14 +163,19 @@ def answer_consensus(questions: DataFrame, readings: DataFrame, errors: DataFram
         F.col("c_lo").isNotNull() & (F.col("c_lo") == F.col("c_hi")) & F.col("fault").isNull()
         & (F.col("lo") == F.col("c_lo")) & (F.col("hi") == F.col("c_lo"))
     )
-    good = F.coalesce(good, F.lit(False))
     old = F.coalesce(F.col("answer"), F.lit(""))
+    target = old.rlike(r"\A[TF]+\z")
+    if "stem" in questions.columns:
+        target = target | F.coalesce(tx.tf_question("stem", *(["answer_format"] if "answer_format" in questions.columns else [])), F.lit(False))
+    if "answer_source" in questions.columns:
+        target = target & F.coalesce(F.lower("answer_source.source_file").endswith(".pdf"), F.lit(False))
+    good = F.coalesce(good, F.lit(False)) & target
     flags = F.coalesce(F.col("review_flags"), F.array().cast("array<string>"))
     return rows.select(
         *[c for c in questions.columns if c not in ("answer", "review_flags")],
         F.when(good, F.col("c_lo")).otherwise(F.col("answer")).alias("answer"),
         F.when(good & (old != F.col("c_lo")), old).alias("replaced_answer"),
-        F.when(good, pr.drop_flags(flags, ZOOM_CLEARS)).otherwise(F.array_union(flags, F.array(F.lit(FLAG_ZOOM)))).alias("review_flags"),
+        F.when(good, pr.drop_flags(flags, ZOOM_CLEARS)).when(target, F.array_union(flags, F.array(F.lit(FLAG_ZOOM)))).otherwise(F.col("review_flags")).alias("review_flags"),
         good.alias("zoom_confirmed"),
     )
 

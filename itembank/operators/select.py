@@ -151,7 +151,7 @@ def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None
     member = bank.select("pos", F.explode(tx.once(corpus, hits)).alias("grp_no"))
     chosen = _resolve(_first_per_group(member, counts, [F.col("pos")]), counts)
     # At most 15,000 ids by the checked request.
-    selected = bank.join(F.broadcast(chosen), "pos").withColumn("stem", tx.clean_stem("stem"))
+    selected = bank.join(F.broadcast(chosen), "pos").withColumn("stem", tx.display_stem(bank))
     return selected, selection_report(member, chosen, counts)
 
 
@@ -195,7 +195,8 @@ def score_quota_select(bank: DataFrame, scores: DataFrame, groups: list[dict]) -
     member = scores.select("pos", "score", F.explode(F.array_distinct("groups")).alias("grp_no"))
     chosen = _resolve(_first_per_group(member, counts, [F.col("score").desc(), F.col("pos")]), counts)
     picked = F.broadcast(chosen).join(scores.select("pos", "score", "reason"), "pos")
-    selected = bank.join(picked, "pos").withColumn("stem", tx.clean_stem("stem")).withColumn(
+    # As many rows as the request asks for, which is checked.
+    selected = bank.join(F.broadcast(picked), "pos").withColumn("stem", tx.display_stem(bank)).withColumn(
         "selection_review",
         F.struct(
             F.lit("pending").alias("status"), F.col("reason"), F.col("pos").alias("source_index"),

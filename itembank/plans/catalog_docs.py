@@ -382,10 +382,15 @@ def valid_readings(spark, sf):
 
 @query("readings", """, x AS (SELECT pos, any_value(answer) AS old, max(CASE WHEN view = 'raw' AND complete AND regexp_full_match(characters, '[TF]+') THEN characters END) AS a,
       max(CASE WHEN view = 'contrast' AND complete AND regexp_full_match(characters, '[TF]+') THEN characters END) AS b FROM readings GROUP BY pos),
-    y AS (SELECT *, coalesce(a = b AND pos % 43 <> 0, FALSE) AS ok FROM x)
-    SELECT pos, CASE WHEN ok THEN a ELSE old END AS answer, CASE WHEN ok THEN '' ELSE '答案复核不一致|答案局部放大未通过复核' END AS flags, ok AS confirmed FROM y""")
+    t AS (SELECT *, (pos % 6 <> 0 OR regexp_full_match(old, '[TF]+')) AND pos % 9 <> 0 AS target FROM x),
+    y AS (SELECT *, target AND coalesce(a = b AND pos % 43 <> 0, FALSE) AS ok FROM t)
+    SELECT pos, CASE WHEN ok THEN a ELSE old END AS answer, CASE WHEN ok THEN '' WHEN target THEN '答案复核不一致|答案局部放大未通过复核' ELSE '答案复核不一致' END AS flags, ok AS confirmed FROM y""")
 def answer_consensus(spark, sf):
-    q = v.items(spark, sf).filter("kind = 'question'").select("pos", "answer", F.array(F.lit(lk.FLAG_AUDIT_DIFFERS)).alias("review_flags"))
+    p = F.col("pos")
+    file = F.when(p % 9 == 0, "notes.txt").otherwise("Paper.PDF")
+    q = v.items(spark, sf).filter("kind = 'question'").select(
+        "pos", "answer", F.lit("").alias("stem"), F.when(p % 6 != 0, "true_false").alias("answer_format"), F.struct(file.alias("source_file")).alias("answer_source"),
+        F.array(F.lit(lk.FLAG_AUDIT_DIFFERS)).alias("review_flags"))
     out = rv.answer_consensus(q, _crop_readings(spark, sf))
     return out.select("pos", "answer", F.array_join("review_flags", "|").alias("flags"), F.col("zoom_confirmed").alias("confirmed"))
 

@@ -10,6 +10,7 @@ from itembank.operators import dedupe as dd
 from itembank.operators import documents as dc
 from itembank.operators import ingest as ing
 from itembank.operators import link as lk
+from itembank.operators import report as rp
 from itembank.operators import review as rv
 from itembank.operators import select as sel
 from itembank.operators.ordered import row_numbers, running_sum
@@ -230,7 +231,6 @@ def test_coverage_worklist_neighbours(spark):
 @pytest.mark.parametrize("width", [3, 1 << 16])
 def test_gaps_equal_number_by_number(spark, monkeypatch, width):
     """Any last number costs rows for the numbers that are there only; spans agree with a search over all rows."""
-    import random
 
     from itembank.operators import gaps
 
@@ -322,3 +322,27 @@ def test_printed_numbers_meet(spark):
     s = spark.createDataFrame([(10, "g", "", "1", "A", "x", "k", [1], True), (11, "g", None, "2、", "B", "y", "k", [1], True)], schema)
     assert {r.pos: r.answer for r in lk.match_solutions(q, s).collect()} == {0: "A", 1: "B"}
     assert sorted(r.n for r in q.select(lk.int_number("number").alias("n")).collect()) == [1, 2]
+
+
+def test_a_known_number_keeps_foreign_labels(spark):
+    """A label of another number is text; the number may stand in the source record or be the original one."""
+    kind = "pos long, number string, agent_source struct<number:string>, original_number string, stem string, options array<string>, answer string, explanation string, category_tags array<string>, remark string"
+    rows = [(1, "5", None, None, "999. the cell"), (2, "999", None, None, "999. the cell"), (3, None, ("5",), None, "999. the cell"),
+            (4, "", ("",), "999", "999. the cell"), (5, None, None, None, "999. the cell")]
+    bank = spark.createDataFrame([(*r, ["a"], "A", "", [], "") for r in rows], kind)
+    shown = {1: "999. the cell", 2: "the cell", 3: "999. the cell", 4: "the cell", 5: "the cell"}
+    picked, _ = sel.quota_select(bank, [{"query": {"op": "AND", "keywords": ["cell"]}, "count": 9}])
+    assert {r["pos"]: r["stem"] for r in picked.collect()} == shown
+    assert {r["pos"]: r["stem"] for r in ing.to_bank_rows(bank.withColumn("source_file", F.lit("f")), "run").withColumn("pos", F.col("pos")).collect()} == shown
+    lines = {r["no"]: r["text"] for r in rp.paper_rows(bank).filter("part = 0 AND line_no = 0").collect()}
+    assert lines == {n: f"{n}. {text}" for n, text in shown.items()}
+    prints = {r["pos"]: r["fingerprint"] for r in ing.with_fingerprint(bank).collect()}
+    assert prints[1] == prints[3] != prints[2] == prints[4] == prints[5]
+
+
+def test_consensus_targets(spark):
+    """Questions that ask for no T/F sequence, or whose answer is from no PDF, get no flag."""
+    q = spark.createDataFrame([(1, "C", "s", None, ("a.pdf",), []), (2, "C", "s", "true_false", ("a.pdf",), []), (3, "TF", "s", None, ("a.txt",), []), (4, "TF", "s", None, ("a.PDF",), ["x"]), (5, "TF", "s", None, None, [])],
+                              "pos long, answer string, stem string, answer_format string, answer_source struct<source_file:string>, review_flags array<string>")
+    reads = _reads(spark, [(9, 1, "line", "raw", "TF", True, False)])
+    assert {r["pos"]: r["review_flags"] for r in rv.answer_consensus(q, reads).collect()} == {1: [], 2: [rv.FLAG_ZOOM], 3: [], 4: ["x", rv.FLAG_ZOOM], 5: []}
