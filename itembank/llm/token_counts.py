@@ -17,6 +17,8 @@ from itembank.llm import vocab
 from itembank.llm.common import query, run_folder, slices, stage, table
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
+#: Digests a task remembers, so that it encodes repeated rows of one document once.
+SEEN = 500_000
 
 
 def text_digest(text: str = "text"):
@@ -36,7 +38,15 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def _count(path: str | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocab.encoder(path or vocab.tokenizer_path(name))
+        seen: set[bytes] = set()
         for part in slices(batches, "text"):
+            fresh = []
+            for digest in part.column("digest").to_pylist():
+                fresh.append(digest not in seen)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(digest)
+            part = part.filter(pa.array(fresh, pa.bool_()))
             ids = encoder.encode([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column("digest"), pa.array([len(x) // 4 for x in ids], pa.int64())], ["digest", "n_tokens"])
@@ -51,7 +61,7 @@ def count_tokens(
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``digest`` of every row of ``docs``.
 
     ``cache`` is a folder in a shared store; it is created on first use and only ever appended to. Two jobs that miss the
-    same text both append its count; readers take one row per key. Null texts count as empty (0 tokens), texts are
+    same text both append its count, as do two tasks if Spark splits the repeated rows of one id; readers take one row per key. Null texts count as empty (0 tokens), texts are
     encoded whole, repeated and null ids are rows like any other, an empty table gives an empty result, other columns
     are not read.
     """
@@ -64,7 +74,8 @@ def count_tokens(
     ), folder, "keys")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     missing = keys.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id")).join(known, "digest", "left_anti")
-    # One row per missed digest; both columns must agree, as an id may stand on several texts.
+    # One document per missed digest; both columns must agree, as an id may stand on several texts. Equal rows meet in a
+    # task by these two, which encodes the first.
     texts = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), text_digest(text).alias("digest"), F.col(text).alias("text"))
     one = texts.join(missing.hint("shuffle_hash"), ["doc_id", "digest"], "left_semi").select("digest", "text")
     new = one.mapInArrow(_count(tokenizer_path, tokenizer), "digest binary, n_tokens long")

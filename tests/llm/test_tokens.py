@@ -54,6 +54,13 @@ def test_counts_and_cache(spark, hard, empty):
     assert token_counts.count_tokens(empty, cache).count() == 0
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    rows = spark.createDataFrame([(7, "one text")] * 1000 + [(7, "another"), (None, "one text"), (9, None)], "doc_id long, text string")
+    cache = run_folder(spark, "cache") + "/counts"
+    assert token_counts.count_tokens(rows, cache).count() == 1003
+    assert spark.read.parquet(cache).count() == 3
+
+
 def test_counts_need_no_encoder_for_hits(spark, hard, monkeypatch):
     cache = run_folder(spark, "cache") + "/counts"
     token_counts.count_tokens(hard, cache)
