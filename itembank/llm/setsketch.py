@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, doc_id:
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles; a component is
     all that links reach, named by its least id; the row of that id is kept. Texts that are null or without words have the empty set and
     are linked with nothing. Rows that repeat an id are one document, linked if any of its texts is, and kept or not
-    together. A null id is linked with nothing and kept. Other columns are not read.
+    together: the id links the classes of its texts. A null id is linked with nothing and kept. Other columns are not read.
     """
     folder, limit = run_folder(docs.sparkSession, "near"), percent / 100
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -276,11 +276,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, doc_id:
     met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
         other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("band", "odd", "other")
     more = stage(met.mapInArrow(_across(percent), "a long, b long").distinct(), folder, "more")
-    final = components(links.union(more), folder, "final")
+    text_key = F.coalesce("digest", F.lit(b""))  # a text without words has no class, but goes with its id
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text_key).alias("low"), F.max(text_key).alias("high")).where("low <> high").select("doc_id")
+    shared = real.select("doc_id", "digest", "n").join(several, "doc_id", "left_semi").join(classes, ["digest", "n"])
+    by_id = stage(shared.select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")).distinct(), folder, "by_id")
+    final = components(links.union(more).union(by_id), folder, "final")
 
     named = classes.join(final, "node", "left").select("digest", F.col("n").alias("size"), F.coalesce("comp", "node").alias("comp"))
-    out = rows.join(named, (F.col("n") == F.col("size")) & rows.digest.eqNullSafe(named.digest), "left")
-    # An id with several texts has the least component of them, as its texts are linked to each other by it.
+    out = rows.where("n > 0").join(named, (F.col("n") == F.col("size")) & rows.digest.eqNullSafe(named.digest), "left").select("doc_id", "n", "comp")
+    wordless = rows.where("n = 0").join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "comp")
+    out = out.union(wordless)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -72,6 +72,13 @@ def test_estimate_is_near_the_similarity():
     assert (setsketch.registers(pool[:2500]) == both[0]).all()
 
 
+def test_an_id_links_the_classes_of_its_texts(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue grey")
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, c), (1, c), (9, ""), (12, None), (12, "lone words here")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (8, 3, False), (1, 1, True), (9, 1, False), (12, 12, True)}
+
+
 def test_near_duplicates_hard_rows(spark, hard, empty):
     rows = setsketch.near_duplicates(hard).collect()
     assert len(rows) == hard.count()
