@@ -29,7 +29,7 @@ from itembank.llm.vocab import tokenizer_path
 
 MARK = "▁"
 #: What a task remembers before it starts anew: units with their ids, pairs of tokens with the answer.
-UNITS = 600_000
+UNITS = 200_000
 PAIRS = 1_500_000
 #: Longer units are encoded each time.
 KEPT_LENGTH = 64
