@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
+PER_PART = 2048
 
 
 def _same(keys: list[str], side: str):
@@ -69,3 +70,32 @@ def attach_per_key(
     return joined.select(
         *rows.columns, *[F.when(F.col("__in"), F.col(f"__h_{c}")).when(F.col("__hot").isNull(), F.col(f"__s_{c}")).alias(c) for c in outputs],
     )
+
+
+def split_join(
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str | None = None, *, partitions: int,
+    per_part: int = PER_PART, hot_keys: int = HOT_KEYS, counted: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join on ``key`` in which a hot key is a grid of parts instead of one task.
+
+    The rows of a hot key are dealt by ``left_id`` into parts of about ``per_part`` rows, those of the other side by ``right_id``, and
+    each part meets each part of the other side once, so every pair of rows meets exactly once. ``right_id`` None says that
+    ``right`` holds a key once; such a row goes to all parts. The ``hot_keys`` largest keys are split, any other holds at
+    most 1/``hot_keys`` of the rows. Only keys and numbers of parts are broadcast. Both sides are read twice: pass stored ones,
+    or in ``counted`` a stored table with the keys of ``left``.
+    """
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_part).alias(name))
+
+    sizes = parts(left if counted is None else counted, "__l")
+    sizes = sizes.withColumn("__r", F.lit(1).cast("long")) if right_id is None else sizes.join(parts(right, "__r"), key)
+    grid = sizes.filter(F.col("__l") * F.col("__r") > 1).orderBy((F.col("__l") + F.col("__r")).desc(), key).limit(hot_keys)
+
+    def dealt(df: DataFrame, own: str, row_id: str | None, other: str, cells: tuple[str, str]) -> DataFrame:
+        known = df.join(F.broadcast(grid), key, "left")
+        part = F.lit(0).cast("long") if row_id is None else F.pmod(F.xxhash64(row_id), F.coalesce(own, F.lit(1).cast("long")))
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1)
+        return known.select(*df.columns, part.alias(cells[0]), F.explode(copies).alias(cells[1])).repartition(partitions, key, "__a", "__b")
+
+    return dealt(left, "__l", left_id, "__r", ("__a", "__b")).join(
+        dealt(right, "__r", right_id, "__l", ("__b", "__a")), [key, "__a", "__b"]).drop("__a", "__b")
