@@ -85,16 +85,18 @@ def split_join(
     or in ``counted`` a stored table with the keys of ``left``.
     """
     def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_part).alias(name))
+        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_part).alias(name)).filter(F.col(name) > 1)
 
-    sizes = parts(left if counted is None else counted, "__l")
-    sizes = sizes.withColumn("__r", F.lit(1).cast("long")) if right_id is None else sizes.join(parts(right, "__r"), key)
-    grid = sizes.filter(F.col("__l") * F.col("__r") > 1).orderBy((F.col("__l") + F.col("__r")).desc(), key).limit(hot_keys)
+    # A key that is not large on a side has one part there; only the few large ones are matched.
+    one, large = F.lit(1).cast("long"), parts(left if counted is None else counted, "__l")
+    large = large.withColumn("__r", one) if right_id is None else large.join(parts(right, "__r"), key, "full")
+    grid = large.select(key, F.coalesce("__l", one).alias("__l"), F.coalesce("__r", one).alias("__r")).orderBy(
+        (F.col("__l") + F.col("__r")).desc(), key).limit(hot_keys)
 
     def dealt(df: DataFrame, own: str, row_id: str | None, other: str, cells: tuple[str, str]) -> DataFrame:
         known = df.join(F.broadcast(grid), key, "left")
-        part = F.lit(0).cast("long") if row_id is None else F.pmod(F.xxhash64(row_id), F.coalesce(own, F.lit(1).cast("long")))
-        copies = F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1)
+        part = F.lit(0).cast("long") if row_id is None else F.pmod(F.xxhash64(row_id), F.coalesce(own, one))
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1)
         return known.select(*df.columns, part.alias(cells[0]), F.explode(copies).alias(cells[1])).repartition(partitions, key, "__a", "__b")
 
     return dealt(left, "__l", left_id, "__r", ("__a", "__b")).join(
