@@ -1,18 +1,19 @@
 """Search, boolean selection, quotas and the working pool."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itembank.functions import query as qy
 from itembank.functions import text as tx
+from itembank.operators.quota import greedy_quotas
 
+# What a request from a form may ask for; None lifts them.
 MAX_GROUPS = 30
 MAX_COUNT = 500
 DEFAULT_COUNT = 20
-SALTS = 1024
+#: Chosen rows are broadcast up to so many.
+BROADCAST_ROWS = 15_000
 
 
 def _corpus(words: list[str]) -> Column:
@@ -83,59 +84,29 @@ def keyword_select(bank: DataFrame, must: list[str], anyof: list[str], exclude:
     return scored_select(bank, {"must_keywords": must, "any_keywords": anyof}, exclude, n)
 
 
-def _checked_groups(groups: list[dict]) -> list[dict]:
-    if not 1 <= len(groups) <= MAX_GROUPS:
-        raise ValueError("1 to 30 selection groups")
+def _checked_groups(groups: list[dict], max_groups: int | None, max_count: int | None) -> list[dict]:
+    if not groups or (max_groups is not None and len(groups) > max_groups):
+        raise ValueError(f"1 to {max_groups} selection groups" if max_groups else "at least one selection group")
     out = []
     for g in groups:
         count = int(g.get("count", DEFAULT_COUNT))
-        if not 1 <= count <= MAX_COUNT:
-            raise ValueError("1 to 500 rows per group")
+        if count < 1 or (max_count is not None and count > max_count):
+            raise ValueError(f"1 to {max_count} rows per group" if max_count else "at least one row per group")
         out.append({**g, "count": count})
     return out
 
 
-def _resolve(candidates: DataFrame, counts: list[int]) -> DataFrame:
-    """Give every group its first ``count`` candidates not taken by an earlier group.
+def _sent(chosen: DataFrame, counts: list[int]) -> DataFrame:
+    """The chosen rows as a side of a join: sent to all tasks if the request asks for few."""
+    return F.broadcast(chosen) if sum(counts) <= BROADCAST_ROWS else chosen
 
-    The input is bounded by the request, not the data: at most 30 groups of 15,000 rows.
-    """
-    schema = "pos long, sel_group int, sel_rank int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        rows = []
-        for g, count in enumerate(counts):
-            mine = pdf[pdf["grp_no"] == g].sort_values("ord")
-            free = [int(p) for p in mine["pos"] if int(p) not in used][:count]
-            used.update(free)
-            rows += [(p, g, i + 1) for i, p in enumerate(free)]
-        return pd.DataFrame(rows, columns=["pos", "sel_group", "sel_rank"])
-
-    return candidates.groupBy().applyInPandas(run, schema)
 
-
-def _first_per_group(member: DataFrame, counts: list[int], order: list[Column]) -> DataFrame:
-    """The first Σ(counts up to g) candidates of every group g, ranked.
-
-    An earlier group can take at most its own count, so no later candidate can be chosen. The
-    first window ranks inside (group, salt), so a hot group is cut down in many tasks; the second
-    sees at most salts × need rows of a group.
-    """
-    need = [sum(counts[: g + 1]) for g in range(len(counts))]
-    limit = F.element_at(F.array(*[F.lit(n) for n in need]), F.col("grp_no") + 1)
-    salted = W.partitionBy("grp_no", F.pmod(F.xxhash64("pos"), F.lit(SALTS))).orderBy(*order)
-    # The constant bound lets Spark trim each group before the shuffle; the exact one follows.
-    top = member.withColumn("__r", F.row_number().over(salted)).filter(F.col("__r") <= max(need)).filter(
-        F.col("__r") <= limit
-    )
-    rank = F.row_number().over(W.partitionBy("grp_no").orderBy(*order))
-    return top.withColumn("ord", rank.cast("long")).filter(F.col("ord") <= limit).select("pos", "grp_no", "ord")
-
-
-def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+def quota_select(
+    bank: DataFrame, groups: list[dict], exclude: list[str] | None = None, compat: bool = False, *,
+    max_groups: int | None = MAX_GROUPS, max_count: int | None = MAX_COUNT,
+) -> tuple[DataFrame, DataFrame]:
     """(selected rows, report): groups in order take their first hits not chosen earlier."""
-    groups = _checked_groups(groups)
+    groups = _checked_groups(groups, max_groups, max_count)
     counts = [g["count"] for g in groups]
     corpus = tx.select_corpus("stem", "options", "category_tags", "remark", compat)
 
@@ -148,17 +119,16 @@ def quota_select(bank: DataFrame, groups: list[dict], exclude: list[str] | None
         return F.array_compact(F.array(*out))
 
     # One pass over the bank evaluates every group on one look at the text.
-    member = bank.select("pos", F.explode(tx.once(corpus, hits)).alias("grp_no"))
-    chosen = _resolve(_first_per_group(member, counts, [F.col("pos")]), counts)
-    # At most 15,000 ids by the checked request.
-    selected = bank.join(F.broadcast(chosen), "pos").withColumn("stem", tx.display_stem(bank))
+    member = bank.select("pos", tx.once(corpus, hits).alias("groups"))
+    chosen = greedy_quotas(member, counts, ["pos"])
+    selected = bank.join(_sent(chosen, counts), "pos").withColumn("stem", tx.display_stem(bank))
     return selected, selection_report(member, chosen, counts)
 
 
 def selection_report(member: DataFrame, chosen: DataFrame, counts: list[int]) -> DataFrame:
     """Requested, matched (hits no earlier group took), selected and shortfall per group."""
-    taken = F.broadcast(chosen.select("pos", "sel_group"))
-    hits = member.join(taken, "pos", "left").filter(
+    taken = _sent(chosen.select("pos", "sel_group"), counts)
+    hits = member.select("pos", F.explode("groups").alias("grp_no")).join(taken, "pos", "left").filter(
         F.col("sel_group").isNull() | (F.col("sel_group") >= F.col("grp_no"))
     )
     matched = hits.groupBy("grp_no").agg(
@@ -174,12 +144,12 @@ def selection_report(member: DataFrame, chosen: DataFrame, counts: list[int]) ->
 
 
 def score_errors(scores: DataFrame, bank: DataFrame, n_groups: int) -> DataFrame:
-    """Score rows that may not be used: unknown or repeated id, bad score, bad group, blank reason."""
+    """Score rows that may not be used (unknown or repeated id, bad score, bad group, blank reason) and bank rows without a score."""
     known = bank.select("pos", F.lit(True).alias("__known"))
     repeats = scores.groupBy("pos").agg(F.count(F.lit(1)).alias("__n"))
     checked = scores.join(repeats, "pos").join(known, "pos", "left")
     bad_group = (F.size("groups") < 1) | F.exists("groups", lambda g: g.isNull() | (g < 0) | (g >= n_groups))
-    return checked.withColumn(
+    faults = checked.withColumn(
         "error",
         F.when(F.col("__known").isNull(), "unknown id")
         .when(F.col("__n") > 1, "repeated id")
@@ -187,23 +157,30 @@ def score_errors(scores: DataFrame, bank: DataFrame, n_groups: int) -> DataFrame
         .when(F.coalesce(bad_group, F.lit(True)), "group")
         .when(F.coalesce(tx.strip("reason") == "", F.lit(True)), "reason"),
     ).filter("error IS NOT NULL").drop("__n", "__known")
+    unscored = bank.select("pos").join(scores.select("pos"), "pos", "left_anti").withColumn("error", F.lit("no score"))
+    return faults.unionByName(unscored, allowMissingColumns=True)
 
 
-def score_quota_select(bank: DataFrame, scores: DataFrame, groups: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """(selected rows awaiting review, report): per group the best scores not chosen earlier."""
-    counts = [g["count"] for g in _checked_groups(groups)]
-    member = scores.select("pos", "score", F.explode(F.array_distinct("groups")).alias("grp_no"))
-    chosen = _resolve(_first_per_group(member, counts, [F.col("score").desc(), F.col("pos")]), counts)
-    picked = F.broadcast(chosen).join(scores.select("pos", "score", "reason"), "pos")
-    # As many rows as the request asks for, which is checked.
-    selected = bank.join(F.broadcast(picked), "pos").withColumn("stem", tx.display_stem(bank)).withColumn(
+def score_quota_select(
+    bank: DataFrame, scores: DataFrame, groups: list[dict], *, max_groups: int | None = MAX_GROUPS, max_count: int | None = MAX_COUNT,
+) -> tuple[DataFrame, DataFrame]:
+    """(selected rows awaiting review, report): per group the best scores not chosen earlier.
+
+    ``scores`` are those ``score_errors`` finds no fault with. A null score or group takes no part.
+    """
+    counts = [g["count"] for g in _checked_groups(groups, max_groups, max_count)]
+    asked = F.array_sort(F.array_distinct(F.filter("groups", lambda g: g.between(0, len(counts) - 1)))).cast("array<int>")
+    member = scores.where("score IS NOT NULL").select("pos", (-F.col("score")).alias("__low"), asked.alias("groups"))
+    chosen = greedy_quotas(member, counts, ["__low", "pos"])
+    picked = _sent(_sent(chosen, counts).join(scores.select("pos", "score", "reason"), "pos"), counts)
+    selected = bank.join(picked, "pos").withColumn("stem", tx.display_stem(bank)).withColumn(
         "selection_review",
         F.struct(
             F.lit("pending").alias("status"), F.col("reason"), F.col("pos").alias("source_index"),
             F.col("score"), F.col("sel_group").alias("group"),
         ),
     )
-    return selected, selection_report(member.select("pos", "grp_no"), chosen, counts).drop("matched")
+    return selected, selection_report(member, chosen, counts).drop("matched")
 
 
 # --- working pool -----------------------------------------------------------------------------

@@ -296,7 +296,8 @@ def score_quota_select(spark, sf):
     return picked.select("pos", F.col("selection_review.group").alias("sel_group"), F.round("selection_review.score", 6).alias("score"), F.col("selection_review.status").alias("status"))
 
 
-@query("bank scores", """SELECT s.pos, CASE WHEN b.pos IS NULL THEN 'unknown id' WHEN s.pos % 10 = 1 THEN 'score' ELSE 'reason' END AS error FROM scores s LEFT JOIN bank b USING (pos) WHERE b.pos IS NULL OR s.pos % 10 IN (1, 2)""")
+@query("bank scores", """SELECT s.pos, CASE WHEN b.pos IS NULL THEN 'unknown id' WHEN s.pos % 10 = 1 THEN 'score' ELSE 'reason' END AS error FROM scores s LEFT JOIN bank b USING (pos) WHERE b.pos IS NULL OR s.pos % 10 IN (1, 2)
+    UNION ALL SELECT pos, 'no score' AS error FROM bank WHERE pos NOT IN (SELECT pos FROM scores)""")
 def score_errors(spark, sf):
     p = F.col("pos") % 10
     s = v.scores(spark, sf).select(

@@ -10,6 +10,7 @@ from itembank.operators import dedupe as dd
 from itembank.operators import documents as dc
 from itembank.operators import ingest as ing
 from itembank.operators import link as lk
+from itembank.operators import quota
 from itembank.operators import report as rp
 from itembank.operators import review as rv
 from itembank.operators import select as sel
@@ -107,6 +108,42 @@ def test_quota_gives_later_groups_what_is_left(spark):
     assert rep[0]["matched"] == 3 and rep[1] == {"sel_group": 1, "requested": 3, "matched": 2, "selected": 2, "shortfall": 1}
     with pytest.raises(ValueError):
         sel.quota_select(b, [{"count": 501, "query": {"keywords": ["a"]}}])
+    many, _ = sel.quota_select(b, [{"count": 501, "query": {"keywords": ["细胞"]}}] * 31, max_groups=None, max_count=None)
+    assert sorted((r["pos"], r["sel_group"]) for r in many.collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
+def by_hand(rows, counts):
+    used, out = set(), []
+    for g, n in enumerate(counts):
+        mine = [p for _, p, groups in sorted(rows) if g in groups and p not in used][:n]
+        used.update(mine)
+        out += [(p, g, i + 1) for i, p in enumerate(mine)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("counts, range_rows", [
+    ([3, 9, 1, 40, 7], 8), ([1, 1, 1, 1, 1], 8), ([500] * 5, 16), ([60, 2, 300, 5, 60], 1000), ([2] * 40, 5)])
+def test_greedy_quotas_over_ranges_equal_the_greedy_order(spark, counts, range_rows):
+    """Groups run out in different ranges, in the same one, or never; most rows are asked for by one group."""
+    pick = random.Random(len(counts) * range_rows)
+    rows = [(pick.randrange(6), p, sorted({0, *pick.sample(range(len(counts)), pick.randrange(3))} - ({0} if p % 3 else set()))) for p in range(120)]
+    member = spark.createDataFrame(rows, "ord int, pos long, groups array<int>")
+    got = quota.greedy_quotas(member, counts, ["ord", "pos"], range_rows)
+    assert sorted(tuple(r) for r in got.collect()) == by_hand(rows, counts)
+
+
+def test_quotas_of_nothing(spark):
+    member = spark.createDataFrame([(1, [])], "pos long, groups array<int>")
+    assert quota.greedy_quotas(member, [2], ["pos"]).collect() == []
+    assert quota.greedy_quotas(member.limit(0), [2], ["pos"]).collect() == []
+
+
+def test_every_bank_row_needs_a_score(spark):
+    b = bank(spark, [("a", [], "", []), ("b", [], "", []), ("c", [], "", [])])
+    scores = spark.createDataFrame([(0, 0.5, [0], "fits"), (2, None, [0], "fits")], "pos long, score double, groups array<int>, reason string")
+    assert sorted((r["pos"], r["error"]) for r in sel.score_errors(scores, b, 1).collect()) == [(1, "no score"), (2, "score")]
+    picked, _ = sel.score_quota_select(b, scores, [{"count": 3}])
+    assert [r["pos"] for r in picked.collect()] == [0]
 
 
 def test_export_waits_for_review(spark):
