@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itembank.functions import text as tx
-from itembank.operators.ordered import running_sum
+from itembank.operators.ordered import RANGE_ROWS, stored_ranges
 from itembank.operators.skew import attach_per_key
 
 CHUNK = 4500
@@ -310,19 +310,18 @@ def asset_blobs(manifest: DataFrame) -> DataFrame:
     )
 
 
-def retention(files: DataFrame, max_bytes: int, cutoff: int) -> DataFrame:
-    """Files to evict: oldest first while the rest is over ``max_bytes``, and all older than ``cutoff``."""
-    # Hours first, then (mtime, size) inside an hour: both levels stay small in one task, even if
-    # most files were written in the same hour.
-    rows = files.withColumn("__hour", F.floor(F.col("mtime") / 3600))
-    hours = rows.groupBy("__hour").agg(F.sum("size").alias("__size"), F.count(F.lit(1)).alias("__n"))
-    earlier = W.orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(1))
-    offsets = hours.select(
-        "__hour", "__n", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__off"), F.sum("__size").over(everything).alias("__total")
-    )
-    bucket = F.struct(F.col("mtime"), F.floor(F.col("size") / 4096))
-    rows = running_sum(rows, ["__hour"], "mtime", "size", "__inside", tie=["size", "path"], bucket=bucket)
-    rows = attach_per_key(rows, offsets, ["__hour"], "__n", row_id="path")
+def retention(files: DataFrame, max_bytes: int, cutoff: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Files to evict: oldest first while the rest is over ``max_bytes``, and all older than ``cutoff``.
+
+    Order: mtime, size, path. The files are stored in ranges of that order, so even those of one second are dealt over
+    tasks; sums per range, one row each, give what stands before a range, a window inside it the rest.
+    """
+    rows = stored_ranges(files, ["mtime", "size", "path"], range_rows)
+    sums = rows.groupBy("part_no").agg(F.sum("size").alias("__size"))
+    before, everything = W.orderBy("part_no").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(1))
+    offsets = sums.select(
+        "part_no", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__off"), F.sum("__size").over(everything).alias("__total"))
+    inside = W.partitionBy("part_no").orderBy("place_no").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, "part_no")
     left = F.col("__total") - F.col("__off") - F.col("__inside")
-    return rows.filter((left > max_bytes) | (F.col("mtime") < cutoff)).select(*files.columns)
+    return placed.filter((left > max_bytes) | (F.col("mtime") < cutoff)).select(*files.columns)

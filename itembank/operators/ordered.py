@@ -10,11 +10,36 @@ per row and needs no sampling, so both branches of the plan agree on it.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
+
+from itembank.session import checkpoint_dir
 
 WIDTH = 1 << 20
+#: Rows of a stored range, the most one task holds.
+RANGE_ROWS = 200_000
+
+
+def stored_ranges(df: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` written in ranges of ``order``: ``part_no`` ascends with the order, ``place_no`` inside a range.
+
+    The cut goes through the whole order, so rows that share its first columns are still spread; only rows equal in all
+    of them stay together. The stored copy makes every reader agree on the cut.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/rows")
+    stored = spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    parts = max(1, -(-stored.count() // range_rows))
+    placed = stored.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        "*", F.monotonically_increasing_id().alias("place_no"), F.spark_partition_id().alias("part_no"))
+    placed.write.partitionBy("part_no").parquet(f"{folder}/ranges")
+    schema = StructType([*df.schema.fields]).add("place_no", LongType()).add("part_no", IntegerType())
+    return spark.read.schema(schema).parquet(f"{folder}/ranges")
 
 
 def _bucket(order: str, width: int, bucket: Column | None) -> Column:

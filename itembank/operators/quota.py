@@ -10,17 +10,12 @@ ranges are resolved at once, each in its own task.
 """
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.session import checkpoint_dir
-
-#: Rows of a range, the most one task holds.
-RANGE_ROWS = 200_000
+from itembank.operators.ordered import RANGE_ROWS, stored_ranges
 
 
 def walk(pos: np.ndarray, groups: list, free: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
@@ -42,32 +37,19 @@ def walk(pos: np.ndarray, groups: list, free: np.ndarray) -> tuple[list[tuple[in
 
 
 def _walked(pdf: pd.DataFrame, free: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    pdf = pdf.sort_values("place")
+    pdf = pdf.sort_values("place_no")
     return walk(pdf["pos"].to_numpy(), pdf["groups"].tolist(), free)
 
 
-def _cut(member: DataFrame, order: list[Column], range_rows: int) -> DataFrame:
-    """``member`` stored by ranges of the order: ``pos``, ``groups``, ``place`` (inside the range) and ``part``."""
-    spark = member.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/quota-{uuid.uuid4().hex}"
-    member.write.parquet(f"{folder}/member")
-    stored = spark.read.schema(member.schema).parquet(f"{folder}/member")
-    parts = max(1, -(-stored.count() // range_rows))
-    ranged = stored.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = ranged.select("pos", "groups", F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part"))
-    placed.write.partitionBy("part").parquet(f"{folder}/parts")
-    return spark.read.schema("pos long, groups array<int>, place long, part int").parquet(f"{folder}/parts")
-
-
 def _states(rows: DataFrame, counts: list[int]) -> dict[int, np.ndarray]:
     """Free seats at the start of every range in which a seat is free."""
     free, states, at = np.array(counts, dtype=np.int64), {}, 0
-    last = rows.agg(F.max("part")).first()[0]
+    last = rows.agg(F.max("part_no")).first()[0]
     while last is not None and at <= last and free.any():
         opened = F.array(*[F.lit(int(g)) for g in np.flatnonzero(free)])
         goes = F.filter("groups", lambda g: F.array_contains(opened, g))
         # One row per range and group, whatever the data's size.
-        taken = rows.where((F.col("part") >= at) & (F.size(goes) > 0)).groupBy("part", F.element_at(goes, 1).alias("g")).count().collect()
+        taken = rows.where((F.col("part_no") >= at) & (F.size(goes) > 0)).groupBy("part_no", F.element_at(goes, 1).alias("g")).count().collect()
         table = np.zeros((last + 1 - at, len(counts)), dtype=np.int64)
         for part, g, n in taken:
             table[part - at, g] = n
@@ -88,7 +70,7 @@ def _states(rows: DataFrame, counts: list[int]) -> dict[int, np.ndarray]:
         def left(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"g": np.arange(len(seats)), "n": _walked(pdf, seats)[1]})
 
-        after = rows.where(F.col("part") == at).groupBy("part").applyInPandas(left, "g int, n long").collect()
+        after = rows.where(F.col("part_no") == at).groupBy("part_no").applyInPandas(left, "g int, n long").collect()
         if after:
             free = np.zeros(len(counts), dtype=np.int64)
             for g, n in after:
@@ -97,13 +79,13 @@ def _states(rows: DataFrame, counts: list[int]) -> dict[int, np.ndarray]:
     return states
 
 
-def greedy_quotas(member: DataFrame, counts: list[int], order: list[str | Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+def greedy_quotas(member: DataFrame, counts: list[int], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """``pos``, ``sel_group``, ``sel_rank``: every group in turn takes its first ``counts[g]`` rows that no earlier one took.
 
     ``member``: ``pos`` (unique), ``groups`` (ascending, without repeats, null-free) and the columns of ``order``, which
     must tell all rows apart. Rows without a group are never taken. The result is computed from a stored copy.
     """
-    rows = _cut(member.where(F.size("groups") > 0), order, range_rows)
+    rows = stored_ranges(member.where(F.size("groups") > 0), order, range_rows)
     states = _states(rows, counts)
     schema = "pos long, sel_group int, sel_rank int"
     if not states:
@@ -114,5 +96,5 @@ def greedy_quotas(member: DataFrame, counts: list[int], order: list[str | Column
         taken, _ = _walked(pdf, np.array(seats[key[0]], dtype=np.int64))
         return pd.DataFrame([(p, g, counts[g] - n + 1) for p, g, n in taken], columns=["pos", "sel_group", "sel_rank"])
 
-    reached = rows.where(F.col("part") <= max(states))
-    return reached.groupBy("part").applyInPandas(resolve, schema)
+    reached = rows.where(F.col("part_no") <= max(states))
+    return reached.groupBy("part_no").applyInPandas(resolve, schema)

@@ -14,7 +14,7 @@ from itembank.operators import quota
 from itembank.operators import report as rp
 from itembank.operators import review as rv
 from itembank.operators import select as sel
-from itembank.operators.ordered import row_numbers, running_sum
+from itembank.operators.ordered import row_numbers, running_sum, stored_ranges
 from itembank.operators.skew import attach_per_key
 
 BANK = "pos long, stem string, options array<string>, answer string, review_flags array<string>"
@@ -383,3 +383,29 @@ def test_consensus_targets(spark):
                               "pos long, answer string, stem string, answer_format string, answer_source struct<source_file:string>, review_flags array<string>")
     reads = _reads(spark, [(9, 1, "line", "raw", "TF", True, False)])
     assert {r["pos"]: r["review_flags"] for r in rv.answer_consensus(q, reads).collect()} == {1: [], 2: [rv.FLAG_ZOOM], 3: [], 4: ["x", rv.FLAG_ZOOM], 5: []}
+
+
+@pytest.mark.parametrize("range_rows", [7, 1000])
+def test_retention_of_files_of_one_second(spark, range_rows):
+    """Nearly all files share a second and many a size: ranges go through the path, the result through brute force."""
+    pick = random.Random(3)
+    rows = [(f"f{i:03d}", pick.choice([1, 5, 4096, 90000]), 500 if i % 9 else pick.randrange(100)) for i in range(150)]
+    total = sum(r[1] for r in rows)
+    files = spark.createDataFrame(rows, "path string, size long, mtime long")
+    want, before = set(), 0
+    for path, size, mtime in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        if total - before > total // 3 or mtime < 40:
+            want.add(path)
+        before += size
+    got = dc.retention(files, total // 3, 40, range_rows)
+    assert {r["path"] for r in got.collect()} == want
+    assert got.columns == files.columns
+    assert dc.retention(files.limit(0), 10, 40, range_rows).collect() == []
+
+
+def test_stored_ranges_split_a_hot_first_column(spark):
+    rows = stored_ranges(spark.range(90).select(F.lit(1).alias("a"), F.col("id").alias("b")), ["a", "b"], 10)
+    sizes = [r["n"] for r in rows.groupBy("part_no").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 90 and len(sizes) >= 5 and max(sizes) <= 30
+    ordered = [r["b"] for r in rows.orderBy("part_no", "place_no").collect()]
+    assert ordered == list(range(90))
