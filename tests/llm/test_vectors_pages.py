@@ -146,6 +146,33 @@ def test_classes_of_the_whole_page_drop_nothing():
         assert extract.main_text(page, [], []) == "Own"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div id='page' class='no-ads'><article><h1>H</h1><p>Own</p></article></div>", "H\nOwn"),
+    ("<div class='layout with-menu'><nav>N</nav><article><p>Own</p></article></div>", "Own"),
+    ("<form action='x'><div class='menu'>M</div><article><p>Own</p></article></form>", "Own"),
+    ("<nav>N</nav><form><p>Own words</p></form>", "Own words"),
+    ("<article class='post share-enabled'><p>Own</p></article>", "Own"),
+    ("<div class='widget'><article><h1>H</h1><p>Own</p></article></div><footer>F</footer>", "H\nOwn"),
+    ("<article><p>Own</p><div class='related-work'><p>kin</p></div><div class='related-posts'>x</div></article>", "Own\nkin"),
+    ("<article><h1>T</h1><p>Own text of some length</p></article><div class='latest'><article><h2>Tease</h2></article></div>", "T\nOwn text of some length"),
+    ("<article><p>One</p></article><article><p>Two</p></article>", "One\nTwo"),
+    ("<aside><article>Tease</article></aside><div><p>Own</p></div>", "Own"),
+    ("<article><p>Own <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", "Own x=1"),
+    ("<p>Own</p><div class='comments'><article class='comment'><p>reader, longer than all the rest</p></article></div>", "Own"),
+    ("<article><p>Own</p></article><div class='site-nav-wrap'>N</div>", "Own"),
+    ("<p>Own</p><div class='site-nav-wrap'>N</div>", "Own"),
+])
+def test_names_around_the_content(page, text):
+    assert extract.main_text(page, [], []) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "deep", "<p>" * 30_000 + "deep", "<i>" * 50_000 + "deep" + "</b>" * 50_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000 + "deep",
+    "<article>" * 20_000 + "deep"])
+def test_any_depth(page):
+    assert extract.main_text(page, [], []) == "deep"
+
+
 def test_template_classes(spark):
     table = spark.createDataFrame([(f"h{i % 2}", i, PAGE % i) for i in range(6)], "host string, row long, html string")
     for r in extract.templates(table).collect():
@@ -162,7 +189,7 @@ def test_pages_query(spark, sf):
 
 def test_registered():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline(spark, sf, hard, empty):
