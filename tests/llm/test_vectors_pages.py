@@ -140,6 +140,19 @@ def test_main_text(spark):
     assert extract.extract(table.limit(0)).count() == 0
 
 
+def test_large_hosts_are_dealt_over_parts(spark, monkeypatch):
+    """Every part of a host meets its template; the pages without a host meet none."""
+    plain = "<html><body><p>Same on all</p><p>Own text %d.</p></body></html>"
+    rows = [(i, f"http://{'big' if i % 5 else 'less'}.example/{i}" if i % 4 else None, plain % i) for i in range(120)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Own text {i}." if url else f"Same on all\nOwn text {i}." for i, url, _ in rows}
+    for pages, hosts in ((7, 1000), (7, 1), (1000, 1000)):
+        monkeypatch.setattr(extract, "PART_PAGES", pages)
+        monkeypatch.setattr(extract, "HOT_HOSTS", hosts)
+        got = extract.extract(table).collect()
+        assert len(got) == 120 and {r.page_id: r.text for r in got} == want
+
+
 def test_classes_of_the_whole_page_drop_nothing():
     for page in ("<html class='no-ads'><body class='has-sidebar'><article><p>Own</p></article><div class='menu'>M</div></body></html>",
                  "<body id='with-menu'><p>Own</p><div class='sidebar'>S</div></body>"):
