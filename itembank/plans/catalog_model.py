@@ -52,13 +52,13 @@ def retry_missing(spark, sf):
     return found.select("id", "round")
 
 
-@query("bank", """, b AS (SELECT *, length(regexp_replace(stem, '\\s+', '', 'g')) AS n FROM bank WHERE NOT regexp_matches(stem, '^\\s*[0-9]')),
+@query("bank", """, b AS (SELECT *, length(regexp_replace(regexp_replace(stem, '^\\s*1[.．、]', ''), '\\s+', '', 'g')) AS n FROM bank),
     s AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN CASE WHEN n >= 9 THEN 'corrected' ELSE 'unresolved' END ELSE 'unresolved' END AS status FROM b)
     SELECT pos, status FROM s""")
 def safe_patch(spark, sf):
     """Re-read stems: equal, one character misread and anchored, cut short, or read in two ways."""
     p = F.col("pos") % 4
-    b = v.bank(spark, sf).filter(~F.col("stem").rlike(r"\A\s*[0-9]"))
+    b = v.bank(spark, sf)
     # A marker no stem contains stands for the misread character.
     before = F.when(p == 1, F.concat("stem", F.lit("¤"))).otherwise(F.col("stem"))
     first = (

@@ -155,10 +155,11 @@ def corpora(spark, sf):
     )
 
 
-@query("items", "SELECT pos, sha256(regexp_replace(stem, '\\s+', '', 'g')) AS compared FROM items WHERE number <> ''")
+@query("items", "SELECT pos, sha256(regexp_replace(stem, '\\s+', '', 'g')) AS compared FROM items")
 def ocr_compare(spark, sf):
-    i = v.items(spark, sf).filter("number <> ''")
-    printed = F.concat("number", F.lit(". "), "stem")
+    """Printed with its number, if it has one, a stem compares equal to itself without white space."""
+    i = v.items(spark, sf)
+    printed = F.when(F.col("number") != "", F.concat("number", F.lit(". "), "stem")).otherwise(F.col("stem"))
     return i.select("pos", F.sha2(tx.ocr_compare(tx.strip_field_label(printed, F.lit("stem"), "number")), 256).alias("compared"))
 
 
