@@ -5,11 +5,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from itembank.operators.ingest import ingest_plan
+from itembank.operators.ingest import ingest_plan, with_fingerprint
 from itembank.operators.report import MIN_ELAPSED, token_columns
 
 PROGRESS_OUT = "session long, stage string, total long, done double, remaining_files long, eta_seconds long"
@@ -73,21 +73,41 @@ def usage_windows(usage: DataFrame, keys: list[str], time: str, window: str, lat
     ).select(*keys, F.col("window.start").alias("start"), "input", "output", "total", "calls")
 
 
+#: Hex digits of a fingerprint that name its folder: a batch looks into the folders of its own fingerprints only.
+PREFIX_DIGITS = 2
+
+
+def held_fingerprints(spark: SparkSession, bank_path: str, prefixes: list[str], but: int) -> DataFrame:
+    """``fingerprint`` of the bank's rows in the folders ``prefixes``, without those of batch ``but``."""
+    # Names of folders are text, also where all of them look like numbers.
+    stored = spark.read.schema("fingerprint string, batch long, prefix string").parquet(bank_path)
+    return stored.filter((F.col("batch") != but) & F.col("prefix").isin(prefixes)).select("fingerprint")
+
+
 def ingest_stream(items: DataFrame, bank_path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Ingest reviewed rows as they arrive, each fingerprint once. Returns the writer; call ``start``.
 
     Every micro-batch owns one folder below ``bank_path`` and overwrites it, so replaying a batch
     after a failure adds nothing twice; the bank a batch is checked against leaves its own folder out.
+    Inside it rows lie by the first digits of their fingerprint (``batch=…/prefix=…``), and a batch reads the
+    folders of the digits it holds itself, of other rows only the fingerprint.
     """
+    prefix = F.substring("fingerprint", 1, PREFIX_DIGITS)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = prepare(batch) if prepare else batch
-        columns = ["pos", "stem", "options", "answer", "remark", "fingerprint"]
+        rows = with_fingerprint(prepare(batch) if prepare else batch).persist()
         try:
-            held = spark.read.parquet(bank_path).filter(F.col("batch") != batch_id).select("fingerprint")
-        except AnalysisException:  # the first batch meets no bank
-            held = spark.createDataFrame([], "fingerprint string")
-        added = ingest_plan(held, rows).filter("outcome = 'added'").select(*columns)
-        added.write.mode("overwrite").parquet(f"{bank_path}/batch={batch_id}")
+            # At most 16 ** PREFIX_DIGITS values.
+            prefixes = [r[0] for r in rows.filter("fingerprint IS NOT NULL").select(prefix).distinct().collect()]
+            try:
+                held = held_fingerprints(spark, bank_path, prefixes, batch_id)
+            except AnalysisException:  # the first batch meets no bank
+                held = spark.createDataFrame([], "fingerprint string")
+            added = ingest_plan(held, rows).filter("outcome = 'added'").select(
+                "pos", "stem", "options", "answer", "remark", "fingerprint", prefix.alias("prefix"))
+            added.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{bank_path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

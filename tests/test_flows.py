@@ -133,6 +133,20 @@ def test_ingest_stream_replays_without_repeats(spark, tmp_path):
     spark.createDataFrame([row(3, " a "), row(4, "c")], cols).write.mode("append").parquet(src)
     start("one")
     assert {r["pos"] for r in spark.read.parquet(bank).collect()} == {1, 2, 4}
+    start("two")  # all again from the beginning, as batch 0: its own folder is written anew
+    assert sorted(r["pos"] for r in spark.read.parquet(bank).collect()) == [1, 2, 4]
+
+
+def test_a_batch_reads_the_folders_of_its_own_fingerprints(spark, tmp_path):
+    bank = str(tmp_path / "bank")
+    digits = [f"{i % 10}{i // 10 % 10}" for i in range(100)]  # names of folders that look like numbers
+    rows = spark.createDataFrame([(f"{d}ab", i % 3, d) for i, d in enumerate(digits)], "fingerprint string, batch long, prefix string")
+    rows.write.partitionBy("batch", "prefix").parquet(bank)
+    held = st.held_fingerprints(spark, bank, ["00", "10", "07"], 1)
+    assert {r["fingerprint"] for r in held.collect()} == {f"{d}ab" for i, d in enumerate(digits) if d in ("00", "10", "07") and i % 3 != 1}
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "prefix#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert len(held.collect()) < 4 and st.held_fingerprints(spark, bank, [], 1).collect() == []
 
 
 def test_selection_flow(spark, sf):
