@@ -153,8 +153,9 @@ def version_history(spark, sf):
 # --- streams ----------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of files. A stream takes one file only by a pattern, so the name is one."""
     schema = v.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(spark, stream, mode, keys):

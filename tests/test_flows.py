@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from itembank.operators import infer as inf
 from itembank.operators import report as rp
-from itembank.plans import curate
+from itembank.plans import catalog_model, curate  # noqa: F401
+from itembank.plans.registry import QUERIES
 from itembank.sources import bank as bk
 from itembank.sources import versions as vs
 from itembank.sources import views as v
@@ -188,3 +189,14 @@ def test_bundle_stores_what_it_refers_to(spark, tmp_path):
 def test_digest_tells_nulls_apart(spark):
     one, two = (spark.createDataFrame([r], "a string, b string") for r in (("x", None), (None, "x")))
     assert vs.content_digest(one) != vs.content_digest(two)
+
+
+def test_streams_read_a_table_of_many_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "user", 0, "abc"), (1, "assistant", 1, "de"), (2, "user", 0, "f")], "conv_id long, role string, turn int, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    for folder in ("many", "one"):
+        got = {tuple(r) for r in QUERIES["usage_stream"](spark, str(tmp_path / folder)).collect()}
+        assert got == {(1, 3, 2, 5, 2), (2, 1, 0, 1, 1)}
