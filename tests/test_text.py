@@ -164,3 +164,8 @@ def test_locator_rows(spark):
     for r in got[: len(GOOD)]:
         assert r["error"] is None and [(x["page"], x["bbox"]) for x in r["regions"]] == [(4, [float(x) for x in B])]
     assert all(r["error"] is not None and r["regions"] is None for r in got[len(GOOD):])
+
+
+def test_locator_rows_parse_a_reply_a_set_number_of_times(spark):
+    plan = spark.createDataFrame([], "r string, p array<int>").select(ocr.locator_rows("r", "p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_json") <= 20
