@@ -45,24 +45,26 @@ def gaps(present: DataFrame, docs: DataFrame, seen: DataFrame | None = None) ->
         events = events.union(unknown.select(*KEY, "n", empty, "seen_lo", "seen_hi"))
     events = events.withColumn("stretch", F.floor(F.col("n") / WIDTH))
 
-    inner = W.partitionBy(*KEY, "stretch").orderBy("n")
-    below, above = inner.rowsBetween(W.unboundedPreceding, -1), inner.rowsBetween(1, W.unboundedFollowing)
+    # What follows a row precedes it in the reverse order: a frame that only grows is passed once, one that shrinks once per row.
+    # A document's own row and a number 0 of it are told apart by ``there``, so the two orders are reverse to each other.
     there = F.col("here").isNotNull()
-    near = events.select("*", F.last("here", ignorenulls=True).over(below).alias("b1"), F.first("here", ignorenulls=True).over(above).alias("a1"), F.lead("n").over(inner).alias("next"))
+    inner, reverse = W.partitionBy(*KEY, "stretch").orderBy("n", there), W.partitionBy(*KEY, "stretch").orderBy(F.desc("n"), there.desc())
+    below, above = (w.rowsBetween(W.unboundedPreceding, -1) for w in (inner, reverse))
+    near = events.select("*", F.last("here", ignorenulls=True).over(below).alias("b1"), F.last("here", ignorenulls=True).over(above).alias("a1"), F.lead("n").over(inner).alias("next"))
     # The second one is the first one's own neighbour, wrapped so that none counts as one, too.
     wrapped = lambda c: F.when(there, F.struct(F.col(c).alias("x")))
-    near = near.select("*", F.last(wrapped("b1"), ignorenulls=True).over(below)["x"].alias("b2"), F.first(wrapped("a1"), ignorenulls=True).over(above)["x"].alias("a2"))
+    near = near.select("*", F.last(wrapped("b1"), ignorenulls=True).over(below)["x"].alias("b2"), F.last(wrapped("a1"), ignorenulls=True).over(above)["x"].alias("a2"))
 
     edges = near.groupBy(*KEY, "stretch").agg(
         F.min("n").alias("start"), F.max("here").alias("l1"), F.max_by(F.when(there, F.col("b1")), F.when(there, F.col("n"))).alias("l2"),
         F.min("here").alias("f1"), F.min_by(F.when(there, F.col("a1")), F.when(there, F.col("n"))).alias("f2"))
     outer = W.partitionBy(*KEY).orderBy("stretch")
-    before, after = outer.rowsBetween(W.unboundedPreceding, -1), outer.rowsBetween(1, W.unboundedFollowing)
-    edges = edges.select("*", F.last("l1", ignorenulls=True).over(before).alias("p1"), F.first("f1", ignorenulls=True).over(after).alias("n1"), F.lead("start").over(outer).alias("after"))
+    before, after = (w.rowsBetween(W.unboundedPreceding, -1) for w in (outer, W.partitionBy(*KEY).orderBy(F.desc("stretch"))))
+    edges = edges.select("*", F.last("l1", ignorenulls=True).over(before).alias("p1"), F.last("f1", ignorenulls=True).over(after).alias("n1"), F.lead("start").over(outer).alias("after"))
     second = lambda own, far, one: F.when(F.col(one).isNotNull(), F.struct(F.coalesce(own, far).alias("x")))
     edges = edges.select(
         *KEY, "stretch", "p1", "n1", "after", F.last(second("l2", "p1", "l1"), ignorenulls=True).over(before)["x"].alias("p2"),
-        F.first(second("f2", "n1", "f1"), ignorenulls=True).over(after)["x"].alias("n2"))
+        F.last(second("f2", "n1", "f1"), ignorenulls=True).over(after)["x"].alias("n2"))
 
     both = near.join(edges, [*KEY, "stretch"]).join(docs, KEY)
     lower = F.array_compact(F.array("b1", "b2", "p1", "p2"))

@@ -409,3 +409,12 @@ def test_stored_ranges_split_a_hot_first_column(spark):
     assert sum(sizes) == 90 and len(sizes) >= 5 and max(sizes) <= 30
     ordered = [r["b"] for r in rows.orderBy("part_no", "place_no").collect()]
     assert ordered == list(range(90))
+
+
+def test_gaps_pass_no_frame_once_per_row(spark):
+    """A frame from the next row to the last one is gone through anew for every row."""
+    items = spark.createDataFrame([], "pos long, kind string, source_file string, number string, source_pages array<int>")
+    docs = spark.createDataFrame([], "id string, role string, last_question_number int, continuous_numbering boolean, pages int")
+    for spans in (lk.coverage_worklist(items, docs), lk.missing_worklist(items, docs), lk.coverage(items, docs)):
+        plan = spans._jdf.queryExecution().analyzed().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
