@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from itembank.session import checkpoint_dir
 
-WIDTH = 1 << 20
+WIDTH = 1 << 14
 #: Rows of a stored range, the most one task holds.
 RANGE_ROWS = 200_000
 

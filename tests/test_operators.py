@@ -418,3 +418,13 @@ def test_gaps_pass_no_frame_once_per_row(spark):
     for spans in (lk.coverage_worklist(items, docs), lk.missing_worklist(items, docs), lk.coverage(items, docs)):
         plan = spans._jdf.queryExecution().analyzed().toString().lower()
         assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_row_numbers_deal_dense_places_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = row_numbers(spark.range(60_000).withColumnRenamed("id", "pos"), [], "pos", "no")
+        assert got.filter("no <> pos + 1").isEmpty()
+        assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
