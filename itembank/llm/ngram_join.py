@@ -47,6 +47,8 @@ GROUP = 6
 MEMBERS, BLOCK_BYTES = 256, 8 << 20
 #: Pairs of a member and a block that are verified first.
 BEST = 8
+#: Bits that tell which keys are asked for (2 MB, whatever the size of the input).
+MARKS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,6 +173,16 @@ def _levels(mean: float):
     return run
 
 
+def ahead(order: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` tokens in order, and the rare ones after them with the same leading 32 bits as the last: the bits tell where
+    a prefix ends."""
+    if size >= len(order):
+        return order
+    parted = np.partition(order, size - 1)
+    first, rest = parted[:size], parted[size:]
+    return np.concatenate([first, rest[rest >> np.uint64(32) == parted[size - 1] >> np.uint64(32)]])
+
+
 def _prefixes(width: int, percent: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = Shingles(width), np.frombuffer(zlib.decompress(packed), np.uint8)
@@ -182,7 +194,7 @@ def _prefixes(width: int, percent: int, packed: bytes):
                 if len(elements) >= least:
                     high = level[(elements & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                     order, size = high << np.uint64(62) | elements >> np.uint64(2), prefix_size(len(elements), percent)
-                    first = np.sort(np.partition(order, size - 1)[:size] if size < len(order) else order)
+                    first = np.sort(ahead(order, size))
                     for column, value in zip(made, (doc_id, len(elements), xxhash.xxh3_128_digest(elements.tobytes()), first.astype("<u8").tobytes())):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["least", "n", "digest", "prefix"])
@@ -231,14 +243,12 @@ def _plausible(percent: int):
 
 
 def _sets(width: int):
-    """``node`` and ``set`` of rows whose text has the set that was asked for."""
+    """``digest`` and ``set`` of every text that has shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for part in slices(batches, "text"):
-            made = [shingles(t) for t in part.column("text").to_pylist()]
-            same = [xxhash.xxh3_128_digest(m.tobytes()) == d for m, d in zip(made, part.column("digest").to_pylist())]
-            rows = pa.RecordBatch.from_arrays([part.column("node"), pa.array([m.tobytes() for m in made], pa.binary())], ["node", "set"])
-            yield rows.filter(pa.array(same, pa.bool_()))
+            made = [m.tobytes() for m in map(shingles, part.column("text").to_pylist()) if len(m)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(m) for m in made], pa.binary()), pa.array(made, pa.binary())], ["digest", "set"])
 
     return run
 
@@ -269,7 +279,9 @@ def _pairs(percent: int):
 
 
 def most_shared(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray) -> np.ndarray:
-    """The most tokens that each set on the left can share with each on the right, given the beginnings of all (``may_be_similar``)."""
+    """The most tokens that each set on the left can share with each on the right, given the beginnings of all (``may_be_similar``), or
+    the leading bits of these: tokens that agree in them count as shared. No set goes on with the bits of its beginning's end (``ahead``)."""
+    most = np.iinfo(left[0].dtype).max
     tokens = np.intersect1d(np.concatenate(left), np.concatenate(right))
 
     def held(sets: list[np.ndarray]) -> np.ndarray:
@@ -280,17 +292,52 @@ def most_shared(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarr
         out[row[hit], column[hit]] = 1
         return out
 
-    ends = [np.array([s[-1] if len(s) < n else np.iinfo(np.uint64).max for s, n in zip(sets, sizes)], np.uint64) for sets, sizes in ((left, n_left), (right, n_right))]
+    ends = [np.array([s[-1] if len(s) < n else most for s, n in zip(sets, sizes)], left[0].dtype) for sets, sizes in ((left, n_left), (right, n_right))]
     known_left = np.array([np.searchsorted(s, np.minimum(ends[1], end), "right") for s, end in zip(left, ends[0])])
     known_right = np.array([np.searchsorted(s, np.minimum(ends[0], end), "right") for s, end in zip(right, ends[1])]).T
     rest = np.minimum(n_left[:, None] - known_left, n_right[None, :] - known_right)
-    return (held(left) @ held(right).T).astype(np.int64) + rest
+    # Different tokens of one set may agree in the leading bits.
+    ties_left, ties_right = (np.array([int((s[1:] == s[:-1]).sum()) for s in sets]) for sets in (left, right))
+    return (held(left) @ held(right).T).astype(np.int64) + rest + np.minimum(ties_left[:, None], ties_right)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(packed: bytes, then):
+    """``then`` of the rows whose ``slot`` is marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column("slot").to_numpy()
+                yield batch.filter(pa.array(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1, pa.bool_()))
+
+        yield from then(kept())
+
+    return run
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, then, schema: str) -> DataFrame:
+    """``then`` of those of ``rows`` whose ``key`` is in ``wanted``, and of the few others whose digest of MARKS values is: what a join with
+    ``wanted`` drops need not be shuffled for it."""
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(MARKS))
+    told = wanted.select((slot + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    marks = bytearray(MARKS // 8)
+    for r in told.collect():
+        size = len(r["bits"])
+        marks[(r["part"] - 1) * size:r["part"] * size] = r["bits"]
+    return rows.withColumn("slot", slot).mapInArrow(_marked(zlib.compress(bytes(marks)), then), schema)
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes by the leading 32 bits of their tokens, which keep the order."""
     for batch in batches:
-        lists = [np.array(v, "<i8").tobytes() for v in batch.column("list").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.binary())], ["node", "buckets"])
+        short = [(np.frombuffer(p, "<u8") >> np.uint64(32)).astype("<u4").tobytes() for p in batch.column("prefix").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], ["node", "prefix"])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
 
 
 def _across(percent: int, best: int | None):
@@ -303,20 +350,18 @@ def _across(percent: int, best: int | None):
                 (a, comp_a, n_a, near_a, last_a), (b, comp_b, n_b, near_b, last_b) = (
                     [s.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "near", "last")] for s in (left, right))
                 both_odd = right.field("is_odd").to_numpy(zero_copy_only=False)
-                first, second = ([np.frombuffer(p, "<u8") for p in s.field("prefix").to_pylist()] for s in (left, right))
+                first, second = ([np.frombuffer(p, "<u4") for p in s.field("prefix").to_pylist()] for s in (left, right))
                 most = most_shared(first, n_a, second, n_b)
                 both = n_a[:, None] + n_b
                 # Two that are both outside the largest component meet twice.
                 ahead = last_a[:, None] - last_b
                 fits = (near_a[:, None] | (ahead > 0)) & (near_b | (ahead < 0)) & ((100 + percent) * most >= percent * both)
                 fits &= (comp_a[:, None] != comp_b) & ~(both_odd & (b < a[:, None]))
-                # Members meet in every large bucket that they share; the pair is told in the first of them.
+                # Members meet in every large bucket that they share; the pair is told in the first of them. The lists hold the earlier ones.
                 x, y = np.nonzero(fits)
                 if len(x):
-                    mine, theirs = ([np.frombuffer(v, "<i8") for v in s.field("buckets").to_pylist()] for s in (left, right))
-                    here = batch.column("bucket")[i].as_py()
-                    shared = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
-                    earlier = shared[shared < here]
+                    mine, theirs = (_lists(s.field("buckets")) for s in (left, right))
+                    earlier = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
                     if len(earlier):
                         first_m, first_t = (np.array([np.isin(earlier, v, assume_unique=True) for v in lists]) for lists in (mine, theirs))
                         fits[x, y] = ~(first_m[x] & first_t[y]).any(axis=1)
@@ -380,8 +425,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         """Those of ``pairs`` that are linked. Only documents of a pair are read again."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         asked = stage(nodes.join(classes, "node").select("node", F.col("least").alias("doc_id"), "digest"), folder, f"{name}-asked")
-        texts = given.join(asked, "doc_id").select("node", "digest", "text")
-        sets = stage(texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"]), folder, f"{name}-sets")
+        sets = marked(given, "doc_id", asked.select("doc_id"), _sets(width), "digest binary, set binary").dropDuplicates(["digest"])
+        sets = stage(sets.join(asked, "digest").select("node", "set"), folder, f"{name}-sets")
         full = pairs.join(of("a", sets, "set"), "a").join(of("b", sets, "set"), "b")
         return stage(full.mapInArrow(_verify(percent), "a long, b long"), folder, name)
 
@@ -394,32 +439,40 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     both = pairs.join(of("a", prefixes, "prefix", "n"), "a").join(of("b", prefixes, "prefix", "n"), "b")
     links = verified(stage(both.mapInArrow(_plausible(percent), "a long, b long"), folder, "likely"), "links")
 
-    large = members.where(F.col("size") >= CLASSES[0]).select("bucket", "node", "near", "last")
+    large = members.where(F.col("size") >= CLASSES[0]).select("bucket", "node", "n", "near", "last")
+    joined = links
     for name, best in (("near", BEST), ("all", None)):
         # The likeliest pairs first: what they link need not be searched.
-        comps = components(links, folder, f"{name}-comps")
+        comps = components(joined, folder, f"{name}-comps")
         held = stage(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), folder, f"{name}-held")
-        per_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        split = per_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_ = stage(held.join(split, "bucket"), folder, f"{name}-open")
+        per_comp = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+        blocks = F.ceil(F.greatest(F.sum("size") / MEMBERS, 4 * F.sum("tokens") / BLOCK_BYTES))
+        split = per_comp.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), blocks.alias("blocks")).where("comps > 1")
+        place = F.struct("bucket", "blocks", (F.col("comp") != F.col("main")).alias("is_odd"))
         # A member's open buckets, in order; no more than its combinations.
-        lists = open_.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("list")).mapInArrow(_packed, "node long, buckets binary")
-        open_ = open_.join(prefixes, "node").join(lists, "node")
-        heavy = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.octet_length("prefix")) / BLOCK_BYTES)).alias("blocks"))
-        dealt = open_.join(heavy, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("is_odd", F.col("comp") != F.col("main"))
-        whole = dealt.select("bucket", "blocks", "chunk", "is_odd", F.struct("node", "comp", "n", "near", "last", "prefix", "buckets", "is_odd").alias("member"))
-        other = whole.groupBy("bucket", "chunk").agg(F.collect_list("member").alias("other"))
-        odd = whole.where("is_odd").groupBy("bucket", "chunk", "blocks").agg(F.collect_list("member").alias("odd"))
-        met = odd.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("chunk").join(
-            other.withColumnRenamed("chunk", "to"), ["bucket", "to"]).select("bucket", "odd", "other")
+        nodes = held.join(split, "bucket").groupBy("node", "comp", "n", "near", "last").agg(F.array_sort(F.collect_list(place)).alias("places"))
+        nodes = stage(nodes, folder, f"{name}-open")
+        # A prefix goes to the buckets of its node last, once to each.
+        short = marked(prefixes.select("node", "prefix"), "node", nodes.select("node"), _short, "node long, prefix binary")
+        placed = nodes.join(short, "node").select("*", F.posexplode("places").alias("at", "place")).withColumn("buckets", F.slice("places.bucket", F.lit(1), F.col("at")))
+        member = F.struct("node", "comp", "n", "near", "last", "prefix", "buckets", F.col("place.is_odd").alias("is_odd"))
+        whole = placed.select("place.bucket", "place.blocks", F.pmod(F.xxhash64("node"), F.col("place.blocks")).alias("chunk"), member.alias("member"))
+        home = stage(whole.groupBy("bucket", "blocks", "chunk").agg(F.collect_list("member").alias("other")), folder, f"{name}-home")
+        odd = F.filter("other", lambda m: m["is_odd"])
+        within = home.select(odd.alias("odd"), "other").where(F.size("odd") > 0)
+        # In a bucket of several blocks, those outside the largest component visit the others.
+        visitors = home.where("blocks > 1").select("bucket", "chunk", "blocks", odd.alias("odd")).where(F.size("odd") > 0)
+        visitors = visitors.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("to <> chunk").select("bucket", "to", "odd")
+        hosts = home.where("blocks > 1").select("bucket", F.col("chunk").alias("to"), "other")
+        met = within.union(visitors.join(hosts, ["bucket", "to"]).select("odd", "other"))
         found = stage(met.mapInArrow(_across(percent, best), "a long, b long").distinct(), folder, f"{name}-met")
-        links = links.union(verified(found, f"{name}-links"))
+        joined = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(verified(found, f"{name}-links"))
 
     # Different texts of one id are one document.
     several_sets = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     texts_of = real.distinct().join(several_sets, "doc_id", "left_semi").join(classes.select("digest", "n", "node"), ["digest", "n"])
     shared = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    final = components(links.union(shared), folder, "final")
+    final = components(joined.union(shared), folder, "final")
 
     grouped = classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = grouped.join(grouped.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("digest", "n", "copies", "component")

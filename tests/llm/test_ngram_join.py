@@ -102,3 +102,48 @@ def test_prefixes_hold_enough():
             for size_class in j.size_classes(n, percent):
                 dealt = j.groups(size_class, percent)
                 assert not dealt or j.prefix_size(n, percent) >= j.errors(n, percent) + 1 + 3 * dealt
+
+
+def test_leading_bits_bound_what_is_shared():
+    """Never below the truth, whichever tokens agree in their leading 32 bits; equal to the bound of whole tokens where none do."""
+    rng = np.random.default_rng(5)
+    for turn in range(200):
+        spread = 40 if turn % 2 else 1 << 31
+        def sets(count):
+            tokens = [rng.integers(0, spread, 60).astype(np.uint64) << np.uint64(32) | rng.integers(0, 4, 60).astype(np.uint64) for _ in range(count)]
+            return [np.unique(x[:rng.integers(1, 60)]) for x in tokens]
+        left, right = sets(4), sets(3)
+        right += [np.unique(np.concatenate([left[0], right[0][:3]]))]
+        begun = [[np.sort(j.ahead(s, int(rng.integers(1, len(s) + 1)))) for s in side] for side in (left, right)]
+        sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+        short = [[(s >> np.uint64(32)).astype("<u4") for s in side] for side in begun]
+        most = j.most_shared(short[0], sizes[0], short[1], sizes[1])
+        true = np.array([[len(np.intersect1d(x, y)) for y in right] for x in left])
+        assert (most >= true).all()
+        if spread > 40:
+            assert (most == j.most_shared(begun[0], sizes[0], begun[1], sizes[1])).all()
+
+
+def test_join_drops_what_was_not_asked_for(spark):
+    """A marked table keeps every row that is asked for, null keys apart, and few others."""
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 20_000)] + [(None, "none"), (7, None)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in (-500, -3, 7, 19_999, 40_000)], "doc_id long")
+    def told(batches):
+        for batch in batches:
+            yield batch.select(["doc_id", "text"])
+
+    got = j.marked(rows, "doc_id", wanted, told, rows.schema).collect()
+    assert {(r.doc_id, r.text) for r in got} >= {(-500, "t-500"), (-3, "t-3"), (7, "t7"), (7, None), (19_999, "t19999")}
+    assert len(got) < 10 and j.marked(rows, "doc_id", wanted.limit(0), told, rows.schema).count() == 0
+
+
+def test_texts_and_prefixes_are_cut_down_before_they_are_joined(spark, monkeypatch):
+    """Of 400 texts only those of candidate pairs are shuffled to the pairs, each prefix of a large bucket once to each."""
+    rng = random.Random(3)
+    docs = {i: " ".join(f"v{rng.randrange(10**6)}" for _ in range(50)) for i in range(400)} | dict(enumerate(variants(rng, 40), 1000))
+    seen, marked = [], j.marked
+    monkeypatch.setattr(j, "marked", lambda rows, key, wanted, *then: seen.append((key, out := marked(rows, key, wanted, *then), wanted)) or out)
+    got = j.jaccard_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(docs, 3, 90)[0]
+    kept = [(key, out.count(), wanted.distinct().count()) for key, out, wanted in seen]
+    assert [k for k, *_ in kept] == ["doc_id", "node", "doc_id", "node", "doc_id"] and all(n <= m + 2 <= 42 for _, n, m in kept)
