@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itembank.llm.common import query, run_folder, slices, stage, table
-from itembank.llm.setsketch import Shingles, components, similar
+from itembank.llm.setsketch import _GOLDEN, _mix, components, similar
 from itembank.operators.skew import attach_per_key
 
 #: The sketch: counters in all (32 MB a task while it counts, 4 MB of levels afterwards), and in one slice of it.
@@ -45,6 +45,8 @@ CLASSES = (16, 1024)
 GROUP = 6
 #: Members and bytes of one block of a bucket.
 MEMBERS, BLOCK_BYTES = 256, 8 << 20
+#: Bytes of text whose words are cut and hashed at once; a longer word gets its digest by itself.
+PIECE_BYTES, LONG_WORD = 1 << 20, 64
 #: Pairs of a member and a block that are verified first.
 BEST = 8
 #: Bits that tell which keys are asked for (2 MB, whatever the size of the input).
@@ -57,6 +59,67 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The first k of eight bytes, little-endian.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of texts that lie in ``data`` one after the other, and the number of words before each bound."""
+    word = ~_SPACE[data]
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    begin[inner], end[inner - 1] = word[inner], word[inner - 1]
+    start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size, padded = stop - start, np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    codes = size.astype(np.uint64)
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        live = live[size[live] > at]
+        part = eight[start[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        codes[live] = _mix(codes[live] * _GOLDEN + part)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        codes[i] = xxhash.xxh3_64_intdigest(padded[start[i]:stop[i]].tobytes())
+    return codes, np.searchsorted(start, bounds)
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Digests of the distinct word shingles of every text, sorted. Words are runs of bytes other than white space of ASCII; A-Z are
+    lower-cased; fewer than ``width`` words are one shingle, no words (or no text) none. All words of ``texts`` are hashed together."""
+    held = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    if not len(held):
+        return []
+    bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset:held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    codes, first = _words(data, bounds - bounds[0])
+    counts, total = np.diff(first), len(codes)
+    made = np.full(total, width, np.uint64)
+    whole = max(0, total - width + 1)
+    for i in range(width):
+        made[:whole] = _mix(made[:whole] * _GOLDEN + codes[i:i + whole])
+    # A shingle ends in its text, or is the whole of a text of fewer words.
+    kept = np.arange(total) + width <= np.repeat(first[1:], counts)
+    for n in range(1, width):
+        at = first[:-1][counts == n]
+        value = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            value = _mix(value * _GOLDEN + codes[at + i])
+        made[at], kept[at] = value, True
+    flat = made[kept]
+    cuts = np.concatenate([[0], np.cumsum(np.where(counts > 0, np.maximum(counts - width + 1, 1), 0))]).tolist()
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        own = flat[i:j]
+        own.sort()
+        differs = own[1:] != own[:-1]
+        out.append(own if differs.all() else own[np.concatenate([[True], differs])])
+    return out
+
+
 def errors(n: int, percent: int) -> int:
     """Tokens that a set of ``n`` may have and a similar set may lack."""
     return n - -(-percent * n // 100)
@@ -140,11 +203,10 @@ def _look(width: int):
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc_ids, sizes, digests, numbers, counts), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counters = Shingles(width), np.zeros(COUNTERS, np.int64)
-        for part in slices(batches, "text"):
-            made = [shingles(text) for text in part.column("text").to_pylist()]
-            places = (np.concatenate(made) & np.uint64(COUNTERS - 1)).astype(np.int64)
-            counters += np.bincount(places, minlength=COUNTERS)
+        counters = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches, "text", PIECE_BYTES):
+            made = shingle_sets(part.column("text"), width)
+            np.add.at(counters, (np.concatenate(made) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             sizes = [len(elements) for elements in made]
             digests = [xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None for elements in made]
             none = [None] * len(sizes)
@@ -185,12 +247,11 @@ def ahead(order: np.ndarray, size: int) -> np.ndarray:
 
 def _prefixes(width: int, percent: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, level = Shingles(width), np.frombuffer(zlib.decompress(packed), np.uint8)
+        level = np.frombuffer(zlib.decompress(packed), np.uint8)
         least = least_size(percent)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PIECE_BYTES):
             made: list[list] = [[], [], [], []]
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                elements = shingles(text)
+            for doc_id, elements in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), width)):
                 if len(elements) >= least:
                     high = level[(elements & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                     order, size = high << np.uint64(62) | elements >> np.uint64(2), prefix_size(len(elements), percent)
@@ -245,9 +306,8 @@ def _plausible(percent: int):
 def _sets(width: int):
     """``digest`` and ``set`` of every text that has shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        for part in slices(batches, "text"):
-            made = [m.tobytes() for m in map(shingles, part.column("text").to_pylist()) if len(m)]
+        for part in slices(batches, "text", PIECE_BYTES):
+            made = [m.tobytes() for m in shingle_sets(part.column("text"), width) if len(m)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(m) for m in made], pa.binary()), pa.array(made, pa.binary())], ["digest", "set"])
 
     return run
@@ -342,7 +402,7 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 
 def _across(percent: int, best: int | None):
     """Pairs of two blocks of a bucket, of different components, that may be similar: all, or the ``best`` of each member outside
-    the largest component."""
+    the largest component; then also the ``bucket``, if a member has others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -365,12 +425,16 @@ def _across(percent: int, best: int | None):
                     if len(earlier):
                         first_m, first_t = (np.array([np.isin(earlier, v, assume_unique=True) for v in lists]) for lists in (mine, theirs))
                         fits[x, y] = ~(first_m[x] & first_t[y]).any(axis=1)
-                if best is not None:
+                cut = best is not None and bool((fits.sum(axis=1) > best).any())
+                if cut:
                     likeness = np.where(fits, most / both, -1)
                     rank = np.argsort(np.argsort(-likeness, axis=1, kind="stable"), axis=1)
                     fits &= rank < best
                 x, y = np.nonzero(fits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], ["a", "b"])
+                last_row = [None] * cut
+                told = [[*np.minimum(a[x], b[y]).tolist(), *last_row], [*np.maximum(a[x], b[y]).tolist(), *last_row],
+                        [None] * len(x) + batch.column("bucket").slice(i, int(cut)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in told], ["a", "b", "bucket"])
 
     return run
 
@@ -459,14 +523,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         whole = placed.select("place.bucket", "place.blocks", F.pmod(F.xxhash64("node"), F.col("place.blocks")).alias("chunk"), member.alias("member"))
         home = stage(whole.groupBy("bucket", "blocks", "chunk").agg(F.collect_list("member").alias("other")), folder, f"{name}-home")
         odd = F.filter("other", lambda m: m["is_odd"])
-        within = home.select(odd.alias("odd"), "other").where(F.size("odd") > 0)
+        within = home.select("bucket", odd.alias("odd"), "other").where(F.size("odd") > 0)
         # In a bucket of several blocks, those outside the largest component visit the others.
         visitors = home.where("blocks > 1").select("bucket", "chunk", "blocks", odd.alias("odd")).where(F.size("odd") > 0)
         visitors = visitors.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("to <> chunk").select("bucket", "to", "odd")
         hosts = home.where("blocks > 1").select("bucket", F.col("chunk").alias("to"), "other")
-        met = within.union(visitors.join(hosts, ["bucket", "to"]).select("odd", "other"))
-        found = stage(met.mapInArrow(_across(percent, best), "a long, b long").distinct(), folder, f"{name}-met")
-        joined = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(verified(found, f"{name}-links"))
+        met = within.union(visitors.join(hosts, ["bucket", "to"]).select("bucket", "odd", "other"))
+        found = stage(met.mapInArrow(_across(percent, best), "a long, b long, bucket long").distinct(), folder, f"{name}-met")
+        links = verified(found.where("a IS NOT NULL").select("a", "b"), f"{name}-links")
+        joined = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links)
+        # A bucket where every member told all its pairs is done.
+        large = large.join(found.where("bucket IS NOT NULL").select("bucket"), "bucket", "left_semi")
 
     # Different texts of one id are one document.
     several_sets = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")

@@ -1,7 +1,9 @@
 """The n-gram join against brute force, its guarantee on random prefixes, and hard rows."""
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rows import empty, hard  # noqa: F401
@@ -147,3 +149,42 @@ def test_texts_and_prefixes_are_cut_down_before_they_are_joined(spark, monkeypat
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(docs, 3, 90)[0]
     kept = [(key, out.count(), wanted.distinct().count()) for key, out, wanted in seen]
     assert [k for k, *_ in kept] == ["doc_id", "node", "doc_id", "node", "doc_id"] and all(n <= m + 2 <= 42 for _, n, m in kept)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_sets_of_many_texts_at_once(width):
+    """Words of a batch that are hashed together give the sets that each text has alone, whatever stands beside it."""
+    rng = random.Random(width)
+    pieces = ["a", "A", "b", "ab", "é", "É", "x" * 7, "x" * 8, "x" * 9, "y" * 64, "y" * 65, "y" * 66, "z" * 300, " ", "\x00", "\x1c"]
+    texts = [None, "", " ", "\t\n\x0b\x0c\r", "a", "A b", "a\x00", "a b c", "x" * 2000]
+    texts += ["".join(rng.choice(pieces) + rng.choice([" ", "  ", "\n", ""]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    want = [shingle_set(t, width) for t in texts]
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    got = j.shingle_sets(column, width)
+    assert [len(s) for s in got] == [len(s) for s in want] and all((s[1:] > s[:-1]).all() for s in got)
+    for (x, a), (y, b) in itertools.combinations(zip(got[:120], want), 2):
+        assert len(np.intersect1d(x, y)) == len(a & b)
+    assert len(np.unique(np.concatenate(got))) == len(set().union(*want)) and j.shingle_sets(column.slice(0, 0), width) == []
+
+
+def test_second_search_takes_buckets_with_untold_pairs(spark, monkeypatch):
+    """A bucket where each member told all its pairs is not searched again; with few pairs a member told first, the second search finds the rest."""
+    rng = random.Random(11)
+    docs = {}
+    for family in range(4):
+        docs |= dict(enumerate(variants(rng, 30), 1000 * family))
+    expected, _ = brute_components(docs, 3, 90)
+    rows, staged, kept = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), j.stage, {}
+
+    def counted(df, folder, name):
+        kept[name] = out = staged(df, folder, name)
+        return out
+
+    monkeypatch.setattr(j, "stage", counted)
+    for best in (j.BEST, 1):
+        monkeypatch.setattr(j, "BEST", best)
+        assert {r.doc_id: r.component_id for r in j.jaccard_components(rows).collect()} == expected
+        cut = kept["near-met"].where("bucket IS NOT NULL").select("bucket").distinct()
+        again = kept["all-held"].select("bucket").distinct()
+        assert sorted(cut.collect()) == sorted(again.collect())
+        assert again.count() < kept["near-held"].select("bucket").distinct().count()
