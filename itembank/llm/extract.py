@@ -4,8 +4,10 @@ A page is a sequence of tokens: tags, comments and runs of text. A tag's role is
 around it. Over the pages of a host, a token's occurrence vector is the number of times it occurs on each page; tokens
 with the same vector form an equivalence class (Arasu and Garcia-Molina, 2003). A class is valid if it occurs exactly once on
 each of its pages and its tokens keep one order there; the valid classes of a host, nested by place, are its template, and what
-stands between two of its tokens is a slot. The slots that lie in page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, code) are dropped; the others are the extracted text.
+stands between two of its tokens is a slot. A class that reaches over several slots of another is one class in each. Tags and names label
+slots as articles or as page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, code). How much varying text
+the slots of an element hold decides between articles, and whether an element is furniture that is only named so. The slots
+of furniture are dropped; the others are the extracted text.
 
 Vectors are never gathered: the sum of a digest of (page, count) over the pages is the same for two tokens exactly when
 their vectors are, up to collisions of 64 bits, and sums combine before the shuffle, so a host with a third of all pages
@@ -27,6 +29,8 @@ from itembank.llm.common import query, slices, table
 
 #: A class counts from so many pages, this share of the host's pages, and so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 2, 0.5, 2
+#: An element with this share of the content's varying text is no furniture, whatever its names say.
+MOST = 0.75
 #: The pages of so many largest hosts are dealt over parts of so many pages.
 HOT_HOSTS, PART_PAGES = 1000, 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,15 +172,59 @@ def tokens_of(page: str) -> list[Token]:
     return out
 
 
-def template_on(tokens: list[Token], keys: list[int], classes: list[int]) -> set[int]:
-    """Places of the tokens on this page that belong to the host's template: of each class, its tokens if each occurs
-    once here and in the template's order."""
+def template_on(tokens: list[Token], keys: list[int], classes: list[int]) -> dict[int, int]:
+    """Places of the tokens on this page that belong to the host's template, with their nested class (``nested``): of each class, its
+    tokens if each occurs once here and in the template's order."""
     counts = Counter(t.key for t in tokens)
     places = {t.key: i for i, t in enumerate(tokens) if counts[t.key] == 1}
     by_class: dict[int, list[int]] = {}
     for key, name in zip(keys, classes):
         by_class.setdefault(name, []).append(places.get(key, -1))
-    return {i for held in by_class.values() if min(held) >= 0 and held == sorted(held) for i in held}
+    return nested({name: held for name, held in by_class.items() if min(held) >= 0 and held == sorted(held)})
+
+
+def nested(by_class: dict[int, list[int]]) -> dict[int, int]:
+    """Number of the nested class of each place. Of two classes one lies in one slot of the other, or they lie apart; a class that goes
+    on behind a slot where it began is another there."""
+    left = {name: len(held) for name, held in by_class.items()}
+    out: dict[int, int] = {}
+    around: list[int] = []
+    number: dict[int, int] = {}
+    made = 0
+    for place, name in sorted((place, name) for name, held in by_class.items() for place in held):
+        if name in number:
+            while around[-1] != name:
+                del number[around.pop()]
+        else:
+            around.append(name)
+            number[name] = made
+            made += 1
+        out[place] = number[name]
+        left[name] -= 1
+        if not left[name]:
+            del number[around.pop()]
+    return out
+
+
+def is_hard(t: Token) -> bool:
+    """Whether an element is furniture by its tag or as readers' comments, however much text it holds."""
+    return t.name in FURNITURE - {"form", "header"} or bool(t.named & REPLIES)
+
+
+def varying(tokens: list[Token], ends: dict[int, int], fixed: dict[int, int], chars: dict[int, int]) -> dict[int, int]:
+    """Characters of text in the slots of each element that starts and ends in one nested class, over the host's pages, by the place of
+    its start: what it holds (``chars``, by key) without the template's text, readers' comments and tags of furniture in it."""
+    same = [0]
+    for i, t in enumerate(tokens):
+        same.append(same[-1] + (chars.get(t.key, 0) if t.kind == "text" and i in fixed else 0))
+    starts = [i for i in fixed if tokens[i].kind == "open" and fixed.get(ends[i]) == fixed[i]]
+    held = {i: chars.get(tokens[i].key, 0) - (same[ends[i]] - same[i]) for i in starts}
+    gone, reach = [0], -1
+    for i, t in enumerate(tokens):
+        hard = i > reach and i in held and is_hard(t)
+        reach = ends[i] if hard else reach
+        gone.append(gone[-1] + (held[i] if hard else 0))
+    return {i: n - (gone[ends[i]] - gone[i + 1]) for i, n in held.items()}
 
 
 def _spans(tokens: list[Token]) -> tuple[dict[int, int], list[int]]:
@@ -191,16 +239,17 @@ def _spans(tokens: list[Token]) -> tuple[dict[int, int], list[int]]:
     return ends, before
 
 
-def _roots(tokens: list[Token], ends: dict[int, int], before: list[int]) -> set[int]:
+def _roots(tokens: list[Token], ends: dict[int, int], before: list[int], slots: dict[int, int]) -> set[int]:
     """Places where the content elements of the page open: its articles, else its main elements.
 
-    An article in a menu, footer or sidebar, and a reader's comment, are none if another is there. Of several articles, one that alone has
+    An article in a menu, footer or sidebar, and a reader's comment, are none if another is there, nor is one whose ``slots`` (``varying``)
+    hold nothing, for it says the same on all pages. Of several articles, one that alone has
     a first heading and holds most of their text is the content, and the others point to other pages."""
     for kind in ("article", "main"):
         plain, named, hidden, inside, soft = [], [], 0, [], 0
         for i, t in enumerate(tokens):
             if t.kind == "open":
-                hard = t.name in FURNITURE - {"form", "header"} or bool(t.named & REPLIES)
+                hard = is_hard(t)
                 side = t.name not in ("html", "body") and bool(t.named) and not hard
                 if (t.name == kind or kind == "main" and "main" in t.words) and not hidden and not hard:
                     (named if soft or side else plain).append(i)
@@ -213,6 +262,7 @@ def _roots(tokens: list[Token], ends: dict[int, int], before: list[int]) -> set[
         found = plain or [i for i in named if 2 * (before[ends[i]] - before[i]) >= before[-1]]
         if not found:
             continue
+        found = [i for i in found if slots.get(i, 1) > 0] or found
         outer, reach = [], -1
         for i in found:
             if i > reach:
@@ -226,12 +276,14 @@ def _roots(tokens: list[Token], ends: dict[int, int], before: list[int]) -> set[
     return set()
 
 
-def main_text(page: str | None, keys: list[int], classes: list[int]) -> str:
+def main_text(page: str | None, keys: list[int], classes: list[int], chars: list[int] = ()) -> str:
     """The slots of the page's template that are neither furniture nor outside the content, as blocks."""
     tokens = tokens_of(page or "")
     fixed = template_on(tokens, keys, classes)
     ends, before = _spans(tokens)
-    roots = _roots(tokens, ends, before)
+    slots = varying(tokens, ends, fixed, dict(zip(keys, chars)))
+    roots = _roots(tokens, ends, before, slots)
+    most = MOST * max((slots.get(i, 0) for i in roots or slots), default=0)
     first, last = min(roots, default=len(tokens)), max((ends[i] for i in roots), default=-1)
     opened, content, dropped = [], 0, 0
     blocks, block = [], []
@@ -243,6 +295,8 @@ def main_text(page: str | None, keys: list[int], classes: list[int]) -> str:
             return t.name == "head"
         if t.name == "form" and not roots and 2 * (before[ends[i]] - before[i]) >= before[-1]:
             return False
+        if t.named and t.name not in FURNITURE and not t.named & REPLIES and slots.get(i, 0) >= most > 0:
+            return False
         return (t.name in FURNITURE and not (content and t.name == "header")) or bool(t.named)
 
     def end_block() -> None:
@@ -273,39 +327,42 @@ def main_text(page: str | None, keys: list[int], classes: list[int]) -> str:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "html"):
-        rows, keys, counts, places = [], [], [], []
+        rows, keys, counts, places, chars = [], [], [], [], []
         for row, page in zip(part.column("row").to_pylist(), part.column("html").to_pylist()):
             tokens = tokens_of(page or "")
             held = Counter(t.key for t in tokens)
-            first = {t.key: i / len(tokens) for i, t in reversed(list(enumerate(tokens)))}
+            ends, before = _spans(tokens)
+            first = {t.key: i for i, t in reversed(list(enumerate(tokens)))}
             rows += [row] * len(held)
             keys += held.keys()
             counts += held.values()
-            places += [first[k] for k in held]
+            places += [first[k] / len(tokens) for k in held]
+            # An element's text, or the text itself.
+            chars += [before[ends.get(first[k], first[k]) + 1] - before[first[k]] for k in held]
         by_row = dict(zip(part.column("row").to_pylist(), part.column("host").to_pylist()))
         yield pa.RecordBatch.from_arrays(
             [pa.array([by_row[r] for r in rows], pa.string()), pa.array(rows, pa.int64()), pa.array(keys, pa.int64()),
-             pa.array(counts, pa.int64()), pa.array(places, pa.float64())], ["host", "row", "key", "n", "place"])
+             pa.array(counts, pa.int64()), pa.array(places, pa.float64()), pa.array(chars, pa.int64())], ["host", "row", "key", "n", "place", "chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``keys``, ``classes`` from ``host``, ``row``, ``html``: the tokens of the host's valid classes in the order of
-    their mean place. A list holds at most 1 / LEAST_SHARE times the tokens of a mean page."""
-    seen = pages.mapInArrow(_occurrences, "host string, row long, key long, n long, place double")
+    """``host``, ``keys``, ``classes``, ``chars`` from ``host``, ``row``, ``html``: the tokens of the host's valid classes in the order of
+    their mean place, with the characters of text that each holds on all pages. A list holds at most 1 / LEAST_SHARE times the tokens of a mean page."""
+    seen = pages.mapInArrow(_occurrences, "host string, row long, key long, n long, place double, chars long")
     tokens = seen.groupBy("host", "key").agg(
-        F.bit_xor(F.xxhash64("row", "n")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.avg("place").alias("place"))
+        F.bit_xor(F.xxhash64("row", "n")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("chars").alias("chars"))
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     once = tokens.where((F.col("most") == 1) & (F.col("pages") >= LEAST_PAGES)).join(sizes, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all"))
-    classes = once.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("place", "key")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    flat = classes.select("host", F.transform("tokens", lambda t: F.struct(t["place"].alias("place"), t["key"].alias("key"), F.col("vector").alias("vector"))).alias("tokens"))
+    classes = once.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("place", "key", "chars")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    flat = classes.select("host", F.transform("tokens", lambda t: F.struct(t["place"].alias("place"), t["key"].alias("key"), F.col("vector").alias("vector"), t["chars"].alias("chars"))).alias("tokens"))
     ordered = flat.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    return ordered.select("host", F.col("tokens.key").alias("keys"), F.col("tokens.vector").alias("classes"))
+    return ordered.select("host", F.col("tokens.key").alias("keys"), F.col("tokens.vector").alias("classes"), F.col("tokens.chars").alias("chars"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "html"):
-        columns = [part.column(c).to_pylist() for c in ("html", "keys", "classes")]
-        texts = [main_text(page, keys or [], classes or []) for page, keys, classes in zip(*columns)]
+        columns = [part.column(c).to_pylist() for c in ("html", "keys", "classes", "chars")]
+        texts = [main_text(page, keys or [], classes or [], chars or []) for page, keys, classes, chars in zip(*columns)]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -313,7 +370,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` of every row.
 
     Where a page has an article (or else a main element), that is the content, and all its text outside furniture is
-    kept, though it may stand on all pages of the host; else the content is the body without furniture and without
+    kept, though it may stand on all pages of the host. Of several, those that say the same on all pages of the host are not the content if
+    another varies, and an element in it that holds most of its varying text is no furniture, unless its tag or readers' comments say so; else the content is the body without furniture and without
     text of the template. What stands around the content is no furniture, however it is named, nor is a form around most of a page;
     an article in furniture is the content only if it is most of the page. Elements may be nested to any depth. A null or empty page has the empty text; a page without a host has no template, nor has a
     host with one page; broken markup, repeated rows, null ids and other columns do no harm.
@@ -328,8 +386,8 @@ def extract(pages: DataFrame) -> DataFrame:
     one = F.coalesce("parts", F.lit(1).cast("long"))
     dealt = rows.withColumn("site", F.coalesce("host", F.lit(""))).join(hot, "site", "left").withColumn("part", F.pmod(F.xxhash64("row"), one))
     copies = known.withColumnRenamed("host", "site").join(hot, "site", "left").select(
-        "site", "keys", "classes", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("part"))
-    return dealt.join(copies, ["site", "part"], "left").select("page_id", "url", "html", "keys", "classes").mapInArrow(
+        "site", "keys", "classes", "chars", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("part"))
+    return dealt.join(copies, ["site", "part"], "left").select("page_id", "url", "html", "keys", "classes", "chars").mapInArrow(
         _extract, "page_id long, url string, text string")
 
 

@@ -195,6 +195,31 @@ def test_template_classes(spark):
         assert not any("Two" in t.text for t in known)
 
 
+def test_slots_decide_between_articles_and_names(spark):
+    """An article that never varies is none beside one that does; a name does not make furniture of the slots with most of the
+    varying text; a host whose pages are all the same, or a page alone, keeps what its tags say."""
+    intro = "<body><article class='intro'><p>Join us, the same text on every page of the host</p></article><article><p>Own %d</p></article></body>"
+    named = ("<body><article><h1>Title</h1><div class='social-stories'><p>A story that differs, number %d</p></div><div class='share'>Share %d</div>"
+             "<div class='comments'><p>A reader who has much to say, far more than the story of number %d itself</p></div></article></body>")
+    wrapped = "<body><div class='menu'>M</div><div class='widget'><p>Own words, %d</p></div></body>"
+    rows = [(i, f"http://a.example/{i}", intro % i) for i in range(4)] + [(10 + i, f"http://b.example/{i}", named % (i, i, i)) for i in range(4)]
+    rows += [(20 + i, f"http://c.example/{i}", intro % 7) for i in range(3)] + [(30, "http://d.example/", intro % 8), (31, "http://e.example/", named % (8, 8, 8))]
+    rows += [(40 + i, f"http://f.example/{i}", wrapped % i) for i in range(3)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = "Join us, the same text on every page of the host\nOwn %d"
+    assert [got[i] for i in range(4)] == [f"Own {i}" for i in range(4)]
+    assert [got[10 + i] for i in range(4)] == [f"Title\nA story that differs, number {i}" for i in range(4)]
+    assert {got[20 + i] for i in range(3)} == {both % 7} and got[30] == both % 8 and got[31] == "Title"
+    assert [got[40 + i] for i in range(3)] == [f"Own words, {i}" for i in range(3)]
+
+
+def test_classes_are_nested():
+    assert extract.nested({1: [0, 5, 9], 2: [1, 3], 3: [6, 8]}) == {0: 0, 1: 1, 3: 1, 5: 0, 6: 2, 8: 2, 9: 0}
+    # The second class goes on behind a token of the first: another class there.
+    assert extract.nested({1: [0, 5, 9], 2: [1, 3, 6, 7]}) == {0: 0, 1: 1, 3: 1, 5: 0, 6: 2, 7: 2, 9: 0}
+    assert extract.nested({1: [0, 2], 2: [1, 3]}) == {0: 0, 1: 1, 2: 0, 3: 2} and extract.nested({}) == {}
+
+
 def test_pages_query(spark, sf):
     rows = extract.op1_main_text(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
