@@ -47,13 +47,14 @@ class SortedLists:
         if own >= 0:
             first[own] = np.iinfo(first.dtype).max
         found, scores = np.empty(0, np.int64), np.empty(0, q.dtype)
-        low, depth = 0, FIRST_DEPTH
+        low, depth, every = 0, FIRST_DEPTH, None
         while True:
             new = np.flatnonzero((first >= low) & (first < depth))
-            found = np.concatenate([found, new])
-            # Past a quarter of the rows, one product with all of them costs less than collecting the rows.
-            some = self.values[new] @ q if 4 * len(new) < self.n else (self.values @ q)[new]
-            found, scores = self.best(found, np.concatenate([scores, some]), k)
+            # Past a quarter of the rows, one product with all of them costs less than collecting the rows; it serves all depths.
+            if every is None and 4 * len(new) >= self.n:
+                every = self.values @ q
+            some = self.values[new] @ q if every is None else every[new]
+            found, scores = self.best(np.concatenate([found, new]), np.concatenate([scores, some]), k)
             if depth >= self.n:
                 return found, scores
             at = np.where(up, self.sorted[self.n - 1 - depth], self.sorted[depth])
@@ -64,6 +65,9 @@ class SortedLists:
 
     @staticmethod
     def best(found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > 4 * k > 0:  # only rows that reach the k-th score are sorted, its ties with them
+            few = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            found, scores = found[few], scores[few]
         order = np.lexsort((found, -scores))[:k]
         return found[order], scores[order]
 
@@ -106,9 +110,11 @@ def top_k(vectors: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     held = in_blocks(rows, n_rows, ROWS_PER_BLOCK).groupBy("block").agg(F.collect_list(F.struct("vec_id", "rid", "ints")).alias("rows"))
     asked = in_blocks(asks, n_asks, QUERIES_PER_BLOCK, "ask_block").groupBy("ask_block").agg(F.collect_list(F.struct("rid", "ints")).alias("asks"))
     n_blocks = max(1, -(-n_rows // ROWS_PER_BLOCK))
-    # Every block of queries goes to every block of rows by an equi-join on the block's number.
+    # Every block of queries goes to every block of rows by an equi-join on the block's number. A copy of the queries for each
+    # block of rows is far larger than the file that Spark takes its size from, so the join is held to a shuffle: a broadcast would
+    # bring all copies to the driver.
     spread = asked.select("asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    pairs = held.join(spread, "block").select("rows", "asks")
+    pairs = held.join(spread.hint("merge"), "block").select("rows", "asks")
     best = pairs.mapInArrow(_search(k), "ask long, vec_id long, rid long, score long")
     order = W.partitionBy("ask").orderBy(F.desc("score"), "vec_id", "rid")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

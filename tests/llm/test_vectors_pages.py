@@ -34,6 +34,25 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(got) == sorted(expected)
 
 
+def test_top_k_broadcasts_no_queries(spark, monkeypatch):
+    """A copy of the queries for each block of rows does not go through the driver, however small their file is."""
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 20)
+    _, table = vectors(spark)
+    rows = topk.stage(topk.integers(table), topk.run_folder(spark, "t"), "rows")
+    found = topk.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+    assert found.count() == 9 * 5
+    joins = [x.strip(" +-:") for x in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("\n") if "Join [block" in x]
+    assert joins and all(x.startswith("SortMergeJoin") for x in joins)
+
+
+def test_best_keeps_ties_by_place():
+    scores = np.array([1.0, 3, 2, 3, 2, 2, 0, 2, 3, 1, 1, 1, 1, 2])
+    found, best = topk.SortedLists.best(np.arange(14)[::-1], scores, 3)
+    assert found.tolist() == [5, 10, 12] and best.tolist() == [3, 3, 3]
+    found, best = topk.SortedLists.best(np.arange(14)[::-1], scores[::-1], 3)
+    assert found.tolist() == [1, 3, 8] and best.tolist() == [3, 3, 3]
+
+
 @pytest.mark.parametrize("dims", [1, 3, 16])
 def test_sorted_lists_stop_early_and_right(dims):
     rng = np.random.default_rng(dims)
